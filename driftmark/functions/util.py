@@ -14,6 +14,8 @@ def col_of(c) -> Column:
         return c
     if isinstance(c, str):
         return F.col(c)
+    if isinstance(c, int) and not isinstance(c, bool):
+        return F.lit(c).cast("long")   # ms arithmetic must not overflow INT
     return F.lit(c)
 
 

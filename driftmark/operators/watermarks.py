@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from driftmark.functions.scan import Scan, blocked_scan
 from driftmark.functions.time import floor_div
-from driftmark.functions.util import join_nullsafe
+from driftmark.functions.util import col_of, join_nullsafe
 
 BLOCK_TICKS = 4096
 
 
 def with_tick(df: DataFrame, period) -> DataFrame:
-    return df.withColumn("tick", floor_div(F.col("arr"), F.lit(period) if isinstance(period, int) else period))
+    return df.withColumn("tick", floor_div(F.col("arr"), col_of(period)))
 
 
 def bounded_ticks(df: DataFrame, stream_cols: list[str], max_ooo: int,
@@ -62,7 +62,7 @@ def ticks_from_pre(pre: DataFrame, stream_cols: list[str], max_ooo: int,
         [Scan("prev_max", "tick_max", "max", inclusive=False),
          Scan("cum_max", "tick_max", "max"),
          Scan("next_tick", "tick", "min", backward=True, inclusive=False)])
-    ooo = F.lit(max_ooo)
+    ooo = col_of(max_ooo)
     wm_begin = F.greatest(F.coalesce("prev_max", F.lit(0)) - ooo, F.lit(0))
     wm_fire = F.greatest(F.greatest("cum_max", F.lit(0)) - ooo, F.lit(0))
     ticks = (ticks
@@ -113,29 +113,47 @@ def bounded_steps(ticks: DataFrame, stream_cols: list[str], period: int) -> Data
     """Emitted watermarks of W2: ``(stream, wm, at)``; ``at`` = timer time."""
     return (ticks.where(F.col("wm_end") > F.col("wm_begin"))
             .select(*stream_cols, F.col("wm_end").alias("wm"),
-                    ((F.col("tick") + 1) * F.lit(period)).alias("at")))
+                    ((F.col("tick") + 1) * col_of(period)).alias("at")))
 
 
 def time_lag_watermark(df: DataFrame, lag: int = 100, period: int = 200) -> DataFrame:
     """At every tick the watermark becomes ``tick time - lag`` (the
     reference subtracts 100 ms from the clock).  Pure arithmetic per row."""
     x = with_tick(df, period)
-    wm = x.tick * F.lit(period) - F.lit(lag)
+    wm = x.tick * col_of(period) - col_of(lag)
     return (x.withColumn("wm_before", wm)
              .withColumn("wm_after", wm)
              .withColumn("late", F.col("t") < F.col("wm_before")))
 
 
-def time_lag_firing(lag: int, period: int):
-    """Firing watermark of W4 for a window end: the first tick value
-    ``k*period - lag >= wend - 1``; it exists iff that tick fired, i.e.
-    ``k <= last tick of the stream`` (checked by the caller)."""
-    def fire(wend):
-        k = floor_div(wend - 1 + F.lit(lag) + F.lit(period - 1), F.lit(period))
-        return k, k * F.lit(period) - F.lit(lag)
+def time_lag_firing(stream_last: DataFrame, stream_cols: list[str], lag, period):
+    """Firing of W4 for on-time windows: the first tick value
+    ``k*period - lag >= wend - 1``; it was emitted iff ``k`` does not pass the
+    stream's last tick (``stream_last``: ``(stream, last_tick)``), whose
+    timer never fires."""
+    lag, period = col_of(lag), col_of(period)
+
+    def fire(on: DataFrame) -> DataFrame:
+        k = floor_div(F.col("wend") - 1 + lag + period - 1, period)
+        x = (join_nullsafe(on, stream_last, stream_cols, "left") if stream_cols
+             else _attach_global(on, stream_last))
+        return (x.withColumn("fire_wm", F.when(k <= F.col("last_tick"), k * period - lag))
+                 .drop("last_tick"))
     return fire
 
 
+def _attach_global(on: DataFrame, stream_last: DataFrame) -> DataFrame:
+    """Single-stream case: attach the one-row table through a constant key."""
+    return join_nullsafe(on.withColumn("__g", F.lit(0)),
+                         stream_last.withColumn("__g", F.lit(0)), ["__g"], "left").drop("__g")
+
+
+def last_ticks(df: DataFrame, stream_cols: list[str], period) -> DataFrame:
+    """``(stream, last_tick)``: tick of each stream's last arrival."""
+    return (df.groupBy(*stream_cols)
+              .agg(floor_div(F.max("arr"), col_of(period)).alias("last_tick")))
+
+
 def marker_watermark(events: DataFrame, markers: DataFrame) -> DataFrame:
     """Watermarks carried in the stream itself (rows keyed ``W``).
 

@@ -16,9 +16,7 @@ T1 (keyed tumbling panes under a watermark) is computed order-free:
 
 from __future__ import annotations
 
-from typing import Callable
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.functions.scan import Scan, blocked_scan
@@ -34,7 +32,7 @@ def window_groups(df: DataFrame, key_cols: list[str], width: int,
                   count_col: str | None = None) -> DataFrame:
     """Events with ``wm_before`` -> ``(key, wstart, wm_before, n)``."""
     n = F.sum(count_col) if count_col else F.count(F.lit(1))
-    return (df.withColumn("wstart", window_start("t", F.lit(width)))
+    return (df.withColumn("wstart", window_start("t", col_of(width)))
               .groupBy(*key_cols, "wstart", "wm_before")
               .agg(n.cast("long").alias("n")))
 
@@ -54,7 +52,7 @@ def first_watermark_at_least(probes: DataFrame, steps: DataFrame,
                      F.col("wm").alias("__v"), F.lit(1).alias("__k"),
                      F.col("wm").alias("__w"))
     u = blocked_scan(p.unionByName(s), stream_cols,
-                     floor_div(F.col("__v"), F.lit(span)), ["__v", "__k"],
+                     floor_div(F.col("__v"), col_of(span)), ["__v", "__k"],
                      [Scan("fire_wm", "__w", "min", backward=True)])
     return u.where(F.col("__k") == 0).select(*stream_cols, "wend", "fire_wm")
 
@@ -75,14 +73,14 @@ def tumbling_panes_from_groups(groups: DataFrame, firing, stream_cols: list[str]
     missing = [c for c in stream_cols if c not in key_cols]
     if missing:
         raise ValueError(f"stream columns {missing} must be part of the window key")
-    g = (groups.withColumn("wend", F.col("wstart") + F.lit(width))
-               .withColumn("cls", window_class("wend", "wm_before", F.lit(allowed))))
+    g = (groups.withColumn("wend", F.col("wstart") + col_of(width))
+               .withColumn("cls", window_class("wend", "wm_before", col_of(allowed))))
     on = (g.where(F.col("cls") == ON_TIME)
             .groupBy(*key_cols, "wstart", "wend")
             .agg(F.sum("n").cast("long").alias("cnt")))
     if isinstance(firing, DataFrame):
         ends = on.select(*stream_cols, "wend").distinct()
-        fired = first_watermark_at_least(ends, firing, stream_cols, width * BLOCK_WINDOWS)
+        fired = first_watermark_at_least(ends, firing, stream_cols, col_of(width) * F.lit(BLOCK_WINDOWS))
         on = join_nullsafe(on, fired, [*stream_cols, "wend"], "left")
     else:
         on = firing(on)
@@ -96,7 +94,7 @@ def tumbling_panes_from_groups(groups: DataFrame, firing, stream_cols: list[str]
               .groupBy(*key_cols, "wstart", "wend", "wm_before")
               .agg(F.sum("n").cast("long").alias("n")))
     late = blocked_scan(late, [*key_cols, "wstart"],
-                        floor_div(F.col("wm_before"), F.lit(width)), ["wm_before"],
+                        floor_div(F.col("wm_before"), col_of(width)), ["wm_before"],
                         [Scan("__before", "n", "sum", inclusive=False)])
     late = join_nullsafe(late, on.select(*key_cols, "wstart", F.col("cnt").alias("__on")),
                          [*key_cols, "wstart"], "left")
@@ -121,7 +119,7 @@ def window_fate(groups: DataFrame, key_cols: list[str], width: int,
                 allowed: int = 0) -> DataFrame:
     """Per key: elements on time / kept late (re-fires) / dropped."""
     g = groups.withColumn(
-        "cls", window_class(F.col("wstart") + F.lit(width), "wm_before", F.lit(allowed)))
+        "cls", window_class(F.col("wstart") + col_of(width), "wm_before", col_of(allowed)))
     return g.groupBy(*key_cols).agg(
         F.sum(F.when(F.col("cls") == ON_TIME, F.col("n")).otherwise(0)).cast("long").alias("on_time"),
         F.sum(F.when(F.col("cls") == LATE_KEPT, F.col("n")).otherwise(0)).cast("long").alias("refires"),
@@ -137,18 +135,27 @@ def counted_elements(panes: DataFrame, group_cols: list[str] | None = None) -> D
 
 def tumbling_count_all(df: DataFrame, width: int, wm: int) -> DataFrame:
     """Non-keyed tumbling count, lag against a fixed watermark."""
-    return (df.withColumn("wstart", window_start("t", F.lit(width)))
+    return (df.withColumn("wstart", window_start("t", col_of(width)))
               .groupBy("wstart").agg(F.count(F.lit(1)).alias("cnt"))
-              .withColumn("wend", F.col("wstart") + F.lit(width))
+              .withColumn("wend", F.col("wstart") + col_of(width))
               .withColumn("lag", F.lit(wm) - F.col("wend")))
 
 
-def tumbling_avg_all(df: DataFrame, width: int, value: str = "value") -> DataFrame:
+def _exact(value: str, scale: int | None):
+    """Sum operand: with ``scale`` the values are summed as DECIMAL, so the
+    sum (and the mean) does not depend on the order Spark adds them in."""
+    v = F.col(value)
+    return v.cast(f"decimal(38,{scale})") if scale is not None else v
+
+
+def tumbling_avg_all(df: DataFrame, width: int, value: str = "value",
+                     scale: int | None = None) -> DataFrame:
     """Window, mean of ``value``, count."""
-    return (df.withColumn("wstart", window_start("t", F.lit(width)))
+    return (df.withColumn("wstart", window_start("t", col_of(width)))
               .groupBy("wstart")
-              .agg(F.avg(value).alias("avg_value"), F.count(F.lit(1)).alias("cnt"))
-              .withColumn("wend", F.col("wstart") + F.lit(width)))
+              .agg((F.sum(_exact(value, scale)).cast("double") / F.count(value)).alias("avg_value"),
+                   F.count(F.lit(1)).alias("cnt"))
+              .withColumn("wend", F.col("wstart") + col_of(width)))
 
 
 def tumbling_count_labels(df: DataFrame, width: int) -> DataFrame:
@@ -205,13 +212,18 @@ def session_windows(df: DataFrame, key_cols: list[str], gap_ms: int) -> DataFram
 
 
 def running_average(df: DataFrame, key_cols: list[str], value: str = "value",
-                    block_ms: int = 60_000, text: bool = False) -> DataFrame:
+                    block_ms: int = 60_000, text: bool = False,
+                    scale: int | None = None) -> DataFrame:
     """Mean of ``value`` over all earlier-or-equal rows of the key in
-    arrival order (blocked scan of sum and count)."""
+    arrival order (blocked scan of sum and count; ``scale`` sums exactly)."""
     x = df.withColumn("__one", F.lit(1).cast("long"))
+    if scale is not None:
+        x = x.withColumn("__v", _exact(value, scale))
+        value = "__v"
     x = blocked_scan(x, key_cols, floor_div(F.col("arr"), F.lit(block_ms)), ["arr", "seq"],
                      [Scan("__s", value, "sum"), Scan("__c", "__one", "sum")])
-    x = x.withColumn("running_avg", F.col("__s") / F.col("__c")).drop("__one", "__s", "__c")
+    x = (x.withColumn("running_avg", F.col("__s").cast("double") / F.col("__c"))
+          .drop("__one", "__s", "__c", "__v"))
     if text:
         x = x.withColumn("running_text", F.format_string("Average so far is %f", F.col("running_avg")))
     return x

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.functions.time import window_start
-from driftmark.functions.util import join_nullsafe
+from driftmark.functions.util import col_of, join_nullsafe
 from driftmark.operators.watermarks import bounded_steps, ticks_from_pre, with_tick
 from driftmark.operators.windows import tumbling_panes_from_groups, window_fate
 
@@ -21,7 +21,7 @@ def bounded_groups(events: DataFrame, stream_cols: list[str], key_cols: list[str
                    max_ooo: int, period: int, width: int):
     """-> (window groups ``(key, wstart, wm_before, n)``, tick table)."""
     fine = (with_tick(events, period)
-            .withColumn("wstart", window_start("t", F.lit(width)))
+            .withColumn("wstart", window_start("t", col_of(width)))
             .groupBy(*key_cols, "tick", "wstart")
             .agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("tmax")))
     pre = (fine.groupBy(*stream_cols, "tick")
@@ -46,3 +46,15 @@ def bounded_fate(events: DataFrame, stream_cols: list[str], key_cols: list[str],
                  max_ooo: int, period: int, width: int, allowed: int = 0) -> DataFrame:
     groups, _ = bounded_groups(events, stream_cols, key_cols, max_ooo, period, width)
     return window_fate(groups, key_cols, width, allowed)
+
+
+def time_lag_panes(events: DataFrame, stream_cols: list[str], key_cols: list[str],
+                   lag: int, period: int, width: int, allowed: int = 0) -> DataFrame:
+    """W4 (clock minus a fixed lag on every tick) -> T1.  The firing
+    watermark has a closed form, so no as-of scan is needed."""
+    from driftmark.operators.watermarks import last_ticks, time_lag_firing, time_lag_watermark
+    from driftmark.operators.windows import window_groups
+    x = time_lag_watermark(events, lag, period)
+    groups = window_groups(x, key_cols, width)
+    fire = time_lag_firing(last_ticks(events, stream_cols, period), stream_cols, lag, period)
+    return tumbling_panes_from_groups(groups, fire, stream_cols, key_cols, width, allowed)
