@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmark.functions.util import col_of, join_nullsafe
+from driftmark.functions.util import col_of, key_struct
 
 _AGG = {"max": F.max, "min": F.min, "sum": F.sum}
 
@@ -53,34 +53,35 @@ def _combine(agg: str, local: Column, carry: Column) -> Column:
 
 def blocked_scan(df: DataFrame, part_cols: list[str], block, order_cols,
                  scans: list[Scan]) -> DataFrame:
-    """Add one column per :class:`Scan`; see the module doc for the plan."""
-    bcol = "__blk"
-    part_cols = list(part_cols)
+    """Add one column per :class:`Scan`; see the module doc for the plan.
+
+    The partition key travels as one struct column, so the level-1 window,
+    the block aggregate and the join back all cluster on the same
+    ``(key, block)`` columns and share one exchange of the input."""
+    pk, bcol = "__pk", "__blk"
     order = [col_of(c) for c in order_cols]
-    x = df.withColumn(bcol, col_of(block))
-    w1 = Window.partitionBy(*part_cols, bcol).orderBy(*order)
+    x = df.withColumn(pk, key_struct(list(part_cols))).withColumn(bcol, col_of(block))
+    w1 = Window.partitionBy(pk, bcol).orderBy(*order)
     for i, s in enumerate(scans):
         if s.backward:
             frame = (0 if s.inclusive else 1, Window.unboundedFollowing)
         else:
             frame = (Window.unboundedPreceding, 0 if s.inclusive else -1)
-        x = x.withColumn(f"__loc{i}", _AGG[s.agg](s.value).over(
-            w1.rowsBetween(*frame)))
+        x = x.withColumn(f"__loc{i}", _AGG[s.agg](s.value).over(w1.rowsBetween(*frame)))
 
-    blocks = x.groupBy(*part_cols, bcol).agg(
+    blocks = x.groupBy(pk, bcol).agg(
         *[_AGG[s.agg](s.value).alias(f"__tot{i}") for i, s in enumerate(scans)])
-    w2 = Window.partitionBy(*part_cols).orderBy(bcol)
+    w2 = Window.partitionBy(pk).orderBy(bcol)
     carry_cols = []
     for i, s in enumerate(scans):
-        roll = "sum" if s.agg == "sum" else s.agg
         frame = ((1, Window.unboundedFollowing) if s.backward
                  else (Window.unboundedPreceding, -1))
         carry_cols.append(
-            _AGG[roll](f"__tot{i}").over(w2.rowsBetween(*frame)).alias(f"__car{i}"))
-    carry = blocks.select(*part_cols, bcol, *carry_cols)
+            _AGG[s.agg](f"__tot{i}").over(w2.rowsBetween(*frame)).alias(f"__car{i}"))
+    carry = blocks.select(pk, bcol, *carry_cols)
 
-    y = join_nullsafe(x, carry, part_cols + [bcol], "left")
+    y = x.join(carry, [pk, bcol], "left")
     for i, s in enumerate(scans):
         y = y.withColumn(s.out, _combine(s.agg, F.col(f"__loc{i}"), F.col(f"__car{i}")))
-    return y.drop(bcol, *[f"__loc{i}" for i in range(len(scans))],
+    return y.drop(pk, bcol, *[f"__loc{i}" for i in range(len(scans))],
                   *[f"__car{i}" for i in range(len(scans))])

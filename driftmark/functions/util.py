@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,17 +17,20 @@ def col_of(c) -> Column:
     return F.lit(c)
 
 
+def key_struct(cols: list[str]) -> Column:
+    """One non-NULL key column for ``cols``.  Struct equality treats NULL
+    fields as equal, so joins on it are null-safe while staying plain
+    equi-joins (hash partitioning on it can be reused by later stages)."""
+    if not cols:
+        return F.struct(F.lit(0).alias("_"))
+    return F.struct(*[F.col(c) for c in cols])
+
+
 def join_nullsafe(left: DataFrame, right: DataFrame, cols: list[str],
                   how: str = "inner") -> DataFrame:
     """Equi-join on ``cols`` treating NULL keys as equal (stream keys may
     be NULL); the right copies of the key columns are dropped."""
-    if not cols:
-        raise ValueError("join_nullsafe needs at least one key column")
-    r = right.select(*[F.col(c).alias(f"__r_{c}") for c in cols],
+    r = right.select(key_struct(cols).alias("__jk"),
                      *[c for c in right.columns if c not in cols])
-    # Name-based references: both sides may derive from one lineage, where
-    # DataFrame-bound columns (left[c]) can resolve to the wrong side.
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in cols])
-    out = left.join(r, cond, how)
-    return out.drop(*[f"__r_{c}" for c in cols])
+    out = left.withColumn("__jk", key_struct(cols)).join(r, "__jk", how)
+    return out.drop("__jk")

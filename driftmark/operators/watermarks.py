@@ -31,7 +31,8 @@ def with_tick(df: DataFrame, period) -> DataFrame:
 
 
 def bounded_ticks(df: DataFrame, stream_cols: list[str], max_ooo: int,
-                  period: int, block_ticks: int = BLOCK_TICKS) -> DataFrame:
+                  period: int, block_ticks: int = BLOCK_TICKS,
+                  changes: bool = False) -> DataFrame:
     """One row per (stream, tick with events):
 
     ``tick_max``   max event time in the tick
@@ -48,11 +49,11 @@ def bounded_ticks(df: DataFrame, stream_cols: list[str], max_ooo: int,
            .groupBy(*stream_cols, "tick")
            .agg(F.max("t").alias("tick_max"), F.count(F.lit(1)).alias("n"),
                 F.min(F.struct("arr", "seq")).alias("first")))
-    return ticks_from_pre(pre, stream_cols, max_ooo, block_ticks)
+    return ticks_from_pre(pre, stream_cols, max_ooo, block_ticks, changes)
 
 
 def ticks_from_pre(pre: DataFrame, stream_cols: list[str], max_ooo: int,
-                   block_ticks: int = BLOCK_TICKS) -> DataFrame:
+                   block_ticks: int = BLOCK_TICKS, changes: bool = False) -> DataFrame:
     """Watermark columns for a tick table ``(stream, tick, tick_max, n[, first])``."""
     if "first" not in pre.columns:
         pre = pre.withColumn("first", F.struct(F.lit(None).cast("long").alias("arr"),
@@ -71,6 +72,11 @@ def ticks_from_pre(pre: DataFrame, stream_cols: list[str], max_ooo: int,
              .withColumn("wm_end", F.when(F.col("is_last"), F.col("wm_begin"))
                          .otherwise(F.greatest(wm_fire, F.col("wm_begin"))))
              .withColumn("raises", (F.col("wm_end") > F.col("wm_begin")).cast("long")))
+    if not changes:
+        return ticks.select(*stream_cols, "tick", "n", "tick_max", "wm_begin", "wm_end",
+                            "is_last", F.lit(None).cast("boolean").alias("changed"),
+                            F.col("first.arr").alias("first_arr"),
+                            F.col("first.seq").alias("first_seq"))
     # The flag set by tick k-1 reaches the first event of tick k only if
     # tick k-1 held events (else the empty tick's timer cleared the flag).
     # The previous tick and its `raises` bit travel together in one max scan.
@@ -93,7 +99,9 @@ def bounded_watermark(df: DataFrame, stream_cols: list[str], max_ooo: int,
                       period: int, emit: str = "tick") -> DataFrame:
     """W2 / W3.  ``emit='next_event'`` adds ``wm_changed``: the event is the
     first of its tick and consumes the change flag set by the previous tick."""
-    ticks = bounded_ticks(df, stream_cols, max_ooo, period)
+    from driftmark.session import materialize
+    ticks = materialize(bounded_ticks(df, stream_cols, max_ooo, period,
+                                      changes=emit == "next_event"))
     keep = [*stream_cols, "tick", "wm_begin", "wm_end"]
     if emit == "next_event":
         keep += ["changed", "first_arr", "first_seq"]

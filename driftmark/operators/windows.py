@@ -73,8 +73,9 @@ def tumbling_panes_from_groups(groups: DataFrame, firing, stream_cols: list[str]
     missing = [c for c in stream_cols if c not in key_cols]
     if missing:
         raise ValueError(f"stream columns {missing} must be part of the window key")
-    g = (groups.withColumn("wend", F.col("wstart") + col_of(width))
-               .withColumn("cls", window_class("wend", "wm_before", col_of(allowed))))
+    from driftmark.session import materialize
+    g = materialize(groups.withColumn("wend", F.col("wstart") + col_of(width))
+                          .withColumn("cls", window_class("wend", "wm_before", col_of(allowed))))
     on = (g.where(F.col("cls") == ON_TIME)
             .groupBy(*key_cols, "wstart", "wend")
             .agg(F.sum("n").cast("long").alias("cnt")))

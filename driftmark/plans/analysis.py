@@ -42,12 +42,19 @@ def analyze_runs(panes: DataFrame, run_cols: list[str], stream_cols: list[str])
         F.coalesce(F.sum(F.col("first_cnt") + F.col("npanes") - 1), F.lit(0)).cast("long").alias("elements"),
         F.try_divide(F.sum("first_lag").cast("double"), F.count("first_cnt")).alias("mean_lag"),
         F.coalesce(F.sum("flushed_cnt"), F.lit(0)).cast("long").alias("not_processed"))
-    return out.withColumn("mean_lag", F.round("mean_lag", 6))
+    return out
+
+
+REPORT_TYPES = {"dataset": "string", "approach": "string", "lateness": "bigint",
+                "sensitivity": "double", "change_rate": "double", "threshold": "double",
+                "period": "bigint", "width": "bigint", "windows": "bigint",
+                "elements": "bigint", "mean_lag": "double", "not_processed": "bigint"}
 
 
 def report(summary: DataFrame) -> DataFrame:
     """A3: the 12-column report; parameters of the other approach are NULL."""
-    cols = [F.col(c) if c in summary.columns else F.lit(None).alias(c) for c in REPORT_COLS]
+    cols = [(F.col(c) if c in summary.columns else F.lit(None)).cast(REPORT_TYPES[c]).alias(c)
+            for c in REPORT_COLS]
     return summary.select(*cols)
 
 

@@ -319,3 +319,202 @@ def q_deviation_ratio(spark, sf_dir):
     from driftmark.operators.adaptive import deviation_ratio
     x = deviation_ratio(_ev(spark, sf_dir, "event_type"), ["event_type"], WARMUP)
     return x.select("seq", "event_type", "deviation", F.round("ratio", 9).alias("ratio"))
+
+
+# --- P1-P3, A1-A4: sweep and analysis -------------------------------------------
+
+def _periodic_grid():
+    from driftmark.plans.sweep import periodic_grid
+    return periodic_grid("events")
+
+
+def _sweep_sql(S_extra: list[str], select: str) -> str:
+    from driftmark.plans.sweep import PERIODIC_KEYS
+    S = [*PERIODIC_KEYS, *S_extra]
+    pre = (f"{Q.ev_cte()},\n{Q.values_cte('cfg', _periodic_grid())},\n"
+           f"x AS (SELECT ev.*, cfg.* FROM ev CROSS JOIN cfg)")
+    body = Q.bounded_panes_sql(S, S, "max_ooo", "period", "width", "allowed", src="x", pre=pre)
+    return f"WITH {body}\n{select}"
+
+
+_SWEEP_COLS = "run, event_type, wstart, wend, cnt, lag, flushed, late_fire"
+
+
+@register("sweep_periodic", _sweep_sql(["event_type"], f"SELECT {_SWEEP_COLS} FROM panes"))
+def q_sweep_periodic(spark, sf_dir):
+    """The reference's 8 periodic runs, one job, keyed by run."""
+    from driftmark.plans.sweep import sweep_periodic
+    panes = sweep_periodic(_ev(spark, sf_dir, "event_type"), _periodic_grid(),
+                           ["event_type"], ["event_type"])
+    return panes.select(*_SWEEP_COLS.split(", "))
+
+
+_REPORT_SQL = """SELECT 'events' AS dataset, 'Periodic' AS approach, max_ooo AS lateness,
+       CAST(NULL AS DOUBLE) AS sensitivity, CAST(NULL AS DOUBLE) AS change_rate,
+       CAST(NULL AS DOUBLE) AS threshold, period, width, windows, elements, mean_lag, not_processed
+FROM summary"""
+
+
+@register("run_report", _sweep_sql(["event_type"], "").rstrip() + ",\n" + Q.analyze_sql(["run", "period", "max_ooo", "width", "allowed"],
+                                                   ["event_type"]) + "\n" + _REPORT_SQL)
+def q_run_report(spark, sf_dir):
+    """A1-A3 over the periodic sweep (keyed streams), 12-column report."""
+    from driftmark.plans.analysis import analyze_runs, report
+    from driftmark.plans.sweep import PERIODIC_KEYS, sweep_periodic
+    panes = sweep_periodic(_ev(spark, sf_dir, "event_type"), _periodic_grid(),
+                           ["event_type"], ["event_type"])
+    summary = analyze_runs(panes, PERIODIC_KEYS, ["event_type"])
+    return report(summary.select(
+        F.lit("events").alias("dataset"), F.lit("Periodic").alias("approach"),
+        F.col("max_ooo").alias("lateness"), "period", "width", "windows", "elements",
+        "mean_lag", "not_processed"))
+
+
+@register("compare_runs", _sweep_sql([], "").rstrip() + ",\n"
+          + Q.analyze_sql(["run", "period", "max_ooo", "width", "allowed"], []) + "\n" + _REPORT_SQL)
+def q_compare_runs(spark, sf_dir):
+    """A4 with K1/K2/P3: the periodic sweep over the whole event stream
+    (one stream, as the reference runs it) is written as pane text files
+    named by run, then every file is parsed back and reported in one job."""
+    from driftmark.plans.analysis import compare_runs
+    from driftmark.plans.sweep import sweep_periodic
+    from driftmark.session import scratch_dir
+    from driftmark.sources.text import write_panes
+    panes = sweep_periodic(_ev(spark, sf_dir), _periodic_grid(), [], [])
+    out = scratch_dir(spark, "runs")
+    write_panes(panes, out, "text", partition_col="run")
+    return compare_runs(spark, out)
+
+
+# --- S1-S3, S2+W5, K1+K2: text formats rendered from `events` ------------------
+
+@register("parse_lines", f"""WITH {Q.ev_cte()}
+SELECT row_number() OVER (ORDER BY seq) AS line, t AS ts,
+       CASE WHEN event_type = 'error' THEN 20.0 ELSE value END AS value, false AS bad
+FROM ev""")
+def q_parse_lines(spark, sf_dir):
+    """S1 + S3: ``ts[,value]`` lines rendered in event order (``error``
+    events without a value), parsed back; missing values filled with 20.0."""
+    from driftmark.session import scratch_dir
+    from driftmark.sources.text import read_timed_values
+    ev = _ev(spark, sf_dir, "event_type", "value")
+    line = F.when(F.col("event_type") == "error", F.col("t").cast("string")).otherwise(
+        F.concat_ws(",", F.col("t").cast("string"), F.col("value").cast("string")))
+    path = scratch_dir(spark, "timed")
+    ev.orderBy("seq").select(line.alias("value")).write.text(path)
+    return read_timed_values(spark, path)
+
+
+@register("marker_watermark", f"""WITH {Q.ev_cte()}
+SELECT event_type AS key, t, value,
+       greatest((arr // {H}) * {H} - {MARKER_OFFSET}, 0) AS wm_before,
+       t < greatest((arr // {H}) * {H} - {MARKER_OFFSET}, 0) AS late
+FROM ev""")
+def q_marker_watermark(spark, sf_dir):
+    """S2 + W5: events rendered as ``ts,key,value`` lines in arrival order,
+    a ``W`` marker line opening every arrival hour (watermark = hour start
+    minus 5 h) and a comment header; parsed back and judged against the
+    markers in line order."""
+    from driftmark.functions.time import floor_div
+    from driftmark.operators.watermarks import marker_watermark
+    from driftmark.session import scratch_dir
+    from driftmark.sources.text import marked_stream, read_marked_events
+    ev = _ev(spark, sf_dir, "event_type", "value")
+    hour = floor_div(F.col("arr"), F.lit(H))
+    evl = ev.select(F.col("arr"), F.lit(1).alias("kind"), F.col("seq"),
+                    F.concat_ws(",", F.col("t").cast("string"), "event_type",
+                                F.col("value").cast("string")).alias("line"))
+    mk = (ev.select((hour * H).alias("arr")).distinct()
+            .select("arr", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("seq"),
+                    F.concat_ws(",", (F.col("arr") - MARKER_OFFSET).cast("string"),
+                                F.lit("W"), F.lit("0")).alias("line")))
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("arr"), F.lit(-1).alias("kind"),
+                                 F.lit(0).cast("long").alias("seq"),
+                                 F.lit("* rendered from events").alias("line"))
+    path = scratch_dir(spark, "marked")
+    (evl.unionByName(mk).unionByName(head).orderBy("arr", "kind", "seq")
+        .select(F.col("line").alias("value")).write.text(path))
+    events, markers = marked_stream(read_marked_events(spark, path))
+    out = marker_watermark(events, markers)
+    return out.select("key", "t", "value", "wm_before", "late")
+
+
+@register("pane_text_roundtrip", f"""WITH {Q.bounded_panes_sql(['event_type'], ['event_type'], H, H, H, 3 * H, pre=Q.ev_cte())}
+SELECT wstart, wend, cnt, coalesce(lag, {Q.LONG_MAX} - wend) AS lag, flushed FROM panes""")
+def q_pane_text_roundtrip(spark, sf_dir):
+    """K1 + K2: panes written as ``(TimeWindow{start=s, end=e},cnt,lag)``
+    lines and parsed back (flushed panes carry Long.MAX - end)."""
+    from driftmark.session import scratch_dir
+    from driftmark.sources.text import read_panes_text, write_panes
+    path = scratch_dir(spark, "panes")
+    write_panes(q_tumbling_panes_allowed(spark, sf_dir), path, "text")
+    return read_panes_text(spark, path).select("wstart", "wend", "cnt", "lag", "flushed")
+
+
+# --- W1, D1: adaptive watermark and drift detection (rows-only) ------------------
+
+def _adaptive_params(**kw):
+    from driftmark.operators.adaptive import adaptive_preset
+    from driftmark.operators.drift import AdaptiveParams
+    base = adaptive_preset("four")
+    base.update(kw)
+    return AdaptiveParams(warmup=WARMUP, **base)
+
+
+@register("adaptive_watermark")
+def q_adaptive_watermark(spark, sf_dir):
+    """Drift-driven watermark per event type over the drifting-delay
+    replay of ``events`` (the sweep's constructor form, warm-up 200)."""
+    from driftmark.operators.adaptive import adaptive_watermark
+    return adaptive_watermark(_ev(spark, sf_dir, "event_type", drifting=True), ["event_type"],
+                              _adaptive_params())
+
+
+@register("adaptive_panes")
+def q_adaptive_panes(spark, sf_dir):
+    """W1 -> T1: hourly panes per event type under the adaptive watermark."""
+    from driftmark.operators.adaptive import adaptive_panes
+    return adaptive_panes(_ev(spark, sf_dir, "event_type", drifting=True), ["event_type"],
+                          ["event_type"], H, 0, _adaptive_params())
+
+
+@register("chunk_report")
+def q_chunk_report(spark, sf_dir):
+    """One row per detection, with sensitivity feedback on (W1d)."""
+    from driftmark.operators.adaptive import adaptive_watermark, chunk_report
+    folded = adaptive_watermark(_ev(spark, sf_dir, "event_type", drifting=True), ["event_type"],
+                                _adaptive_params(change_rate=0.1, threshold=0.1))
+    return chunk_report(folded, ["event_type"])
+
+
+@register("adaptive_lateness")
+def q_adaptive_lateness(spark, sf_dir):
+    """W1e: lateness re-estimated on every accepted watermark."""
+    from dataclasses import replace
+    from driftmark.operators.adaptive import adaptive_watermark
+    p = replace(_adaptive_params(), adapt_lateness=True)
+    return adaptive_watermark(_ev(spark, sf_dir, "event_type", drifting=True), ["event_type"], p)
+
+
+@register("adwin_detect")
+def q_adwin_detect(spark, sf_dir):
+    """ADWIN over ``value`` per event type in arrival order."""
+    from driftmark.operators.adaptive import adwin_detect
+    return adwin_detect(_ev(spark, sf_dir, "event_type", "value"), ["event_type"], "value")
+
+
+@register("sweep_adaptive")
+def q_sweep_adaptive(spark, sf_dir):
+    """P1, adaptive half: the reference's 18 runs in one job -> report.
+    Runs that differ only in width share one fold (9 folds per stream)."""
+    from driftmark.plans.analysis import analyze_runs, report
+    from driftmark.plans.sweep import sweep_adaptive
+    panes = sweep_adaptive(_ev(spark, sf_dir, "event_type", drifting=True), "events",
+                           ["event_type"], ["event_type"], warmup=WARMUP)
+    summary = analyze_runs(panes, ["run", "sensitivity", "change_rate", "threshold", "width"],
+                           ["event_type"])
+    return report(summary.select(
+        F.lit("events").alias("dataset"), F.lit("Adaptive").alias("approach"),
+        F.lit(1000).cast("long").alias("lateness"), "sensitivity", "change_rate", "threshold",
+        F.lit(None).cast("long").alias("period"), "width", "windows", "elements",
+        "mean_lag", "not_processed"))

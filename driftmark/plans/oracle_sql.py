@@ -118,7 +118,7 @@ def analyze_sql(run_cols: list[str], stream_cols: list[str], panes: str = "panes
 summary AS (
   SELECT {_cols(run_cols)}count(first_cnt) AS windows,
          CAST(coalesce(sum(first_cnt + npanes - 1), 0) AS BIGINT) AS elements,
-         round(CAST(sum(first_lag) AS DOUBLE) / nullif(count(first_cnt), 0), 6) AS mean_lag,
+         CAST(sum(first_lag) AS DOUBLE) / nullif(count(first_cnt), 0) AS mean_lag,
          CAST(coalesce(sum(flushed_cnt), 0) AS BIGINT) AS not_processed
   FROM pw GROUP BY ALL)"""
 

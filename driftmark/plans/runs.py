@@ -15,18 +15,20 @@ from driftmark.functions.time import window_start
 from driftmark.functions.util import col_of, join_nullsafe
 from driftmark.operators.watermarks import bounded_steps, ticks_from_pre, with_tick
 from driftmark.operators.windows import tumbling_panes_from_groups, window_fate
+from driftmark.session import materialize
 
 
 def bounded_groups(events: DataFrame, stream_cols: list[str], key_cols: list[str],
                    max_ooo: int, period: int, width: int):
     """-> (window groups ``(key, wstart, wm_before, n)``, tick table)."""
-    fine = (with_tick(events, period)
-            .withColumn("wstart", window_start("t", col_of(width)))
-            .groupBy(*key_cols, "tick", "wstart")
-            .agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("tmax")))
+    fine = materialize(
+        with_tick(events, period)
+        .withColumn("wstart", window_start("t", col_of(width)))
+        .groupBy(*key_cols, "tick", "wstart")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("tmax")))
     pre = (fine.groupBy(*stream_cols, "tick")
                .agg(F.max("tmax").alias("tick_max"), F.sum("n").alias("n")))
-    ticks = ticks_from_pre(pre, stream_cols, max_ooo)
+    ticks = materialize(ticks_from_pre(pre, stream_cols, max_ooo))
     g = join_nullsafe(fine.select(*key_cols, "tick", "wstart", "n"),
                       ticks.select(*stream_cols, "tick", F.col("wm_begin").alias("wm_before")),
                       [*stream_cols, "tick"], "left")

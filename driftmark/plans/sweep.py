@@ -122,3 +122,40 @@ def parse_run_name(name) -> list[Column]:
             nz(g(6)).cast("double").alias("change_rate"),
             nz(g(7)).cast("long").alias("period"),
             g(8).cast("long").alias("width")]
+
+
+def sweep_adaptive(events: DataFrame, dataset: str, stream_cols: list[str],
+                   key_cols: list[str], warmup: int, configs: list[dict] | None = None,
+                   lateness: int = ADAPTIVE_LATENESS) -> DataFrame:
+    """P1, adaptive half: one fold per distinct (sensitivity, change rate,
+    threshold) and stream, then the folded stream is replicated per window
+    width and windowed per run (runs differing only in width share a fold).
+    The estimator uses the sweep's constructor form: allowed lateness starts
+    at 0 and comes from the warm-up."""
+    from dataclasses import replace as _replace
+
+    from driftmark.operators.adaptive import adaptive_preset, adaptive_watermark
+    from driftmark.operators.drift import AdaptiveParams
+    from driftmark.operators.watermarks import steps_from_events
+    from driftmark.operators.windows import tumbling_panes
+    configs = configs or adaptive_grid(dataset)
+    fold_keys = ["sensitivity", "change_rate", "threshold"]
+    folds = list({tuple(c[k] for k in fold_keys): None for c in configs})
+    widths = sorted({c["width"] for c in configs})
+    x = replicate(events, [dict(zip(fold_keys, f)) for f in folds])
+    params = _replace(AdaptiveParams(**adaptive_preset("four")), warmup=warmup)
+    pass_cols = [c for c in key_cols if c not in stream_cols]
+    from driftmark.session import materialize
+    folded = materialize(adaptive_watermark(x, [*fold_keys, *stream_cols], params,
+                                            pass_cols=pass_cols, param_cols=True))
+    y = replicate(folded, [dict(width=w) for w in widths])
+    run = F.concat(F.lit(f"{dataset}AdaptiveL-{lateness}OOO-"), F.col("threshold").cast("string"),
+                   F.lit("S-"), F.col("sensitivity").cast("string"),
+                   F.lit("SCR-"), F.col("change_rate").cast("string"),
+                   F.lit("W-"), F.col("width").cast("string"), F.lit(".txt"))
+    y = y.withColumn("run", run)
+    wanted = {c["run"] for c in configs}
+    y = y.where(F.col("run").isin(sorted(wanted)))
+    steps = steps_from_events(y, [*ADAPTIVE_KEYS, *stream_cols])
+    return tumbling_panes(y, steps, [*ADAPTIVE_KEYS, *stream_cols], [*ADAPTIVE_KEYS, *key_cols],
+                          F.col("width"), 0)

@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
@@ -54,3 +54,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, never reused folder below the checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage where a result fans out to several consumers.
+
+    Branches of one DataFrame are pruned to different columns by Catalyst, so
+    their exchanges stop being identical and AQE cannot reuse them; nested
+    fan-out then recomputes (and rescans) the upstream once per path.  A
+    reliable checkpoint into the shared checkpoint folder computes the input
+    once, survives executor loss (the files outlive executors), and keeps
+    its output partitioning for the consumers."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
