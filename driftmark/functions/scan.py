@@ -57,31 +57,35 @@ def blocked_scan(df: DataFrame, part_cols: list[str], block, order_cols,
 
     The partition key travels as one struct column, so the level-1 window,
     the block aggregate and the join back all cluster on the same
-    ``(key, block)`` columns and share one exchange of the input."""
+    ``(key, block)`` columns and share one exchange of the input.
+
+    Every frame is a running frame starting at ``unboundedPreceding`` (Spark
+    evaluates those incrementally); a backward scan runs forward over the
+    reversed order, since ``... unboundedFollowing`` frames of min/max are
+    re-evaluated per row (quadratic in the partition size).  Order columns
+    must be unique within a partition for exclusive scans."""
     pk, bcol = "__pk", "__blk"
-    order = [col_of(c) for c in order_cols]
-    x = df.withColumn(pk, key_struct(list(part_cols))).withColumn(bcol, col_of(block))
-    w1 = Window.partitionBy(pk, bcol).orderBy(*order)
+    asc = [col_of(c) for c in order_cols]
+    desc = [c.desc() for c in asc]
+    x = df.select("*", key_struct(list(part_cols)).alias(pk), col_of(block).alias(bcol))
+    local = []
     for i, s in enumerate(scans):
-        if s.backward:
-            frame = (0 if s.inclusive else 1, Window.unboundedFollowing)
-        else:
-            frame = (Window.unboundedPreceding, 0 if s.inclusive else -1)
-        x = x.withColumn(f"__loc{i}", _AGG[s.agg](s.value).over(w1.rowsBetween(*frame)))
+        w1 = Window.partitionBy(pk, bcol).orderBy(*(desc if s.backward else asc))
+        frame = (Window.unboundedPreceding, 0 if s.inclusive else -1)
+        local.append(_AGG[s.agg](s.value).over(w1.rowsBetween(*frame)).alias(f"__loc{i}"))
+    x = x.select("*", *local)
 
     blocks = x.groupBy(pk, bcol).agg(
         *[_AGG[s.agg](s.value).alias(f"__tot{i}") for i, s in enumerate(scans)])
-    w2 = Window.partitionBy(pk).orderBy(bcol)
     carry_cols = []
     for i, s in enumerate(scans):
-        frame = ((1, Window.unboundedFollowing) if s.backward
-                 else (Window.unboundedPreceding, -1))
+        w2 = Window.partitionBy(pk).orderBy(F.col(bcol).desc() if s.backward else F.col(bcol))
         carry_cols.append(
-            _AGG[s.agg](f"__tot{i}").over(w2.rowsBetween(*frame)).alias(f"__car{i}"))
+            _AGG[s.agg](f"__tot{i}").over(w2.rowsBetween(Window.unboundedPreceding, -1))
+            .alias(f"__car{i}"))
     carry = blocks.select(pk, bcol, *carry_cols)
 
     y = x.join(carry, [pk, bcol], "left")
-    for i, s in enumerate(scans):
-        y = y.withColumn(s.out, _combine(s.agg, F.col(f"__loc{i}"), F.col(f"__car{i}")))
-    return y.drop(pk, bcol, *[f"__loc{i}" for i in range(len(scans))],
-                  *[f"__car{i}" for i in range(len(scans))])
+    out = [_combine(s.agg, F.col(f"__loc{i}"), F.col(f"__car{i}")).alias(s.out)
+           for i, s in enumerate(scans)]
+    return y.select(*[F.col(c) for c in df.columns if c not in {s.out for s in scans}], *out)

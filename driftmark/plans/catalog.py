@@ -360,10 +360,11 @@ FROM summary"""
 def q_run_report(spark, sf_dir):
     """A1-A3 over the periodic sweep (keyed streams), 12-column report."""
     from driftmark.plans.analysis import analyze_runs, report
-    from driftmark.plans.sweep import PERIODIC_KEYS, sweep_periodic
-    panes = sweep_periodic(_ev(spark, sf_dir, "event_type"), _periodic_grid(),
-                           ["event_type"], ["event_type"])
-    summary = analyze_runs(panes, PERIODIC_KEYS, ["event_type"])
+    from driftmark.plans.sweep import PERIODIC_KEYS, sweep_periodic_panes, with_config
+    grid = _periodic_grid()
+    panes = sweep_periodic_panes(_ev(spark, sf_dir, "event_type"), grid,
+                                 ["event_type"], ["event_type"])
+    summary = with_config(analyze_runs(panes, ["cfg"], ["event_type"]), grid, PERIODIC_KEYS)
     return report(summary.select(
         F.lit("events").alias("dataset"), F.lit("Periodic").alias("approach"),
         F.col("max_ooo").alias("lateness"), "period", "width", "windows", "elements",
@@ -377,10 +378,11 @@ def q_compare_runs(spark, sf_dir):
     (one stream, as the reference runs it) is written as pane text files
     named by run, then every file is parsed back and reported in one job."""
     from driftmark.plans.analysis import compare_runs
-    from driftmark.plans.sweep import sweep_periodic
+    from driftmark.plans.sweep import sweep_periodic_panes, with_config
     from driftmark.session import scratch_dir
     from driftmark.sources.text import write_panes
-    panes = sweep_periodic(_ev(spark, sf_dir), _periodic_grid(), [], [])
+    grid = _periodic_grid()
+    panes = with_config(sweep_periodic_panes(_ev(spark, sf_dir), grid, [], []), grid, ["run"])
     out = scratch_dir(spark, "runs")
     write_panes(panes, out, "text", partition_col="run")
     return compare_runs(spark, out)
@@ -508,11 +510,10 @@ def q_sweep_adaptive(spark, sf_dir):
     """P1, adaptive half: the reference's 18 runs in one job -> report.
     Runs that differ only in width share one fold (9 folds per stream)."""
     from driftmark.plans.analysis import analyze_runs, report
-    from driftmark.plans.sweep import sweep_adaptive
-    panes = sweep_adaptive(_ev(spark, sf_dir, "event_type", drifting=True), "events",
-                           ["event_type"], ["event_type"], warmup=WARMUP)
-    summary = analyze_runs(panes, ["run", "sensitivity", "change_rate", "threshold", "width"],
-                           ["event_type"])
+    from driftmark.plans.sweep import ADAPTIVE_KEYS, sweep_adaptive_panes, with_config
+    panes, table = sweep_adaptive_panes(_ev(spark, sf_dir, "event_type", drifting=True),
+                                        "events", ["event_type"], ["event_type"], warmup=WARMUP)
+    summary = with_config(analyze_runs(panes, ["cfg"], ["event_type"]), table, ADAPTIVE_KEYS)
     return report(summary.select(
         F.lit("events").alias("dataset"), F.lit("Adaptive").alias("approach"),
         F.lit(1000).cast("long").alias("lateness"), "sensitivity", "change_rate", "threshold",

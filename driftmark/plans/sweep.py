@@ -76,13 +76,44 @@ def replicate(events: DataFrame, configs: list[dict]) -> DataFrame:
                   .select(*events.columns, *[F.col(f"__cfg.{k}").alias(k) for k in keys]))
 
 
+def replicate_ids(events: DataFrame, n: int, name: str = "cfg") -> DataFrame:
+    """Every event once per configuration id ``0 .. n-1``."""
+    return events.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name))
+
+
+def config_param(configs: list[dict], field: str, id_col: str = "cfg") -> Column:
+    """Value of ``field`` for the row's configuration id, from a literal map:
+    runs are keyed by one small integer, parameters are looked up where an
+    operator needs them (narrow sort and hash keys)."""
+    from driftmark.functions.util import col_of
+    pairs = []
+    for i, c in enumerate(configs):
+        v = c[field]
+        pairs += [F.lit(i), F.lit(v) if isinstance(v, str) else col_of(v)]
+    return F.element_at(F.create_map(*pairs), F.col(id_col))
+
+
+def with_config(df: DataFrame, configs: list[dict], fields: list[str],
+                id_col: str = "cfg") -> DataFrame:
+    return df.select(*[config_param(configs, f, id_col).alias(f) for f in fields], "*")
+
+
+def sweep_periodic_panes(events: DataFrame, configs: list[dict], stream_cols: list[str],
+                         key_cols: list[str]) -> DataFrame:
+    """P1, periodic half: bounded watermark -> tumbling panes per run,
+    keyed by the configuration id ``cfg``."""
+    from driftmark.plans.runs import bounded_panes
+    x = replicate_ids(events, len(configs))
+    cp = lambda f: config_param(configs, f)
+    return bounded_panes(x, ["cfg", *stream_cols], ["cfg", *key_cols],
+                         cp("max_ooo"), cp("period"), cp("width"), cp("allowed"))
+
+
 def sweep_periodic(events: DataFrame, configs: list[dict], stream_cols: list[str],
                    key_cols: list[str]) -> DataFrame:
-    """P1, periodic half: bounded watermark -> tumbling panes per run."""
-    from driftmark.plans.runs import bounded_panes
-    x = replicate(events, configs)
-    return bounded_panes(x, [*PERIODIC_KEYS, *stream_cols], [*PERIODIC_KEYS, *key_cols],
-                         F.col("max_ooo"), F.col("period"), F.col("width"), F.col("allowed"))
+    """Panes of every periodic run with the run's parameters as columns."""
+    panes = sweep_periodic_panes(events, configs, stream_cols, key_cols)
+    return with_config(panes, configs, PERIODIC_KEYS).drop("cfg")
 
 
 def pending_configs(spark: SparkSession, configs: list[dict], done_path: str | None) -> list[dict]:
@@ -124,38 +155,46 @@ def parse_run_name(name) -> list[Column]:
             g(8).cast("long").alias("width")]
 
 
-def sweep_adaptive(events: DataFrame, dataset: str, stream_cols: list[str],
-                   key_cols: list[str], warmup: int, configs: list[dict] | None = None,
-                   lateness: int = ADAPTIVE_LATENESS) -> DataFrame:
+def sweep_adaptive_panes(events: DataFrame, dataset: str, stream_cols: list[str],
+                         key_cols: list[str], warmup: int, configs: list[dict] | None = None):
     """P1, adaptive half: one fold per distinct (sensitivity, change rate,
     threshold) and stream, then the folded stream is replicated per window
     width and windowed per run (runs differing only in width share a fold).
     The estimator uses the sweep's constructor form: allowed lateness starts
-    at 0 and comes from the warm-up."""
+    at 0 and comes from the warm-up.  Returns (panes keyed by ``cfg``,
+    configs)."""
     from dataclasses import replace as _replace
 
     from driftmark.operators.adaptive import adaptive_preset, adaptive_watermark
     from driftmark.operators.drift import AdaptiveParams
     from driftmark.operators.watermarks import steps_from_events
     from driftmark.operators.windows import tumbling_panes
+    from driftmark.session import materialize
     configs = configs or adaptive_grid(dataset)
     fold_keys = ["sensitivity", "change_rate", "threshold"]
     folds = list({tuple(c[k] for k in fold_keys): None for c in configs})
+    fold_cfgs = [dict(zip(fold_keys, f)) for f in folds]
     widths = sorted({c["width"] for c in configs})
-    x = replicate(events, [dict(zip(fold_keys, f)) for f in folds])
+    x = replicate_ids(events, len(folds), "fold")
+    x = x.select("*", *[config_param(fold_cfgs, k, "fold").alias(k) for k in fold_keys])
     params = _replace(AdaptiveParams(**adaptive_preset("four")), warmup=warmup)
     pass_cols = [c for c in key_cols if c not in stream_cols]
-    from driftmark.session import materialize
-    folded = materialize(adaptive_watermark(x, [*fold_keys, *stream_cols], params,
+    folded = materialize(adaptive_watermark(x, ["fold", *stream_cols], params,
                                             pass_cols=pass_cols, param_cols=True))
-    y = replicate(folded, [dict(width=w) for w in widths])
-    run = F.concat(F.lit(f"{dataset}AdaptiveL-{lateness}OOO-"), F.col("threshold").cast("string"),
-                   F.lit("S-"), F.col("sensitivity").cast("string"),
-                   F.lit("SCR-"), F.col("change_rate").cast("string"),
-                   F.lit("W-"), F.col("width").cast("string"), F.lit(".txt"))
-    y = y.withColumn("run", run)
-    wanted = {c["run"] for c in configs}
-    y = y.where(F.col("run").isin(sorted(wanted)))
-    steps = steps_from_events(y, [*ADAPTIVE_KEYS, *stream_cols])
-    return tumbling_panes(y, steps, [*ADAPTIVE_KEYS, *stream_cols], [*ADAPTIVE_KEYS, *key_cols],
-                          F.col("width"), 0)
+    # run id = fold * len(widths) + width index; runs absent from `configs` are dropped
+    runs = []
+    by_key = {(tuple(c[k] for k in fold_keys), c["width"]): c for c in configs}
+    for fi, f in enumerate(folds):
+        for w in widths:
+            c = by_key.get((f, w))
+            runs.append(dict(c, fold=fi) if c else None)
+    y = replicate_ids(folded, len(widths), "__wi")
+    y = y.withColumn("cfg", F.col("fold") * len(widths) + F.col("__wi")).drop("__wi", "fold")
+    keep = [i for i, r in enumerate(runs) if r is not None]
+    if len(keep) < len(runs):
+        y = y.where(F.col("cfg").isin(keep))
+    table = [r or dict(runs[keep[0]]) for r in runs]
+    width = config_param(table, "width")
+    steps = steps_from_events(y, ["cfg", *stream_cols])
+    panes = tumbling_panes(y, steps, ["cfg", *stream_cols], ["cfg", *key_cols], width, 0)
+    return panes, table

@@ -65,5 +65,12 @@ def materialize(df: DataFrame) -> DataFrame:
     reliable checkpoint into the shared checkpoint folder computes the input
     once, survives executor loss (the files outlive executors), and keeps
     its output partitioning for the consumers."""
+    from pyspark import StorageLevel
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persist first: an eager checkpoint otherwise computes its input twice
+    # (once for the action, once for the checkpoint write)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
