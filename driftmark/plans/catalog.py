@@ -519,3 +519,52 @@ def q_sweep_adaptive(spark, sf_dir):
         F.lit(1000).cast("long").alias("lateness"), "sensitivity", "change_rate", "threshold",
         F.lit(None).cast("long").alias("period"), "width", "windows", "elements",
         "mean_lag", "not_processed"))
+
+
+# --- streaming (file replay in arrival order, availableNow) ---------------------
+
+def _replayed(spark, sf_dir, name, *cols, drifting=False):
+    from driftmark.session import scratch_dir
+    from driftmark.streaming.live import read_replay, replay_to_files
+    ev = _ev(spark, sf_dir, *cols, drifting=drifting)
+    path = scratch_dir(spark, f"{name}-in")
+    replay_to_files(ev, path)
+    return read_replay(spark, path, ev.schema)
+
+
+@register("stream_running_average", ORACLES["running_average"])
+def q_stream_running_average(spark, sf_dir):
+    """T8 live: the running mean kept in keyed streaming state; micro-batches
+    are arrival slices.  Must equal the batch operator row for row."""
+    from driftmark.streaming.live import run_available_now, running_average_stream
+    sdf = _replayed(spark, sf_dir, "ravg", "event_type", "value")
+    out = run_available_now(running_average_stream(sdf, ["event_type"], "value",
+                                                   scale=VALUE_SCALE), "ravg")
+    return out.select("seq", "event_type", "running_avg")
+
+
+@register("stream_adaptive")
+def q_stream_adaptive(spark, sf_dir):
+    """W1 + T1 live via transformWithStateInPandas: panes fired by the
+    adaptive watermark (windows never fired stay in state)."""
+    from driftmark.streaming.live import adaptive_panes_stream, run_available_now
+    sdf = _replayed(spark, sf_dir, "adapt", "event_type", drifting=True)
+    return run_available_now(adaptive_panes_stream(sdf, ["event_type"], H, 0,
+                                                   _adaptive_params()), "adapt")
+
+
+@register("stream_tumbling_native")
+def q_stream_tumbling_native(spark, sf_dir):
+    """Built-in live counterpart of W2 + T1: withWatermark(delay 1 h) and
+    hourly event-time windows per event type (approximate, §7.4)."""
+    from driftmark.streaming.live import run_available_now, tumbling_counts_native
+    sdf = _replayed(spark, sf_dir, "native", "event_type")
+    return run_available_now(tumbling_counts_native(sdf, ["event_type"], H, H), "native")
+
+
+@register("stream_sessions")
+def q_stream_sessions(spark, sf_dir):
+    """T7 live: session windows per user behind a 7 h watermark delay."""
+    from driftmark.streaming.live import run_available_now, session_windows_stream
+    sdf = _replayed(spark, sf_dir, "sess", "user_id")
+    return run_available_now(session_windows_stream(sdf, ["user_id"], SESSION_GAP, 7 * H), "sess")
