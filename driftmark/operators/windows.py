@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from driftmark.functions.scan import Scan, blocked_scan
 from driftmark.functions.time import floor_div, gmt_text_ss, window_start
 from driftmark.functions.util import col_of, join_nullsafe
-from driftmark.operators.lateness import LATE_KEPT, ON_TIME, window_class
+from driftmark.operators.lateness import DROPPED, LATE_KEPT, ON_TIME, window_class
 
 PANE_COLS = ["wstart", "wend", "cnt", "lag", "flushed", "late_fire"]
 BLOCK_WINDOWS = 1024
@@ -38,23 +38,26 @@ def window_groups(df: DataFrame, key_cols: list[str], width: int,
 
 
 def first_watermark_at_least(probes: DataFrame, steps: DataFrame,
-                             stream_cols: list[str], span: int) -> DataFrame:
-    """As-of lookup: for each ``(stream, wend)`` of ``probes`` the minimum
-    emitted ``wm >= wend - 1`` of that stream (NULL if none).
+                             stream_cols: list[str], span) -> DataFrame:
+    """As-of lookup: every row of ``probes`` (stream columns, ``wend`` and
+    any payload) gets ``fire_wm``, the minimum emitted ``wm >= wend - 1`` of
+    its stream (NULL if none).
 
     Probes and steps are unioned and a backward min-scan over
     ``(value, kind)`` runs in value blocks of ``span`` ms; a step equal to
     the probe value sorts after the probe and is therefore seen by it."""
-    p = probes.select(*stream_cols, F.col("wend"),
+    payload = [c for c in probes.columns if c not in (*stream_cols, "wend")]
+    types = {f.name: f.dataType for f in probes.schema.fields}
+    p = probes.select(*stream_cols, "wend", *payload,
                       (F.col("wend") - 1).alias("__v"), F.lit(0).alias("__k"),
                       F.lit(None).cast("long").alias("__w"))
     s = steps.select(*stream_cols, F.lit(None).cast("long").alias("wend"),
-                     F.col("wm").alias("__v"), F.lit(1).alias("__k"),
-                     F.col("wm").alias("__w"))
+                     *[F.lit(None).cast(types[c]).alias(c) for c in payload],
+                     F.col("wm").alias("__v"), F.lit(1).alias("__k"), F.col("wm").alias("__w"))
     u = blocked_scan(p.unionByName(s), stream_cols,
                      floor_div(F.col("__v"), col_of(span)), ["__v", "__k"],
                      [Scan("fire_wm", "__w", "min", backward=True)])
-    return u.where(F.col("__k") == 0).select(*stream_cols, "wend", "fire_wm")
+    return u.where(F.col("__k") == 0).drop("__v", "__k", "__w")
 
 
 def tumbling_panes_from_groups(groups: DataFrame, firing, stream_cols: list[str],
@@ -70,36 +73,44 @@ def tumbling_panes_from_groups(groups: DataFrame, firing, stream_cols: list[str]
     late_fire``.  ``flushed`` panes never saw a firing watermark (end of
     stream) and have ``lag`` NULL.
     """
+    from driftmark.session import materialize
     missing = [c for c in stream_cols if c not in key_cols]
     if missing:
         raise ValueError(f"stream columns {missing} must be part of the window key")
-    from driftmark.session import materialize
-    g = materialize(groups.withColumn("wend", F.col("wstart") + col_of(width))
-                          .withColumn("cls", window_class("wend", "wm_before", col_of(allowed))))
+    g = materialize(
+        groups.withColumn("wend", F.col("wstart") + col_of(width))
+              .withColumn("cls", window_class("wend", "wm_before", col_of(allowed)))
+              .where(F.col("cls") != DROPPED))
+    # on-time panes: one per window, fired by the first watermark >= wend - 1
     on = (g.where(F.col("cls") == ON_TIME)
             .groupBy(*key_cols, "wstart", "wend")
             .agg(F.sum("n").cast("long").alias("cnt")))
-    if isinstance(firing, DataFrame):
+    if not isinstance(firing, DataFrame):
+        on = firing(on)
+    elif set(key_cols) == set(stream_cols):
+        # one window per (stream, wend): probe the windows themselves
+        on = first_watermark_at_least(on, firing, stream_cols,
+                                      col_of(width) * F.lit(BLOCK_WINDOWS))
+    else:
         ends = on.select(*stream_cols, "wend").distinct()
-        fired = first_watermark_at_least(ends, firing, stream_cols, col_of(width) * F.lit(BLOCK_WINDOWS))
+        fired = first_watermark_at_least(ends, firing, stream_cols,
+                                         col_of(width) * F.lit(BLOCK_WINDOWS))
         on = join_nullsafe(on, fired, [*stream_cols, "wend"], "left")
-    else:
-        on = firing(on)
     on_panes = on.select(
         *key_cols, "wstart", "wend", "cnt",
         (F.col("fire_wm") - F.col("wend")).alias("lag"),
         F.col("fire_wm").isNull().alias("flushed"),
         F.lit(False).alias("late_fire"))
 
-    late = (g.where(F.col("cls") == LATE_KEPT)
-              .groupBy(*key_cols, "wstart", "wend", "wm_before")
-              .agg(F.sum("n").cast("long").alias("n")))
-    late = blocked_scan(late, [*key_cols, "wstart"],
-                        floor_div(F.col("wm_before"), col_of(width)), ["wm_before"],
-                        [Scan("__before", "n", "sum", inclusive=False)])
-    late = join_nullsafe(late, on.select(*key_cols, "wstart", F.col("cnt").alias("__on")),
-                         [*key_cols, "wstart"], "left")
-    base = (F.coalesce("__on", F.lit(0)) + F.col("__before")).cast("long")
+    # kept late rows: each re-fires with the cumulative count.  Groups of a
+    # window in wm_before order put all on-time groups first (their
+    # wm_before < wend - 1 <= any late one), so the exclusive running sum of
+    # n is exactly the count before the group's first re-fire.
+    x = blocked_scan(g, [*key_cols, "wstart"],
+                     floor_div(F.col("wm_before"), col_of(width)), ["wm_before"],
+                     [Scan("__before", "n", "sum", inclusive=False)])
+    late = x.where(F.col("cls") == LATE_KEPT)
+    base = F.col("__before").cast("long")
     late_panes = late.select(
         *key_cols, "wstart", "wend",
         F.explode(F.sequence(base + 1, base + F.col("n"))).alias("cnt"),

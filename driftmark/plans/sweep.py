@@ -118,20 +118,17 @@ def sweep_periodic(events: DataFrame, configs: list[dict], stream_cols: list[str
 
 def pending_configs(spark: SparkSession, configs: list[dict], done_path: str | None) -> list[dict]:
     """Drop runs whose output already exists under ``done_path``
-    (folders ``run=<name>``), by a left-anti join of the grid against the
-    finished run names.  Only the grid itself (bounded by its literal size)
-    comes back to the driver."""
-    if not done_path:
-        return list(configs)
+    (pane folders ``run=<name>`` written by ``write_panes``), by a left-anti
+    join of the grid against the finished run names.  Only the grid itself
+    (bounded by its literal size) comes back to the driver."""
     import os
-    from py4j.protocol import Py4JJavaError  # noqa: F401
+    if not done_path or not os.path.exists(done_path.replace("file:", "")):
+        return list(configs)
     grid = spark.createDataFrame([(c["run"],) for c in configs], "run string")
-    try:
-        done = spark.read.text(done_path).select("run").distinct()
-    except Exception:  # nothing written yet
+    done = spark.read.text(done_path)
+    if "run" not in done.columns:
         return list(configs)
-    left = {r.run for r in grid.join(done, "run", "left_anti").collect()}
-    del os
+    left = {r.run for r in grid.join(done.select("run").distinct(), "run", "left_anti").collect()}
     return [c for c in configs if c["run"] in left]
 
 

@@ -110,3 +110,16 @@ def test_run_names_round_trip(spark):
         else:
             assert (p.approach, p.threshold, p.sensitivity, p.change_rate) == (
                 "Adaptive", c["threshold"], c["sensitivity"], c["change_rate"])
+
+
+def test_skip_existing_runs(spark, tmp_dir):
+    from driftmark.plans.sweep import pending_configs, sweep_periodic
+    from driftmark.sources.text import write_panes
+    grid = periodic_grid("ev")
+    assert len(pending_configs(spark, grid, tmp_dir + "/nothing")) == 8
+    rows = [(i, i * 10 + 5, i * 10 + 7) for i in range(50)]
+    ev = spark.createDataFrame(rows, "seq long, t long, arr long")
+    panes = sweep_periodic(ev, grid[:2], [], [])
+    write_panes(panes, tmp_dir + "/runs", "text", partition_col="run")
+    left = pending_configs(spark, grid, tmp_dir + "/runs")
+    assert [c["run"] for c in left] == [c["run"] for c in grid[2:]]
