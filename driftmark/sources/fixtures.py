@@ -54,17 +54,3 @@ def event_stream(spark: SparkSession, sf_dir: str, *extra: str,
         (t + delay_ms(drifting=drifting)).alias("arr"),
         *extra,
     )
-
-
-def lineitem_stream(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    """``lineitem`` replayed in order-key order against ship date: the table
-    is disordered already.  (l_orderkey, l_linenumber) is not unique, so the
-    tie-break is a hash of the whole row."""
-    li = table(spark, sf_dir, "lineitem")
-    cols = li.columns
-    return li.select(
-        F.xxhash64(*cols).alias("seq"),
-        epoch_ms("l_shipdate").alias("t"),
-        F.col("l_orderkey").alias("arr"),
-        *extra,
-    )
