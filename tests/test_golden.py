@@ -123,3 +123,17 @@ def test_skip_existing_runs(spark, tmp_dir):
     write_panes(panes, tmp_dir + "/runs", "text", partition_col="run")
     left = pending_configs(spark, grid, tmp_dir + "/runs")
     assert [c["run"] for c in left] == [c["run"] for c in grid[2:]]
+
+
+def test_session_blocked_equals_builtin(spark):
+    import random
+    from driftmark.operators.windows import session_windows_builtin
+    rnd = random.Random(4)
+    rows, t = [], 0
+    for i in range(4000):
+        t += rnd.choice([1, 5, 50, 99, 100, 101, 400])
+        rows.append((i, t, rnd.choice(["a", "b", "c"])))
+    df = spark.createDataFrame(rows, "seq long, t long, k string")
+    a = sorted(tuple(r) for r in session_windows(df, ["k"], 100, block_ms=1000).collect())
+    b = sorted(tuple(r) for r in session_windows_builtin(df, ["k"], 100).collect())
+    assert a == b
