@@ -17,8 +17,15 @@ LONG_MAX = 9223372036854775807
 
 
 def epoch_ms(ts: str) -> Column:
-    """TIMESTAMP_NTZ column -> epoch milliseconds (sub-ms digits truncated)."""
-    return F.expr(f"timestampdiff(MILLISECOND, {EPOCH_NTZ}, `{ts}`)")
+    """TIMESTAMP_NTZ column -> epoch milliseconds (sub-ms digits dropped).
+
+    Built from the value's own date and time-of-day fields, so no session
+    time zone is involved (``timestampdiff`` would cast through the session
+    zone and shift values across daylight-saving changes)."""
+    c = f"`{ts}`"
+    return F.expr(
+        f"unix_date(to_date({c})) * 86400000L + hour({c}) * 3600000L + minute({c}) * 60000L"
+        f" + CAST(floor(extract(SECOND FROM {c}) * 1000) AS BIGINT)")
 
 
 def ms_to_ntz(ms) -> Column:

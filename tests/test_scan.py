@@ -39,3 +39,23 @@ def test_floor_div_negative(spark):
     df = spark.range(-7, 8).select(F.col("id").alias("a"))
     out = [(r.a, r.q) for r in df.select("a", floor_div("a", F.lit(3)).alias("q")).collect()]
     assert all(q == a // 3 for a, q in out)
+
+
+def test_epoch_ms_and_text_ignore_session_zone(spark):
+    from driftmark.functions.time import epoch_ms, gmt_text_ss
+    from driftmark.sources.fixtures import table
+    ev = table(spark, "/root/testdata/sf0.001", "events").select("event_id", "ts")
+    base = {r.event_id: (r.t, r.txt) for r in ev.select(
+        "event_id", epoch_ms("ts").alias("t"), gmt_text_ss(epoch_ms("ts")).alias("txt")).collect()}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        other = {r.event_id: (r.t, r.txt) for r in ev.select(
+            "event_id", epoch_ms("ts").alias("t"), gmt_text_ss(epoch_ms("ts")).alias("txt")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert base == other
+    import datetime
+    r = ev.orderBy("event_id").first()
+    want = (r.ts - datetime.datetime(1970, 1, 1)) // datetime.timedelta(milliseconds=1)
+    assert base[r.event_id][0] == want
