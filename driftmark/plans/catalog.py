@@ -568,3 +568,24 @@ def q_stream_sessions(spark, sf_dir):
     from driftmark.streaming.live import run_available_now, session_windows_stream
     sdf = _replayed(spark, sf_dir, "sess", "user_id")
     return run_available_now(session_windows_stream(sdf, ["user_id"], SESSION_GAP, 7 * H), "sess")
+
+
+# --- a second dataset: lineitem, arriving in order-key order -------------------
+
+DAY = 86_400_000
+LI_PERIOD = 1_000            # watermark tick every 1,000 order keys
+LI_BOUND = 30 * DAY          # bounded disorder of ship dates
+LI_CTE = """li AS (
+  SELECT l_returnflag, epoch_us(l_shipdate) // 1000 AS t, l_orderkey AS arr FROM lineitem)"""
+
+
+@register("lineitem_panes", f"""WITH {Q.bounded_panes_sql(['l_returnflag'], ['l_returnflag'], LI_BOUND, LI_PERIOD, DAY, 7 * DAY, src='li', pre=LI_CTE)}
+SELECT * FROM panes""")
+def q_lineitem_panes(spark, sf_dir):
+    """Daily ship-date panes per return flag while line items arrive in
+    order-key order: 30-day bounded watermark on a 1,000-key tick, 7 days
+    allowed lateness."""
+    from driftmark.plans.runs import bounded_panes
+    from driftmark.sources.fixtures import lineitem_stream
+    li = lineitem_stream(spark, sf_dir, "l_returnflag")
+    return bounded_panes(li, ["l_returnflag"], ["l_returnflag"], LI_BOUND, LI_PERIOD, DAY, 7 * DAY)

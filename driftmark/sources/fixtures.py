@@ -54,3 +54,18 @@ def event_stream(spark: SparkSession, sf_dir: str, *extra: str,
         (t + delay_ms(drifting=drifting)).alias("arr"),
         *extra,
     )
+
+
+def lineitem_stream(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """``lineitem`` replayed in order-key order against ship date, which is
+    disordered already: ``arr`` is the order key (an arrival ordinal, so
+    ticks count order keys), ``t`` the ship date in epoch ms.  The tie-break
+    hashes the whole row: (l_orderkey, l_linenumber) is not unique, and rows
+    equal in every column are interchangeable."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.xxhash64(*li.columns).alias("seq"),
+        epoch_ms("l_shipdate").alias("t"),
+        F.col("l_orderkey").alias("arr"),
+        *extra,
+    )

@@ -1,7 +1,6 @@
 """Properties from SURVEY §5: fold order, monotone watermarks, conservation
 of elements, independence from shuffle partitioning and batch sizes."""
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL

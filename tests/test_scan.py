@@ -59,3 +59,20 @@ def test_epoch_ms_and_text_ignore_session_zone(spark):
     r = ev.orderBy("event_id").first()
     want = (r.ts - datetime.datetime(1970, 1, 1)) // datetime.timedelta(milliseconds=1)
     assert base[r.event_id][0] == want
+
+
+def test_single_hot_key_spreads_over_tasks(spark):
+    """All rows in one key: the level-1 window still runs in many tasks."""
+    df = spark.range(200_000).select(F.lit("hot").alias("k"), F.col("id").alias("o"),
+                                     (F.col("id") % 97).alias("v"))
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = blocked_scan(df, ["k"], floor_div(F.col("o"), F.lit(5_000)), ["o"],
+                           [Scan("s", "v", "sum")])
+        parts = out.select(F.spark_partition_id().alias("p")).distinct().count()
+        last = out.orderBy(F.col("o").desc()).first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert parts >= 4
+    assert last.s == sum(i % 97 for i in range(200_000))
