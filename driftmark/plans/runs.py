@@ -19,13 +19,19 @@ from driftmark.session import materialize
 
 
 def bounded_groups(events: DataFrame, stream_cols: list[str], key_cols: list[str],
-                   max_ooo: int, period: int, width: int):
-    """-> (window groups ``(key, wstart, wm_before, n)``, tick table)."""
+                   max_ooo: int, period: int, width: int, weight: str | None = None,
+                   tmax: str | None = None):
+    """-> (window groups ``(key, wstart, wm_before, n)``, tick table).
+
+    ``weight``/``tmax`` accept pre-aggregated input: each row stands for
+    ``weight`` events whose largest event time is ``tmax`` (``t`` and
+    ``arr`` being slot starts aligned to every width and period used)."""
+    n = F.sum(weight) if weight else F.count(F.lit(1))
     fine = materialize(
         with_tick(events, period)
         .withColumn("wstart", window_start("t", col_of(width)))
         .groupBy(*key_cols, "tick", "wstart")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("tmax")))
+        .agg(n.cast("long").alias("n"), F.max(tmax or "t").alias("tmax")))
     pre = (fine.groupBy(*stream_cols, "tick")
                .agg(F.max("tmax").alias("tick_max"), F.sum("n").alias("n")))
     ticks = materialize(ticks_from_pre(pre, stream_cols, max_ooo))
@@ -38,8 +44,10 @@ def bounded_groups(events: DataFrame, stream_cols: list[str], key_cols: list[str
 
 
 def bounded_panes(events: DataFrame, stream_cols: list[str], key_cols: list[str],
-                  max_ooo: int, period: int, width: int, allowed: int = 0) -> DataFrame:
-    groups, ticks = bounded_groups(events, stream_cols, key_cols, max_ooo, period, width)
+                  max_ooo: int, period: int, width: int, allowed: int = 0,
+                  weight: str | None = None, tmax: str | None = None) -> DataFrame:
+    groups, ticks = bounded_groups(events, stream_cols, key_cols, max_ooo, period, width,
+                                   weight, tmax)
     steps = bounded_steps(ticks, stream_cols, period)
     return tumbling_panes_from_groups(groups, steps, stream_cols, key_cols, width, allowed)
 

@@ -10,6 +10,7 @@ operators take them as columns (``F.col("width")``).
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,10 +104,26 @@ def sweep_periodic_panes(events: DataFrame, configs: list[dict], stream_cols: li
     """P1, periodic half: bounded watermark -> tumbling panes per run,
     keyed by the configuration id ``cfg``."""
     from driftmark.plans.runs import bounded_panes
-    x = replicate_ids(events, len(configs))
+    pre = slot_aggregate(events, key_cols, math.gcd(*[c["period"] for c in configs]),
+                         math.gcd(*[c["width"] for c in configs]))
+    x = replicate_ids(pre, len(configs))
     cp = lambda f: config_param(configs, f)
     return bounded_panes(x, ["cfg", *stream_cols], ["cfg", *key_cols],
-                         cp("max_ooo"), cp("period"), cp("width"), cp("allowed"))
+                         cp("max_ooo"), cp("period"), cp("width"), cp("allowed"),
+                         weight="n", tmax="tmax")
+
+
+def slot_aggregate(events: DataFrame, key_cols: list[str], arr_slot: int, t_slot: int,
+                   extra_keys: list[str] | tuple = ()) -> DataFrame:
+    """Pre-aggregate before replicating per configuration: every run needs
+    events only at the grain (arrival slot of gcd(periods), event-time slot
+    of gcd(widths)); ``t``/``arr`` become the slot starts, ``n`` the count,
+    ``tmax`` the largest event time of the slot (map-side combined)."""
+    from driftmark.functions.time import window_start
+    return (events.groupBy(*key_cols, *extra_keys,
+                           window_start("arr", F.lit(arr_slot).cast("long")).alias("arr"),
+                           window_start("t", F.lit(t_slot).cast("long")).alias("t"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("tmax")))
 
 
 def sweep_periodic(events: DataFrame, configs: list[dict], stream_cols: list[str],
@@ -165,7 +182,6 @@ def sweep_adaptive_panes(events: DataFrame, dataset: str, stream_cols: list[str]
     from driftmark.operators.adaptive import adaptive_preset, adaptive_watermark
     from driftmark.operators.drift import AdaptiveParams
     from driftmark.operators.watermarks import steps_from_events
-    from driftmark.operators.windows import tumbling_panes
     from driftmark.session import materialize
     configs = configs or adaptive_grid(dataset)
     fold_keys = ["sensitivity", "change_rate", "threshold"]
@@ -185,13 +201,29 @@ def sweep_adaptive_panes(events: DataFrame, dataset: str, stream_cols: list[str]
         for w in widths:
             c = by_key.get((f, w))
             runs.append(dict(c, fold=fi) if c else None)
-    y = replicate_ids(folded, len(widths), "__wi")
-    y = y.withColumn("cfg", F.col("fold") * len(widths) + F.col("__wi")).drop("__wi", "fold")
+    # emitted watermarks per fold, and the folded events combined to
+    # (fold, key, event-time slot of gcd(widths), wm_before) before the
+    # per-width replication
+    from driftmark.operators.windows import tumbling_panes_from_groups
+    from driftmark.functions.time import window_start
+    steps = steps_from_events(folded, ["fold", *stream_cols])
+    gw = math.gcd(*widths)
+    slots = (folded.groupBy("fold", *key_cols, "wm_before",
+                            window_start("t", F.lit(gw).cast("long")).alias("t"))
+                   .agg(F.count(F.lit(1)).alias("n")))
+
+    def per_width(df):
+        y = replicate_ids(df, len(widths), "__wi")
+        return y.withColumn("cfg", F.col("fold") * len(widths) + F.col("__wi")).drop("__wi", "fold")
     keep = [i for i, r in enumerate(runs) if r is not None]
-    if len(keep) < len(runs):
-        y = y.where(F.col("cfg").isin(keep))
     table = [r or dict(runs[keep[0]]) for r in runs]
     width = config_param(table, "width")
-    steps = steps_from_events(y, ["cfg", *stream_cols])
-    panes = tumbling_panes(y, steps, ["cfg", *stream_cols], ["cfg", *key_cols], width, 0)
+    y, steps = per_width(slots), per_width(steps)
+    if len(keep) < len(runs):
+        y = y.where(F.col("cfg").isin(keep))
+    groups = (y.withColumn("wstart", window_start("t", width))
+                .groupBy("cfg", *key_cols, "wstart", "wm_before")
+                .agg(F.sum("n").cast("long").alias("n")))
+    panes = tumbling_panes_from_groups(groups, steps, ["cfg", *stream_cols],
+                                       ["cfg", *key_cols], width, 0)
     return panes, table

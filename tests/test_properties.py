@@ -98,3 +98,23 @@ def test_bounded_watermark_monotone_and_partition_independent(spark):
         assert sorted(a.collect()) == sorted(b.collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_adaptive_sweep_run_equals_single_run(spark):
+    from dataclasses import replace
+    from driftmark.operators.adaptive import adaptive_preset
+    from driftmark.plans.sweep import adaptive_grid, sweep_adaptive_panes
+    ev = event_stream(spark, SF_SMALL, "event_type", drifting=True)
+    grid = adaptive_grid("events")
+    panes, table = sweep_adaptive_panes(ev, "events", ["event_type"], ["event_type"], warmup=50)
+    cols = ["event_type", "wstart", "wend", "cnt", "lag", "flushed", "late_fire"]
+    for cfg_id in (0, 7, 17):
+        c = table[cfg_id]
+        p = replace(AdaptiveParams(**adaptive_preset("four")), warmup=50,
+                    sensitivity=c["sensitivity"], change_rate=c["change_rate"],
+                    threshold=c["threshold"])
+        from driftmark.operators.adaptive import adaptive_panes
+        single = adaptive_panes(ev, ["event_type"], ["event_type"], c["width"], 0, p).select(*cols)
+        swept = panes.where(F.col("cfg") == cfg_id).select(*cols)
+        assert sorted(single.collect()) == sorted(swept.collect())
+    assert {t["run"] for t in table} == {g["run"] for g in grid}
