@@ -64,28 +64,31 @@ def blocked_scan(df: DataFrame, part_cols: list[str], block, order_cols,
     reversed order, since ``... unboundedFollowing`` frames of min/max are
     re-evaluated per row (quadratic in the partition size).  Order columns
     must be unique within a partition for exclusive scans."""
-    pk, bcol = "__pk", "__blk"
+    pk, bcol, hk = "__pk", "__blk", "__hk"
     asc = [col_of(c) for c in order_cols]
     desc = [c.desc() for c in asc]
-    x = df.select("*", key_struct(list(part_cols)).alias(pk), col_of(block).alias(bcol))
+    # the 64-bit key hash leads every sort: sorts compare a fixed-width
+    # prefix instead of the struct (a function of the key, so harmless)
+    key = key_struct(list(part_cols))
+    x = df.select("*", key.alias(pk), F.xxhash64(key).alias(hk), col_of(block).alias(bcol))
     local = []
     for i, s in enumerate(scans):
-        w1 = Window.partitionBy(pk, bcol).orderBy(*(desc if s.backward else asc))
+        w1 = Window.partitionBy(hk, pk, bcol).orderBy(*(desc if s.backward else asc))
         frame = (Window.unboundedPreceding, 0 if s.inclusive else -1)
         local.append(_AGG[s.agg](s.value).over(w1.rowsBetween(*frame)).alias(f"__loc{i}"))
     x = x.select("*", *local)
 
-    blocks = x.groupBy(pk, bcol).agg(
+    blocks = x.groupBy(hk, pk, bcol).agg(
         *[_AGG[s.agg](s.value).alias(f"__tot{i}") for i, s in enumerate(scans)])
     carry_cols = []
     for i, s in enumerate(scans):
-        w2 = Window.partitionBy(pk).orderBy(F.col(bcol).desc() if s.backward else F.col(bcol))
+        w2 = Window.partitionBy(hk, pk).orderBy(F.col(bcol).desc() if s.backward else F.col(bcol))
         carry_cols.append(
             _AGG[s.agg](f"__tot{i}").over(w2.rowsBetween(Window.unboundedPreceding, -1))
             .alias(f"__car{i}"))
-    carry = blocks.select(pk, bcol, *carry_cols)
+    carry = blocks.select(hk, pk, bcol, *carry_cols)
 
-    y = x.join(carry, [pk, bcol], "left")
+    y = x.join(carry, [hk, pk, bcol], "left")
     out = [_combine(s.agg, F.col(f"__loc{i}"), F.col(f"__car{i}")).alias(s.out)
            for i, s in enumerate(scans)]
     return y.select(*[F.col(c) for c in df.columns if c not in {s.out for s in scans}], *out)

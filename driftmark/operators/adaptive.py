@@ -115,16 +115,32 @@ def _keys(pdf: pd.DataFrame, cols: list[str]) -> list:
     return list(zip(*[pdf[c].tolist() for c in cols]))
 
 
+def _nullable(n: int, hits: dict, dtype: str):
+    """Column of length ``n`` that is NULL except at ``hits`` (index -> value)."""
+    if dtype == "boolean":
+        vals = np.zeros(n, dtype=bool)
+    else:
+        vals = np.zeros(n, dtype="int64" if dtype == "Int64" else "float64")
+    mask = np.ones(n, dtype=bool)
+    for i, v in hits.items():
+        vals[i] = v
+        mask[i] = False
+    return pd.arrays.BooleanArray(vals, mask) if dtype == "boolean" else (
+        pd.arrays.IntegerArray(vals, mask) if dtype == "Int64" else
+        pd.arrays.FloatingArray(vals, mask))
+
+
 def _adaptive_fold(stream_cols, params: AdaptiveParams, param_from_cols: bool):
     def fold(batches):
         cur, st = object(), None
         for pdf in batches:
             n = len(pdf)
             keys = _keys(pdf, stream_cols)
-            ts = pdf["t"].to_numpy(dtype=np.int64)
-            refs = pdf["__ref"].to_numpy(dtype=np.int64)
-            cfg = ([pdf[c].to_numpy() for c in PARAM_COLS] if param_from_cols else None)
-            o = {name: [None] * n for name, _ in FOLD_FIELDS}
+            ts = pdf["t"].tolist()
+            refs = pdf["__ref"].tolist()
+            cfg = ([pdf[c].tolist() for c in PARAM_COLS] if param_from_cols else None)
+            wb, wa, raw, late_, det_, sens, allw, width = ([] for _ in range(8))
+            span, elems, ratio, acc, prop = {}, {}, {}, {}, {}
             for i in range(n):
                 if keys[i] != cur:
                     cur = keys[i]
@@ -133,25 +149,32 @@ def _adaptive_fold(stream_cols, params: AdaptiveParams, param_from_cols: bool):
                         p = replace(params, sensitivity=float(cfg[0][i]),
                                     change_rate=float(cfg[1][i]), threshold=float(cfg[2][i]))
                     st = AdaptiveState(p)
-                o["wm_before"][i] = st.wm
-                late, det = st.step(int(ts[i]), int(refs[i]))
-                o["wm_after"][i] = st.wm
-                o["wm_raw"][i] = st.wm_raw
-                o["late"][i] = late
-                o["detected"][i] = det
-                o["cur_sensitivity"][i] = st.sens
-                o["allowed"][i] = st.allowed
-                o["adwin_width"][i] = st.adwin.width
+                wb.append(st.wm)
+                late, det = st.step(ts[i], refs[i])
+                wa.append(st.wm)
+                raw.append(st.wm_raw)
+                late_.append(late)
+                det_.append(det)
+                sens.append(st.sens)
+                allw.append(st.allowed)
+                width.append(st.adwin.width)
                 if st.chunk is not None:
-                    span, elements, ratio, _, accepted, proposed = st.chunk
-                    o["chunk_span"][i] = span
-                    o["chunk_elements"][i] = elements
-                    o["chunk_late_ratio"][i] = ratio
-                    o["accepted"][i] = accepted
-                    o["proposed_wm"][i] = proposed
+                    c = st.chunk
+                    span[i], elems[i], ratio[i], acc[i], prop[i] = c[0], c[1], c[2], c[4], c[5]
             out = pdf.drop(columns=["__ref"])
-            for name, _ in FOLD_FIELDS:
-                out[name] = pd.Series(o[name], dtype="object")
+            out["wm_before"] = np.array(wb, dtype="int64")
+            out["wm_after"] = np.array(wa, dtype="int64")
+            out["wm_raw"] = np.array(raw, dtype="int64")
+            out["late"] = np.array(late_, dtype=bool)
+            out["detected"] = np.array(det_, dtype=bool)
+            out["cur_sensitivity"] = np.array(sens, dtype="float64")
+            out["allowed"] = np.array(allw, dtype="int64")
+            out["adwin_width"] = np.array(width, dtype="int64")
+            out["chunk_span"] = _nullable(n, span, "Int64")
+            out["chunk_elements"] = _nullable(n, elems, "Int64")
+            out["chunk_late_ratio"] = _nullable(n, ratio, "Float64")
+            out["accepted"] = _nullable(n, acc, "boolean")
+            out["proposed_wm"] = _nullable(n, prop, "Int64")
             yield out
     return fold
 
@@ -224,26 +247,30 @@ def _detect_fold(stream_cols, delta: float, clock: int):
     def fold(batches):
         cur, ad = object(), None
         for pdf in batches:
-            n = len(pdf)
             keys = _keys(pdf, stream_cols)
-            vals = pdf["__x"].to_numpy(dtype=np.float64)
-            o = {name: [None] * n for name, _ in DETECT_FIELDS}
-            for i in range(n):
+            vals = pdf["__x"].tolist()
+            ch, w, mean, var, tot, dets, cw, peak = ([] for _ in range(8))
+            for i, x in enumerate(vals):
                 if keys[i] != cur:
                     cur = keys[i]
                     ad = Adwin(delta, clock)
-                ch = ad.update(float(vals[i]))
-                o["changed"][i] = ch
-                o["width"][i] = ad.width
-                o["mean"][i] = ad.mean
-                o["variance"][i] = ad.variance
-                o["total"][i] = ad.total
-                o["detections"][i] = ad.detections
-                o["cum_width"][i] = ad.cum_width
-                o["peak_buckets"][i] = ad.peak_buckets
+                ch.append(ad.update(float(x)))
+                w.append(ad.width)
+                mean.append(ad.mean)
+                var.append(ad.variance)
+                tot.append(ad.total)
+                dets.append(ad.detections)
+                cw.append(ad.cum_width)
+                peak.append(ad.peak_buckets)
             out = pdf.drop(columns=["__x"])
-            for name, _ in DETECT_FIELDS:
-                out[name] = pd.Series(o[name], dtype="object")
+            out["changed"] = np.array(ch, dtype=bool)
+            out["width"] = np.array(w, dtype="int64")
+            out["mean"] = np.array(mean, dtype="float64")
+            out["variance"] = np.array(var, dtype="float64")
+            out["total"] = np.array(tot, dtype="float64")
+            out["detections"] = np.array(dets, dtype="int64")
+            out["cum_width"] = np.array(cw, dtype="float64")
+            out["peak_buckets"] = np.array(peak, dtype="int64")
             yield out
     return fold
 
