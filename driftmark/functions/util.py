@@ -30,7 +30,10 @@ def join_nullsafe(left: DataFrame, right: DataFrame, cols: list[str],
                   how: str = "inner") -> DataFrame:
     """Equi-join on ``cols`` treating NULL keys as equal (stream keys may
     be NULL); the right copies of the key columns are dropped."""
-    r = right.select(key_struct(cols).alias("__jk"),
+    k = key_struct(cols)
+    r = right.select(k.alias("__jk"), F.xxhash64(k).alias("__jh"),
                      *[c for c in right.columns if c not in cols])
-    out = left.withColumn("__jk", key_struct(cols)).join(r, "__jk", how)
-    return out.drop("__jk")
+    # the key hash leads the join keys so sort-merge joins get a sort prefix
+    out = left.select("*", k.alias("__jk"), F.xxhash64(k).alias("__jh")) \
+        .join(r, ["__jh", "__jk"], how)
+    return out.drop("__jk", "__jh")
