@@ -553,6 +553,16 @@ def q_stream_adaptive(spark, sf_dir):
                                                    _adaptive_params()), "adapt")
 
 
+@register("stream_bounded_panes", _panes_oracle(3 * H).replace(
+    "SELECT * FROM panes", "SELECT * FROM panes WHERE NOT flushed"))
+def q_stream_bounded_panes(spark, sf_dir):
+    """W2 + T1 + L3/L4 live with exact semantics (stateful processor): every
+    pane the batch plan fires, none of the end-of-stream flushes."""
+    from driftmark.streaming.live import bounded_panes_stream, run_available_now
+    sdf = _replayed(spark, sf_dir, "bounded", "event_type")
+    return run_available_now(bounded_panes_stream(sdf, ["event_type"], H, H, H, 3 * H), "bounded")
+
+
 @register("stream_tumbling_native")
 def q_stream_tumbling_native(spark, sf_dir):
     """Built-in live counterpart of W2 + T1: withWatermark(delay 1 h) and

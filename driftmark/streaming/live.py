@@ -64,18 +64,37 @@ def run_available_now(sdf: DataFrame, name: str, output_mode: str = "append") ->
     return spark.read.schema(sdf.schema).parquet(out)
 
 
-def adaptive_panes_stream(sdf: DataFrame, stream_cols: list[str], width: int, allowed: int = 0,
-                          params: AdaptiveParams = AdaptiveParams(), ref: str = "arr") -> DataFrame:
-    """W1 + T1 on a live stream, keyed by ``stream_cols`` (the window key)."""
-    from driftmark.streaming.processors import PANE_SCHEMA_TAIL, AdaptivePanesProcessor
+def _panes_stream(sdf: DataFrame, stream_cols: list[str], factory, width: int, allowed: int,
+                  ref: str) -> DataFrame:
+    from driftmark.streaming.processors import PANE_SCHEMA_TAIL, PanesProcessor
     _ensure_rocksdb(sdf.sparkSession)
     fields = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
     schema = ", ".join([f"{c} {fields[c]}" for c in stream_cols] + [PANE_SCHEMA_TAIL])
     cols = list(dict.fromkeys([*stream_cols, "seq", "t", "arr", ref]))
     return (sdf.select(*cols).groupBy(*stream_cols)
-               .transformWithStateInPandas(
-                   AdaptivePanesProcessor(params, width, allowed, stream_cols, ref),
-                   schema, "Append", "None"))
+               .transformWithStateInPandas(PanesProcessor(factory, width, allowed, stream_cols, ref),
+                                           schema, "Append", "None"))
+
+
+def adaptive_panes_stream(sdf: DataFrame, stream_cols: list[str], width: int, allowed: int = 0,
+                          params: AdaptiveParams = AdaptiveParams(), ref: str = "arr") -> DataFrame:
+    """W1 + T1 on a live stream, keyed by ``stream_cols`` (the window key)."""
+    from functools import partial
+
+    from driftmark.streaming.processors import AdaptivePolicy
+    return _panes_stream(sdf, stream_cols, partial(AdaptivePolicy, params), width, allowed, ref)
+
+
+def bounded_panes_stream(sdf: DataFrame, stream_cols: list[str], max_ooo: int, period: int,
+                         width: int, allowed: int = 0) -> DataFrame:
+    """W2 + T1 + L3/L4 on a live stream with exact batch semantics (unlike
+    ``withWatermark``, the watermark moves at arrival ticks, not between
+    micro-batches)."""
+    from functools import partial
+
+    from driftmark.streaming.processors import BoundedPolicy
+    return _panes_stream(sdf, stream_cols, partial(BoundedPolicy, max_ooo, period), width,
+                         allowed, "arr")
 
 
 def running_average_stream(sdf: DataFrame, key_cols: list[str], value: str = "value",

@@ -1,11 +1,12 @@
 """Stateful processors for ``groupBy(stream).transformWithStateInPandas``.
 
-``AdaptivePanesProcessor``  W1 + T1 live: per stream the estimator state
-    (ADWIN histogram and chunk counters, O(log n)) lives in a ValueState;
-    each open window is one MapState entry ``wstart -> (count, fired)``.
-    A window fires when the emitted watermark reaches ``wend - 1``, re-fires
-    for every kept late row, and leaves the state once
-    ``wend - 1 + allowed <= watermark``.
+``PanesProcessor``  T1 (+ L3/L4) live under a watermark policy:
+    ``AdaptivePolicy`` (W1: ADWIN histogram and chunk counters, O(log n)) or
+    ``BoundedPolicy`` (W2: max event time and the current tick).  The policy
+    lives in a ValueState; each open window is one MapState entry
+    ``wstart -> (count, fired)``.  A window fires when the emitted watermark
+    reaches ``wend - 1``, re-fires for every kept late row, and leaves the
+    state once ``wend - 1 + allowed <= watermark``.
 ``RunningAverageProcessor``  T8 live: ValueState ``(count, exact sum)``.
 
 Rows of one key inside a micro-batch arrive in no particular order, so each
@@ -27,26 +28,92 @@ from driftmark.operators.drift import AdaptiveParams, AdaptiveState
 PANE_SCHEMA_TAIL = "wstart long, wend long, cnt long, lag long, flushed boolean, late_fire boolean"
 
 
-class AdaptivePanesProcessor(StatefulProcessor):
-    def __init__(self, params: AdaptiveParams, width: int, allowed: int,
-                 stream_cols: list[str], ref: str = "arr"):
-        self.params, self.width, self.allowed = params, int(width), int(allowed)
+class AdaptivePolicy:
+    """The drift-driven estimator; the watermark may rise after an event."""
+
+    def __init__(self, params: AdaptiveParams):
+        self.st = AdaptiveState(params)
+
+    @property
+    def wm(self) -> int:
+        return self.st.wm
+
+    def before(self, t: int, arr: int) -> None:
+        pass
+
+    def after(self, t: int, ref: int) -> None:
+        self.st.step(t, ref)
+
+
+class BoundedPolicy:
+    """At every epoch-aligned arrival tick the watermark becomes
+    ``max t seen so far - bound`` if that is higher.  The timer of a tick
+    fires when the first event of a later tick arrives (ticks without
+    events change nothing), so a stream's last tick never fires."""
+
+    def __init__(self, max_ooo: int, period: int):
+        self.ooo, self.period = int(max_ooo), int(period)
+        self.wm = 0
+        self.tick = None
+        self.tick_max = None      # max t in the current tick
+        self.seen_max = 0         # max t over completed ticks (starts at 0)
+
+    def before(self, t: int, arr: int) -> None:
+        k = arr // self.period
+        if self.tick is not None and k > self.tick:
+            self.seen_max = max(self.seen_max, self.tick_max)
+            self.wm = max(self.wm, self.seen_max - self.ooo)
+            self.tick_max = None
+        self.tick = k
+        self.tick_max = t if self.tick_max is None else max(self.tick_max, t)
+
+    def after(self, t: int, ref: int) -> None:
+        pass
+
+
+class PanesProcessor(StatefulProcessor):
+    """Keyed tumbling panes under a watermark policy (see module doc)."""
+
+    def __init__(self, policy_factory, width: int, allowed: int, stream_cols: list[str],
+                 ref: str = "arr"):
+        self.policy_factory = policy_factory
+        self.width, self.allowed = int(width), int(allowed)
         self.stream_cols, self.ref = list(stream_cols), ref
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.est = handle.getValueState("est", "blob binary")
+        self.pol = handle.getValueState("policy", "blob binary")
         self.win = handle.getMapState("win", "wstart long", "cnt long, fired boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["arr", "seq"])
-        st = pickle.loads(self.est.get()[0]) if self.est.exists() else AdaptiveState(self.params)
+        pol = pickle.loads(self.pol.get()[0]) if self.pol.exists() else self.policy_factory()
         wins = {k[0]: [v[0], v[1]] for k, v in self.win.iterator()}
         dirty, gone = set(), set()
         width, allowed = self.width, self.allowed
         out = []
+
+        def advance(new: int) -> None:
+            for ws in sorted(wins):
+                w = wins[ws]
+                wend = ws + width
+                if not w[1] and wend - 1 <= new:
+                    w[1] = True
+                    dirty.add(ws)
+                    out.append((ws, wend, w[0], new - wend, False, False))
+                if wend - 1 + allowed <= new:
+                    del wins[ws]
+                    gone.add(ws)
+                    dirty.discard(ws)
+
+        ts = pdf["t"].astype("int64").tolist()
+        arrs = pdf["arr"].astype("int64").tolist()
         refs = pdf[self.ref].fillna(pdf["t"]).astype("int64").tolist()
-        for t, ref in zip(pdf["t"].astype("int64").tolist(), refs):
-            wm = st.wm
+        for t, arr, ref in zip(ts, arrs, refs):
+            prev = pol.wm
+            pol.before(t, arr)
+            if pol.wm > prev:
+                advance(pol.wm)
+            wm = pol.wm
             ws = t - t % width
             wend = ws + width
             if wend - 1 + allowed > wm:              # not dropped
@@ -57,26 +124,15 @@ class AdaptivePanesProcessor(StatefulProcessor):
                 if wm >= wend - 1:                   # kept late: re-fire now
                     w[1] = True
                     out.append((ws, wend, w[0], wm - wend, False, True))
-            before = st.wm
-            st.step(t, ref)
-            if st.wm > before:
-                new = st.wm
-                for ws2 in sorted(wins):
-                    w = wins[ws2]
-                    wend2 = ws2 + width
-                    if not w[1] and wend2 - 1 <= new:
-                        w[1] = True
-                        dirty.add(ws2)
-                        out.append((ws2, wend2, w[0], new - wend2, False, False))
-                    if wend2 - 1 + allowed <= new:
-                        del wins[ws2]
-                        gone.add(ws2)
-                        dirty.discard(ws2)
+            prev = pol.wm
+            pol.after(t, ref)
+            if pol.wm > prev:
+                advance(pol.wm)
         for ws in gone:
             self.win.removeKey((ws,))
         for ws in dirty:
             self.win.updateValue((ws,), tuple(wins[ws]))
-        self.est.update((pickle.dumps(st, protocol=pickle.HIGHEST_PROTOCOL),))
+        self.pol.update((pickle.dumps(pol, protocol=pickle.HIGHEST_PROTOCOL),))
         if out:
             df = pd.DataFrame(out, columns=["wstart", "wend", "cnt", "lag", "flushed", "late_fire"])
             for i, c in enumerate(self.stream_cols):
