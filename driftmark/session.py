@@ -38,15 +38,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a local one only when unset."""
+    """The shared checkpoint folder; a private one is set only when the
+    session has none (tests).  ``setCheckpointDir`` appends a fresh folder
+    on every call, so it is called at most once per context."""
     sc = spark.sparkContext
-    root = sc.getCheckpointDir()
-    if not root:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="driftmark-ckpt-")
+    cur = sc.getCheckpointDir()
+    if cur:
+        return cur
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftmark-ckpt-")
     sc.setCheckpointDir(root)
-    # getCheckpointDir returns a uuid subfolder of what was set; both work.
     return sc.getCheckpointDir() or root
 
 

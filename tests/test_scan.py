@@ -76,3 +76,11 @@ def test_single_hot_key_spreads_over_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", old)
     assert parts >= 4
     assert last.s == sum(i % 97 for i in range(200_000))
+
+
+def test_checkpoint_root_is_stable(spark):
+    from driftmark.session import checkpoint_root, materialize
+    a = checkpoint_root(spark)
+    materialize(spark.range(10))
+    materialize(spark.range(10))
+    assert checkpoint_root(spark) == a == spark.sparkContext.getCheckpointDir()
