@@ -61,24 +61,39 @@ def fill_value(df: DataFrame, value: str = "value", default: float = FILL_MEAN,
     return df.withColumn(value, F.coalesce(F.col(value), fill))
 
 
-def read_timed_values(spark: SparkSession, path: str, default: float = FILL_MEAN,
-                      noise: float | None = None, seed: int = 0) -> DataFrame:
-    """``ts[,value]`` lines.  Exactly two fields -> (ts, value); any
-    other count -> ts from field 0 and a filled value.  A ts that does not
-    parse as a long sets ``bad`` (the reference would abort the job)."""
-    raw = with_line_numbers(spark.read.text(path))
+def _parse_timed(x: DataFrame, default: float, noise: float | None, seed: int,
+                 id_col: str) -> DataFrame:
     f = java_split("value")
-    x = raw.select("line", f.alias("__f"))
+    x = x.select(*[c for c in x.columns if c != "value"], f.alias("__f"))
     two = F.size("__f") == 2
     x = x.select(
-        "line",
+        *[c for c in x.columns if c != "__f"],
         parse_long(F.col("__f")[0]).alias("ts"),
         F.when(two, parse_double(F.col("__f")[1])).alias("value"),
-        two.alias("__two"),
-        (F.col("__f")[0]).alias("__ts_text"))
+        two.alias("__two"))
     x = x.withColumn("bad", F.col("ts").isNull() |
                      (F.col("__two") & F.col("value").isNull()))
-    return fill_value(x, "value", default, noise, seed).drop("__two", "__ts_text")
+    return fill_value(x, "value", default, noise, seed, id_col).drop("__two")
+
+
+def read_timed_values(spark: SparkSession, path: str, default: float = FILL_MEAN,
+                      noise: float | None = None, seed: int = 0,
+                      streaming: bool = False) -> DataFrame:
+    """``ts[,value]`` lines.  Exactly two fields -> (ts, value); any
+    other count -> ts from field 0 and a filled value.  A ts that does not
+    parse as a long sets ``bad`` (the reference would abort the job).
+
+    Batch output carries the global ``line`` number.  ``streaming=True``
+    parses files as they appear (``readStream.text``); a live stream has no
+    global line order, so rows carry their ``file`` instead and the seeded
+    fill is keyed by ``(file, ts)``."""
+    if streaming:
+        raw = spark.readStream.text(path).select(
+            "value", F.col("_metadata.file_path").alias("file"))
+        raw = raw.withColumn("__id", F.xxhash64("file", F.col("value")))
+        return _parse_timed(raw, default, noise, seed, "__id").drop("__id")
+    raw = with_line_numbers(spark.read.text(path))
+    return _parse_timed(raw, default, noise, seed, "line")
 
 
 def read_marked_events(spark: SparkSession, path: str, default: float = FILL_MEAN,

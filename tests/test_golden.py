@@ -137,3 +137,15 @@ def test_session_blocked_equals_builtin(spark):
     a = sorted(tuple(r) for r in session_windows(df, ["k"], 100, block_ms=1000).collect())
     b = sorted(tuple(r) for r in session_windows_builtin(df, ["k"], 100).collect())
     assert a == b
+
+
+def test_timed_values_streaming_equals_batch(spark, tmp_dir):
+    from driftmark.streaming.live import run_available_now
+    _write(tmp_dir + "/in", "a.txt", ["100,1.5", "200", "300,2.5,9", "x,1", "400,"])
+    _write(tmp_dir + "/in", "b.txt", ["500,7.25", "600"])
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    batch = sorted(((r.ts, r.value, r.bad) for r in
+                    read_timed_values(spark, tmp_dir + "/in").collect()), key=key)
+    live = run_available_now(read_timed_values(spark, tmp_dir + "/in", streaming=True), "tv")
+    assert sorted(((r.ts, r.value, r.bad) for r in live.collect()), key=key) == batch
+    assert set(live.columns) >= {"file", "ts", "value", "bad"}
