@@ -31,6 +31,11 @@ def join_nullsafe(left: DataFrame, right: DataFrame, cols: list[str],
     """Equi-join on ``cols`` treating NULL keys as equal (stream keys may
     be NULL); the right copies of the key columns are dropped."""
     k = key_struct(cols)
+    # struct keys only compare equal field type for field type: align the
+    # right side's key types to the left's
+    ltypes = {f.name: f.dataType for f in left.schema.fields}
+    right = right.select(*[F.col(c).cast(ltypes[c]).alias(c) if c in cols else F.col(c)
+                           for c in right.columns])
     r = right.select(k.alias("__jk"), F.xxhash64(k).alias("__jh"),
                      *[c for c in right.columns if c not in cols])
     # the key hash leads the join keys so sort-merge joins get a sort prefix

@@ -102,15 +102,56 @@ def with_config(df: DataFrame, configs: list[dict], fields: list[str],
 def sweep_periodic_panes(events: DataFrame, configs: list[dict], stream_cols: list[str],
                          key_cols: list[str]) -> DataFrame:
     """P1, periodic half: bounded watermark -> tumbling panes per run,
-    keyed by the configuration id ``cfg``."""
-    from driftmark.plans.runs import bounded_panes
+    keyed by the configuration id ``cfg``.
+
+    Events are first combined to the slot grain every run can use; the
+    watermark tick tables depend only on (period, bound), so runs that
+    differ only in width or allowed lateness share one tick table (``wid``)
+    and receive its emitted watermarks by a literal fan-out, not a join."""
+    from driftmark.functions.time import window_start
+    from driftmark.functions.util import join_nullsafe
+    from driftmark.operators.watermarks import bounded_steps, ticks_from_pre, with_tick
+    from driftmark.operators.windows import tumbling_panes_from_groups
+    from driftmark.session import materialize
     pre = slot_aggregate(events, key_cols, math.gcd(*[c["period"] for c in configs]),
                          math.gcd(*[c["width"] for c in configs]))
+    wm_keys = list(dict.fromkeys((c["period"], c["max_ooo"]) for c in configs))
+    wm_cfgs = [dict(period=p, max_ooo=o) for p, o in wm_keys]
+    wid_of = {k: i for i, k in enumerate(wm_keys)}
+    cfg_wid = [dict(wid=wid_of[(c["period"], c["max_ooo"])]) for c in configs]
+
+    # one tick table per distinct (period, bound)
+    w = replicate_ids(pre, len(wm_cfgs), "wid")
+    wp = lambda f: config_param(wm_cfgs, f, "wid")
+    tick_pre = (with_tick(w, wp("period")).groupBy("wid", *stream_cols, "tick")
+                .agg(F.max("tmax").alias("tick_max"), F.sum("n").alias("n")))
+    ticks = materialize(ticks_from_pre(tick_pre, ["wid", *stream_cols], wp("max_ooo")))
+
+    # window groups per run, judged by the shared tick table
     x = replicate_ids(pre, len(configs))
     cp = lambda f: config_param(configs, f)
-    return bounded_panes(x, ["cfg", *stream_cols], ["cfg", *key_cols],
-                         cp("max_ooo"), cp("period"), cp("width"), cp("allowed"),
-                         weight="n", tmax="tmax")
+    x = x.withColumn("wid", config_param(cfg_wid, "wid").cast("int"))  # as replicate_ids
+    fine = materialize(
+        with_tick(x, cp("period")).withColumn("wstart", window_start("t", cp("width")))
+        .groupBy("cfg", "wid", *key_cols, "tick", "wstart")
+        .agg(F.sum("n").cast("long").alias("n")))
+    g = join_nullsafe(fine, ticks.select("wid", *stream_cols, "tick",
+                                         F.col("wm_begin").alias("wm_before")),
+                      ["wid", *stream_cols, "tick"], "left")
+    groups = (g.groupBy("cfg", *key_cols, "wstart", "wm_before")
+               .agg(F.sum("n").cast("long").alias("n")))
+
+    # emitted watermarks of each tick table, fanned out to its runs
+    runs_of = {}
+    for i, c in enumerate(cfg_wid):
+        runs_of.setdefault(c["wid"], []).append(i)
+    fan = F.create_map(*[v for wid, ids in runs_of.items()
+                         for v in (F.lit(wid), F.array(*[F.lit(i) for i in ids]))])
+    steps = (bounded_steps(ticks, ["wid", *stream_cols], wp("period"))
+             .select(F.explode(F.element_at(fan, F.col("wid"))).alias("cfg"),
+                     *stream_cols, "wm"))
+    return tumbling_panes_from_groups(groups, steps, ["cfg", *stream_cols], ["cfg", *key_cols],
+                                      cp("width"), cp("allowed"))
 
 
 def slot_aggregate(events: DataFrame, key_cols: list[str], arr_slot: int, t_slot: int,
