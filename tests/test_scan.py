@@ -84,3 +84,15 @@ def test_checkpoint_root_is_stable(spark):
     materialize(spark.range(10))
     materialize(spark.range(10))
     assert checkpoint_root(spark) == a == spark.sparkContext.getCheckpointDir()
+
+
+def test_flagship_scan_is_pruned_and_combined_map_side(spark):
+    from driftmark.functions.time import window_start
+    from driftmark.operators.watermarks import with_tick
+    from driftmark.sources.fixtures import event_stream
+    ev = event_stream(spark, "/root/testdata/sf0.001", "event_type")
+    fine = (with_tick(ev, 3_600_000).withColumn("wstart", window_start("t", F.lit(3_600_000)))
+            .groupBy("event_type", "tick", "wstart").agg(F.count(F.lit(1)).alias("n")))
+    plan = fine._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,event_type:string>" in plan
+    assert "partial_count" in plan
