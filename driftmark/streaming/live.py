@@ -44,6 +44,20 @@ def replay_to_files(df: DataFrame, path: str, slices: int = 8) -> None:
     for i in range(slices):
         (staged.where(F.col("__slice") == i).drop("__slice").repartition(1)
                .write.mode("append").parquet(path))
+        _wait_past_newest_file(df.sparkSession, path)
+
+
+def _wait_past_newest_file(spark: SparkSession, path: str) -> None:
+    """The file source orders files by modification time: make sure the next
+    slice is written strictly after the newest file (filesystem clocks may
+    have millisecond or second resolution)."""
+    import time
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    newest = max((st.getModificationTime() for st in fs.listStatus(p)), default=0)
+    while time.time() * 1000 <= newest:
+        time.sleep(0.005)
 
 
 def read_replay(spark: SparkSession, path: str, schema) -> DataFrame:
