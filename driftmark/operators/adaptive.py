@@ -203,6 +203,8 @@ def adaptive_watermark(df: DataFrame, stream_cols: list[str],
     With ``param_cols`` the sensitivity / change rate / threshold come from
     columns of the same names (one sweep configuration per stream key).
     Only the needed columns cross into Python."""
+    from driftmark.session import ship_package
+    ship_package(df.sparkSession)
     extra = list(PARAM_COLS) if param_cols else []
     cols = list(dict.fromkeys([*stream_cols, *pass_cols, *extra, "seq", "t", "arr"]))
     x = df.select(*cols, F.coalesce(F.col(ref), F.col("t")).alias("__ref"))
@@ -280,6 +282,8 @@ def adwin_detect(df: DataFrame, stream_cols: list[str], value: str,
                  pass_cols: list[str] | tuple = ()) -> DataFrame:
     """ADWIN per series (order ``arr, seq``) over ``value``; NULL
     values are skipped (not fed).  ``clock`` = inserts between cut tests."""
+    from driftmark.session import ship_package
+    ship_package(df.sparkSession)
     cols = list(dict.fromkeys([*stream_cols, *pass_cols, "seq", "arr"]))
     x = df.where(F.col(value).isNotNull()).select(*cols, F.col(value).cast("double").alias("__x"))
     x = ordered_by_stream(x, stream_cols)

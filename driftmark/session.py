@@ -74,3 +74,34 @@ def materialize(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         df.unpersist()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``driftmark`` importable in Python workers (the ordered folds
+    and the stateful processors unpickle its classes there): zip the package
+    once per application and hand it to ``addPyFile``, which distributes it
+    like ``--py-files``.  A no-op when already shipped."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="driftmark-pyfiles-"), "driftmark.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(out)
+    # the driver-side runner of stateful streaming processors takes its
+    # PYTHONPATH from the function environment, not from addPyFile
+    cur = sc.environment.get("PYTHONPATH", "")
+    sc.environment["PYTHONPATH"] = out + (os.pathsep + cur if cur else "")
+    _SHIPPED.add(sc.applicationId)

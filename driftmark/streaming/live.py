@@ -25,6 +25,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def _ensure_rocksdb(spark: SparkSession) -> None:
+    from driftmark.session import ship_package
+    ship_package(spark)     # the processors are unpickled in Python workers
     key = "spark.sql.streaming.stateStore.providerClass"
     cur = spark.conf.get(key, None)
     if not cur or "HDFSBackedStateStoreProvider" in cur:
@@ -69,9 +71,18 @@ def run_available_now(sdf: DataFrame, name: str, output_mode: str = "append") ->
     spark = sdf.sparkSession
     out = scratch_dir(spark, f"{name}-out")
     ckpt = scratch_dir(spark, f"{name}-ckpt")
-    q = (sdf.writeStream.format("parquet").outputMode(output_mode)
-            .option("checkpointLocation", ckpt)
-            .trigger(availableNow=True).start(out))
+    # state partitions are fixed when the query starts: no more than the
+    # cluster's cores (the session value is restored right after start)
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    parts = min(int(before), max(1, spark.sparkContext.defaultParallelism))
+    spark.conf.set(key, str(parts))
+    try:
+        q = (sdf.writeStream.format("parquet").outputMode(output_mode)
+                .option("checkpointLocation", ckpt)
+                .trigger(availableNow=True).start(out))
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
