@@ -7,8 +7,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from oracle_compare import compare, duck
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+from driftmark.plans.catalog import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
