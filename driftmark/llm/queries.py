@@ -3,9 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftmark.llm import tokenbin
-from driftmark.llm.common import table
+from driftmark.llm import mixture, reshard, tokenbin, urls
+from driftmark.llm.common import table, text_bytes
+from driftmark.llm.oracles import ORACLES
+
+#: (verdict, host, path)
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+OLD_SHARDS, NEW_SHARDS = 7, 8
+
+
+def op1_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +30,26 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 7 shards (by a checksum of the id) to 8 of near equal bytes."""
+    docs = table(spark, sf_dir, "documents")
+    old = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(OLD_SHARDS))
+    text = F.coalesce("text", F.lit(""))
+    return reshard.reshard(docs.select("doc_id", "text"), old, OLD_SHARDS, NEW_SHARDS).select(
+        "doc_id", (text_bytes(text) + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.copies(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES = {
+    "op1_url_aliases": op1_url_aliases,
     "op2_token_files": op2_token_files,
+    "op6_flow_reshard": op6_flow_reshard,
+    "op10_cube_mix": op10_cube_mix,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
