@@ -16,7 +16,11 @@ table gives no files and no rows.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,14 +34,32 @@ from driftmark.llm.common import cut, partitions, ready
 from driftmark.session import scratch_dir
 
 MANIFEST = "path string, first_doc long, n_docs long, n_tokens long"
-CACHE_WORDS = 400_000
+#: Pieces kept by a Python worker, the longest one kept, pieces encoded at
+#: once, and bytes of text whose new pieces are looked for at once.
+CACHE_WORDS = 600_000
 CACHE_BYTES = 64
+JOINED = 4096
+TOGETHER = 1 << 20
+#: Marks that may end a piece: neither letters, digits nor white space.
+MARKS = b".,;:!?%&#$*"
 
 
-def file_schema(seq_len: int) -> pa.Schema:
+def _byte_chars() -> dict[int, str]:
+    """Byte-level spelling: a visible Latin-1 byte is its own character, the
+    others are the characters from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
+def file_schema(seq_len: int, small: bool) -> pa.Schema:
+    """``small``: the vocabulary's ids fit 16 bits."""
     return pa.schema([
-        ("ids", pa.list_(pa.uint32(), seq_len)),
-        ("mask", pa.list_(pa.uint8(), seq_len)),
+        ("ids", pa.list_(pa.uint16() if small else pa.uint32(), seq_len)),
+        ("mask", pa.list_(pa.bool_(), seq_len)),
         ("doc_ids", pa.list_(pa.int64())),
         ("doc_ends", pa.list_(pa.int32())),
     ])
@@ -56,42 +78,114 @@ class Encoder:
 
     The tokenizers of this kind drop white space and never let a token span
     it, so a text's ids are those of its white-space-separated pieces, and a
-    piece that was seen before is looked up (a bounded table)."""
+    piece that was seen before is looked up (a bounded table, kept from task
+    to task by ``encoder``).  New pieces are encoded together, a special
+    token between them."""
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(tokenizer)
+        special = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
+        self.sep_id, self.sep = next(iter(special.items()), (None, ""))
+        self.odd = [t.encode() for t in special.values()]
+        self.small = self.tok.get_vocab_size() <= 1 << 16
+        self.direct = self._lower_case_words()
         self.seen: dict[bytes, bytes] = {}
 
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+    def _lower_case_words(self) -> bool:
+        """Whether the tokenizer lower-cases, splits letters from the rest and
+        spells bytes as ``BYTE_CHARS``: then the model alone encodes a word."""
+        j = json.loads(self.tok.to_str())
+        norm = [n["type"] for n in (j["normalizer"] or {}).get("normalizers", [])]
+        pre = [p for p in (j["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        return (norm == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre] == ["Split", "ByteLevel"]
+                and pre[0]["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+                and not pre[1]["add_prefix_space"])
+
+    def _each(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         got = self.tok.encode_batch([p.decode("utf-8", "replace") for p in pieces],
                                     add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def __call__(self, text: bytes) -> bytes:
-        seen, pieces = self.seen, text.split()
-        try:
-            return b"".join([seen[p] for p in pieces])
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(pieces) if p not in seen]
-        now = dict(zip(new, self._ids(new), strict=True))
-        out = b"".join([now[p] if p in now else seen[p] for p in pieces])
-        if len(seen) + len(now) > CACHE_WORDS:
-            seen.clear()
-        seen.update((p, i) for p, i in now.items() if len(p) <= CACHE_BYTES)
+        return {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(pieces, got, strict=True)}
+
+    def _joined(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        odd = pieces if self.sep_id is None else [p for p in pieces if any(o in p for o in self.odd)]
+        out = self._each(odd) if odd else {}
+        plain = [p for p in pieces if p not in out]
+        for k in range(0, len(plain), JOINED):
+            part = plain[k:k + JOINED]
+            text = f" {self.sep} ".join([p.decode("utf-8", "replace") for p in part])
+            ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            at = [-1, *np.flatnonzero(ids == self.sep_id).tolist(), len(ids)]
+            for p, i, j in zip(part, at[:-1], at[1:], strict=True):
+                out[p] = ids[i + 1:j].tobytes()
         return out
 
+    def _ids(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """A piece that is one lower-case word, with or without marks at its
+        end, needs no normaliser or splitter, only the model."""
+        if not self.direct:
+            return self._joined(pieces)
+        seen, new, rest, tokenize = self.seen, {}, [], self.tok.model.tokenize
+        marked = []
+        marks = set()
+        for p in pieces:
+            word = p.rstrip(MARKS)
+            if not word.isalpha():  # not plain ASCII letters
+                text = word.decode("utf-8", "replace")
+                if not (text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)):
+                    rest.append(p)
+                    continue
+            elif not word.islower():
+                rest.append(p)
+                continue
+            if word not in seen and word not in new:
+                spelt = word.decode("latin-1").translate(BYTE_CHARS)
+                new[word] = struct.pack(f"<{len(t := tokenize(spelt))}I", *[x.id for x in t])
+            if len(word) < len(p):
+                marks.add(p[len(word):])
+                marked.append((p, word))
+        new |= self._joined([*rest, *(marks - new.keys())])
+        for p, w in marked:
+            new[p] = (new.get(w) or seen[w]) + new[p[len(w):]]
+        return new
+
+    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
+        seen, held, size = self.seen, [], 0
+        for k, text in enumerate(texts):
+            # ASCII lower case first, unless that could make a special token
+            held.append((text.lower() if self.direct and b"<|" not in text else text).split())
+            size += len(text)
+            if size < TOGETHER and k + 1 < len(texts):
+                continue
+            new = list(set().union(*held).difference(seen))
+            now = self._ids(new) if new else {}
+            if len(seen) + len(now) > CACHE_WORDS:
+                now = {p: seen[p] for pieces in held for p in pieces if p in seen} | now
+                seen.clear()
+            seen.update(now)
+            for pieces in held:
+                yield b"".join(map(seen.__getitem__, pieces))
+            for p in now:
+                if len(p) > CACHE_BYTES:
+                    seen.pop(p, None)
+            held, size = [], 0
+
+
+@functools.cache
+def encoder(tokenizer: str) -> Encoder:
+    """One per Python worker and tokenizer file."""
+    return Encoder(tokenizer)
+
 
 class _Writer:
     """Rows of seq_len ids, buffered up to one batch, into one stream file."""
 
-    def __init__(self, path: str, seq_len: int, batch_rows: int):
+    def __init__(self, path: str, seq_len: int, batch_rows: int, small: bool):
         fs, p = _fs(path)
         fs.create_dir(os.path.dirname(p))
         self.out = fs.open_output_stream(p)
-        self.schema = file_schema(seq_len)
+        self.schema, self.kind = file_schema(seq_len, small), np.uint16 if small else np.uint32
         self.ipc = pa.ipc.new_stream(self.out, self.schema)
         self.seq_len, self.room = seq_len, seq_len * batch_rows
         self.buf, self.held, self.ends = [], 0, []
@@ -110,10 +204,9 @@ class _Writer:
         if not self.held:
             return
         rows = -(-self.held // self.seq_len)
-        ids = np.zeros(rows * self.seq_len, dtype=np.uint32)
+        ids = np.zeros(rows * self.seq_len, dtype=self.kind)
         ids[:self.held] = np.concatenate(self.buf)
-        mask = np.zeros(rows * self.seq_len, dtype=np.uint8)
-        mask[:self.held] = 1
+        mask = np.arange(len(ids)) < self.held
         in_row: list[list] = [[] for _ in range(rows)]
         for d, e in self.ends:
             in_row[e // self.seq_len].append((d, e % self.seq_len))
@@ -145,16 +238,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
     ready(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out, first = Encoder(tokenizer), None, None
+        encode, out, first = encoder(tokenizer), None, None
         n_docs = n_tokens = 0
         path = f"{folder}/{uuid.uuid4().hex}.arrows"
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
-            for d, t in zip(ids, texts, strict=True):
+            for d, t in zip(ids, encode([t or b"" for t in texts]), strict=True):
                 if out is None:
-                    out, first = _Writer(path, seq_len, batch_rows), d
-                x = np.frombuffer(encode(t or b"") + end, dtype="<u4")
+                    out, first = _Writer(path, seq_len, batch_rows, encode.small and end_id < 1 << 16), d
+                x = np.frombuffer(t + end, dtype="<u4")
                 out.add(d, x)
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(x)
         if out is not None:
@@ -180,13 +273,13 @@ def open_file(path: str) -> pa.RecordBatchReader:
     return pa.ipc.open_stream(src)
 
 
-def sequence(batches: list[pa.RecordBatch], i: int) -> tuple[np.ndarray, np.ndarray]:
+def sequence(batches: list[pa.RecordBatch], i: int) -> tuple[np.ndarray, pa.BooleanArray]:
     """Ids and mask of sequence ``i`` of a file: views, not copies."""
     rows = batches[0].num_rows
     b, r = batches[i // rows], i % rows
     n = b.schema.field("ids").type.list_size
-    return tuple(b.column(c).values.to_numpy(zero_copy_only=True)[(b.column(c).offset + r) * n:][:n]
-                 for c in ("ids", "mask"))
+    ids, mask = (b.column(c).values.slice((b.column(c).offset + r) * n, n) for c in ("ids", "mask"))
+    return ids.to_numpy(zero_copy_only=True), mask
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
@@ -199,8 +292,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 at, crc, held = start, 0, 0
                 for rec in open_file(path):
                     n = rec.schema.field("ids").type.list_size
-                    ids = rec.column("ids").values.to_numpy(zero_copy_only=True)
-                    used = int(rec.column("mask").values.to_numpy(zero_copy_only=True).sum())
+                    ids = rec.column("ids").values.to_numpy(zero_copy_only=True).astype("<u4", copy=False)
+                    used = rec.column("mask").values.true_count
                     own = rec.column("doc_ids").flatten().to_pylist()
                     row = np.repeat(np.arange(rec.num_rows), rec.column("doc_ids").value_lengths().to_numpy())
                     ends = row * n + rec.column("doc_ends").flatten().to_numpy()
