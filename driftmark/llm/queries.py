@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import mixture, reshard, tokenbin, urls
+from driftmark.llm import mixture, reshard, suffix, tokenbin, urls
 from driftmark.llm.common import table, text_bytes
 from driftmark.llm.oracles import ORACLES
 
@@ -40,6 +40,10 @@ def op6_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_cover_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.spans(table(spark, sf_dir, "documents"), 50)
+
+
 def op10_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.copies(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -49,6 +53,7 @@ QUERIES = {
     "op1_url_aliases": op1_url_aliases,
     "op2_token_files": op2_token_files,
     "op6_flow_reshard": op6_flow_reshard,
+    "op8_cover_suffixes": op8_cover_suffixes,
     "op10_cube_mix": op10_cube_mix,
 }
 
