@@ -8,7 +8,10 @@ input may have any name.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +60,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+BASE = 0x9E3779B97F4A7C15  # odd: invertible modulo 2**64
+
+
+@functools.cache
+def letters() -> np.ndarray:
+    """A 64-bit code for each byte value."""
+    return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+
+
+@functools.lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i < n.  With sums S of
+    ``code * BASE**i``, the bytes i to j - 1 hash to
+    ``(S[j] - S[i]) * BASE**-i`` wherever they stand."""
+    out = []
+    for b in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(n, b, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def pack_ints(a: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, compressed."""
+    return pa.compress(a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_ints(b: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(b, decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, n).T).view("<u8").ravel()

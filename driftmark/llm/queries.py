@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import mixture, reshard, suffix, tokenbin, urls
+from driftmark.llm import langid, mixture, neardup, reshard, suffix, tokenbin, urls
 from driftmark.llm.common import table, text_bytes
 from driftmark.llm.oracles import ORACLES
 
@@ -30,6 +30,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components_of(table(spark, sf_dir, "documents"), 85)
+
+
 def op6_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 7 shards (by a checksum of the id) to 8 of near equal bytes."""
     docs = table(spark, sf_dir, "documents")
@@ -44,6 +48,12 @@ def op8_cover_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.spans(table(spark, sf_dir, "documents"), 50)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, ["doc_id"]).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.copies(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -52,8 +62,10 @@ def op10_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_aliases": op1_url_aliases,
     "op2_token_files": op2_token_files,
+    "op3_near_duplicates": op3_near_duplicates,
     "op6_flow_reshard": op6_flow_reshard,
     "op8_cover_suffixes": op8_cover_suffixes,
+    "op9_language": op9_language,
     "op10_cube_mix": op10_cube_mix,
 }
 

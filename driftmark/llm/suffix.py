@@ -39,7 +39,6 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 import uuid
@@ -51,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import cut, mix64, partitions, ready
+from driftmark.llm.common import cut, letters, mix64, pack_ints, partitions, powers, ready, unpack_ints
 from driftmark.session import scratch_dir
 
 V = 21
@@ -59,33 +58,6 @@ COVER = (0, 1, 4, 14, 16)  # a perfect difference set modulo 21
 BLOCK_BYTES = 8 << 20
 BUCKET_ROWS = 2 << 20
 NO_ID = -(1 << 63)
-BASE = 0x9E3779B97F4A7C15  # odd: invertible modulo 2**64
-
-
-@functools.cache
-def _letters() -> np.ndarray:
-    return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-
-
-@functools.lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    out = []
-    for b in (BASE, pow(BASE, -1, 1 << 64)):
-        p = np.full(n, b, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
-
-
-def _pack(a: np.ndarray) -> bytes:
-    """Whole numbers as byte planes, compressed."""
-    return pa.compress(a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(b: bytes, n: int) -> np.ndarray:
-    raw = pa.decompress(b, decompressed_size=8 * n, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, n).T).view("<u8").ravel()
 
 
 class Block:
@@ -98,14 +70,14 @@ class Block:
         self.buf = np.frombuffer(pa.decompress(body, decompressed_size=self.n, codec="zstd", asbytes=True)
                                  if self.n else b"", dtype=np.uint8)
         self.ends = np.cumsum(self.lens)
-        up, _ = _powers(1 << max(23, int(self.n).bit_length()))
+        up, _ = powers(1 << max(23, int(self.n).bit_length()))
         self.sums = np.zeros(self.n + 1, dtype=np.uint64)
-        np.cumsum(_letters()[self.buf] * up[:self.n], out=self.sums[1:])
+        np.cumsum(letters()[self.buf] * up[:self.n], out=self.sums[1:])
         self.room = np.repeat(self.ends, self.lens) - np.arange(self.n)  # bytes to the document's end
 
     def words(self, at: np.ndarray, w: int, bits: int) -> np.ndarray:
         """Fingerprints of the ``w`` bytes at each position."""
-        _, down = _powers(1 << max(23, int(self.n).bit_length()))
+        _, down = powers(1 << max(23, int(self.n).bit_length()))
         h = mix64((self.sums[at + w] - self.sums[at]) * down[at])
         return h >> np.uint64(64 - bits)
 
@@ -255,8 +227,8 @@ def _ask(blocks: DataFrame, plan: Plan, step: int) -> DataFrame:
             rows = []
             for b, i, j in s.parts(plan.buckets[step]):
                 low = int(ids[i:j].min())
-                rows.append((b, number, j - i, _pack(np.diff(s.keys[i:j], prepend=np.uint64(0))), low,
-                             _pack((ids[i:j] - low).view(np.uint64)) if step else b""))
+                rows.append((b, number, j - i, pack_ints(np.diff(s.keys[i:j], prepend=np.uint64(0))), low,
+                             pack_ints((ids[i:j] - low).view(np.uint64)) if step else b""))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6,
                                                 (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()),
@@ -272,11 +244,11 @@ def _answer(asked: DataFrame, step: int) -> DataFrame:
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("block")
         sizes = df["n"].to_numpy()
-        keys = np.concatenate([np.cumsum(_unpack(b, n), dtype=np.uint64) for b, n in zip(df["keys"], sizes, strict=True)])
+        keys = np.concatenate([np.cumsum(unpack_ints(b, n), dtype=np.uint64) for b, n in zip(df["keys"], sizes, strict=True)])
         if step == 0:
             order = np.argsort(keys)
         else:
-            ids = np.concatenate([_unpack(b, n).view(np.int64) + low
+            ids = np.concatenate([unpack_ints(b, n).view(np.int64) + low
                                   for b, n, low in zip(df["ids"], sizes, df["low"], strict=True)])
             order = np.lexsort((ids, keys))
         k = keys[order]
