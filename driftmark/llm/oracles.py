@@ -79,4 +79,13 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
 """
 
-ORACLES = {"op3_near_duplicates": OP3, "op1_url_aliases": OP1}
+OP5 = """
+WITH near AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(1, greatest(len(q.embedding), len(v.embedding)) + 1), lambda i:
+         CASE WHEN (coalesce(q.embedding[i], 0) > 0) <> (coalesce(v.embedding[i], 0) > 0) THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance
+FROM near QUALIFY rank <= 10
+"""
+
+ORACLES = {"op5_code_neighbours": OP5, "op3_near_duplicates": OP3, "op1_url_aliases": OP1}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import langid, mixture, neardup, reshard, suffix, tokenbin, urls
+from driftmark.llm import chunks, decontam, hamming, langid, mixture, neardup, reshard, suffix, tokenbin, urls
 from driftmark.llm.common import table, text_bytes
 from driftmark.llm.oracles import ORACLES
 
@@ -34,6 +34,15 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components_of(table(spark, sf_dir, "documents"), 85)
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_code_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every row whose id is divisible by 20."""
+    return hamming.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 10)
+
+
 def op6_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 7 shards (by a checksum of the id) to 8 of near equal bytes."""
     docs = table(spark, sf_dir, "documents")
@@ -44,6 +53,10 @@ def op6_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op8_cover_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.spans(table(spark, sf_dir, "documents"), 50)
 
@@ -63,7 +76,10 @@ QUERIES = {
     "op1_url_aliases": op1_url_aliases,
     "op2_token_files": op2_token_files,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_benchmark_leaks": op4_benchmark_leaks,
+    "op5_code_neighbours": op5_code_neighbours,
     "op6_flow_reshard": op6_flow_reshard,
+    "op7_gear_chunks": op7_gear_chunks,
     "op8_cover_suffixes": op8_cover_suffixes,
     "op9_language": op9_language,
     "op10_cube_mix": op10_cube_mix,
