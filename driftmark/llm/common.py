@@ -12,7 +12,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftmark.session import scratch_dir, ship_package
@@ -43,6 +43,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def attach(docs: DataFrame, found: DataFrame, key: dict[str, Column], cols: list[str]) -> DataFrame:
+    """The rows of ``docs`` with the columns ``cols`` of ``found``, which has a
+    row for each of them, met by ``key`` (name in ``found``: expression over
+    ``docs``; NULL meets NULL).  Rows with equal keys are paired by an ordinal,
+    which takes a second shuffle, so only if there are any."""
+    names = list(key)
+    left = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in cols], F.struct(*key.values()).alias("__key"))
+    right = found.select(F.struct(*names).alias("__key"), *cols)
+    on = ["__key"]
+    if not right.groupBy("__key").count().where("count > 1").isEmpty():
+        on.append("__nth")
+        nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
+        left, right = left.withColumn("__nth", nth), right.withColumn("__nth", nth)
+    return left.join(right, on).drop(*on)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -234,17 +234,19 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str =
     keep = list(keep)
     struct = StructType([*[docs.schema[c] for c in keep], StructField(out[0], StringType()),
                          StructField(out[1], DoubleType())])
-    names = struct.names
+    names, n = struct.names, len(keep)
+    at = keep.index(text_col) if text_col in keep else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            got = [m.score(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            got = [m.score(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
+                [*b.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
                 names=names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text")).mapInArrow(run, struct)
+    read = [F.col(f"`{c}`") for c in keep] + ([] if at < n else [F.col(text_col).alias("__text")])
+    return docs.select(*read).mapInArrow(run, struct)
 
 
 def held_out(id_col: Column) -> Column:
@@ -252,6 +254,6 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+def identify(docs: DataFrame, keep: Sequence[str], out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Learn from the rows that are not held out and score every row."""
-    return predict(docs, train(docs, ~held_out(F.col("doc_id"))), keep)
+    return predict(docs, train(docs, ~held_out(F.col("doc_id"))), keep, out=out)

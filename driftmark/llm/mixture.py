@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import cut, ready, word_count
+from driftmark.llm.common import attach, cut, ready, word_count
 
 BLOCK = 2048
 EPS = 1e-9
@@ -147,18 +147,9 @@ def copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it.  Rows with the
-    same id, source and size are told apart by an ordinal."""
-    key = ["doc_id", "source", "size"]
-    names = docs.columns
-    took = copies(docs, **kw)
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("copies")))
-    took = took.select(*key, nth.alias("__nth"), "copies")
-    sized = docs.withColumn("__size", word_count(F.col("text")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy("text"))
-    d, t = sized.withColumn("__nth", nth).alias("d"), took.alias("t")
-    same = (F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
-            & (F.col("d.__size") == F.col("t.size")) & (F.col("d.__nth") == F.col("t.__nth")))
-    return (d.join(t, same).where("copies > 0")
-            .select(*[F.col(f"d.`{c}`") for c in names], F.explode(F.sequence(F.lit(1), "copies")).alias("__c"))
+    """``docs`` with every row as often as the mix takes it."""
+    key = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": word_count(F.col("text"))}
+    took = cut(copies(docs, **kw), "copies").withColumnRenamed("copies", "__copies")
+    return (attach(docs, took, key, ["__copies"]).where("__copies > 0")
+            .select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__c"))
             .drop("__c"))

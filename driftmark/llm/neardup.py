@@ -279,3 +279,9 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     return (sets.select("doc_id", "n").join(at, "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def drop_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``docs`` without the rows that are not their component's first."""
+    copies = components_of(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(cut(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)

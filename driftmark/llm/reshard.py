@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from driftmark.llm.common import cut, text_bytes
+from driftmark.llm.common import attach, cut, text_bytes
 from driftmark.session import scratch_dir
 
 BLOCK_ROWS = 16_384
@@ -149,20 +149,13 @@ def write_shards(docs: DataFrame, placed: DataFrame, folder: str, only_affected:
     """Rewrite the documents as ``folder/shard=<n>/``, with their slot.  With
     ``only_affected`` shards that keep exactly their rows are not written.
 
-    Rows meet their placement by id, size and checksum (and an ordinal among
-    equal ones), in one shuffle of the texts."""
-    key = ["doc_id", "size", "text_crc32"]
+    Rows meet their placement by id, size and checksum, in one shuffle of the
+    texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.withColumns({"__size": text_bytes(text) + 1, "__crc": F.crc32(text.cast("binary"))})
-    d = d.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__size", "__crc").orderBy("__size")))
-    p = placed.withColumn("__nth", F.row_number().over(Window.partitionBy(*key).orderBy("shard", "slot")))
     if only_affected:
-        p = p.join(affected(placed), "shard", "left_semi")
-    d, p = d.alias("d"), p.select(*key, "__nth", "shard", "slot").alias("p")
-    same = (F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.__size") == F.col("p.size"))
-            & (F.col("d.__crc") == F.col("p.text_crc32")) & (F.col("d.__nth") == F.col("p.__nth")))
-    keep = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("shard", "slot")]
-    d.join(p, same).select(*keep, "p.shard", "p.slot").write.partitionBy("shard").parquet(folder)
+        placed = placed.join(affected(placed), "shard", "left_semi")
+    key = {"doc_id": F.col("doc_id"), "size": text_bytes(text) + 1, "text_crc32": F.crc32(text.cast("binary"))}
+    attach(docs, placed, key, ["shard", "slot"]).write.partitionBy("shard").option("compression", "zstd").parquet(folder)
 
 
 def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int) -> DataFrame:
