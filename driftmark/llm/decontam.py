@@ -110,7 +110,7 @@ class Matcher:
                 run.append(s)
             if best <= k:
                 out.append((item, best))
-        return sorted(out)
+        return out
 
 
 def _groups(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:

@@ -55,9 +55,10 @@ from driftmark.session import scratch_dir
 
 V = 21
 COVER = (0, 1, 4, 14, 16)  # a perfect difference set modulo 21
-BLOCK_BYTES = 8 << 20
-BUCKET_ROWS = 2 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_ROWS = 1 << 20
 NO_ID = -(1 << 63)
+KEPT = -1  # the bucket number of the masks that a step keeps for the next
 
 
 class Block:
@@ -70,48 +71,77 @@ class Block:
         self.buf = np.frombuffer(pa.decompress(body, decompressed_size=self.n, codec="zstd", asbytes=True)
                                  if self.n else b"", dtype=np.uint8)
         self.ends = np.cumsum(self.lens)
-        up, _ = powers(1 << max(23, int(self.n).bit_length()))
+        self.room_for = max(22, self.n.bit_length())
+        up, _ = powers(1 << self.room_for)
         self.sums = np.zeros(self.n + 1, dtype=np.uint64)
         np.cumsum(letters()[self.buf] * up[:self.n], out=self.sums[1:])
-        self.room = np.repeat(self.ends, self.lens) - np.arange(self.n)  # bytes to the document's end
+
+    def fits(self, at: np.ndarray, w: int) -> np.ndarray:
+        """Those of the ascending positions whose document has ``w`` bytes from there."""
+        return at[self.ends[self.docs(at)] - at >= w]
 
     def words(self, at: np.ndarray, w: int, bits: int) -> np.ndarray:
         """Fingerprints of the ``w`` bytes at each position."""
-        _, down = powers(1 << max(23, int(self.n).bit_length()))
+        _, down = powers(1 << self.room_for)
         h = mix64((self.sums[at + w] - self.sums[at]) * down[at])
         return h >> np.uint64(64 - bits)
 
     def sample(self, w: int) -> np.ndarray:
         at = (np.arange(0, self.n, V)[:, None] + np.array(COVER)).ravel()
-        at = at[at < self.n]
-        return at[self.room[at] >= w]
-
-    def cover(self, starts: np.ndarray, before: int, after: int) -> np.ndarray:
-        """Mask of the positions from ``s - before`` to ``s + after - 1``."""
-        d = np.zeros(self.n + 1, dtype=np.int32)
-        np.add.at(d, np.maximum(starts - before, 0), 1)
-        np.add.at(d, np.minimum(starts + after, self.n), -1)
-        return np.cumsum(d[:-1]) > 0
+        return self.fits(at[at < self.n], w)
+
+    def starts(self, w: int) -> np.ndarray:
+        """Mask of the positions whose document has ``w`` bytes from there."""
+        ok = np.ones(self.n, dtype=bool)
+        for e, size in zip(self.ends.tolist(), self.lens.tolist(), strict=True):
+            ok[e - min(size, w - 1):e] = False
+        return ok
+
+    def cover(self, at: np.ndarray, before: int, after: int) -> np.ndarray:
+        """Mask of the positions from ``p - before`` to ``p + after - 1`` for
+        distinct positions p; at most 127 of them overlap."""
+        if before + after > 127:
+            return self.cover(at, before, 127 - before) | self.cover(at + 127 - before, 0, after + before - 127)
+        d = np.zeros(self.n + 2 * (before + after) + 1, dtype=np.int8)
+        d[at] += 1  # shifted by ``before``
+        d[at + before + after] -= 1
+        return np.cumsum(d, dtype=np.int8)[before:before + self.n] > 0
 
     def docs(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, side="right")
 
 
+def _mask_bytes(*masks: np.ndarray) -> bytes:
+    return pa.compress(np.packbits(np.concatenate(masks)).tobytes(), codec="zstd", asbytes=True)
+
+
+def _masks(b: bytes, n: int, k: int) -> list[np.ndarray]:
+    raw = pa.decompress(b, decompressed_size=-(-n * k // 8), codec="zstd", asbytes=True) if n else b""
+    bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=n * k).astype(bool)
+    return [bits[i * n:(i + 1) * n] for i in range(k)]
+
+
 class Sorted:
     """Distinct fingerprints of a block's positions and what they say."""
 
     def __init__(self, block: Block, at: np.ndarray, w: int, bits: int):
         self.block, self.at = block, at
         f = block.words(at, w, bits)
-        order = np.argsort(f, kind="stable")  # ties stay in id order
+        order = np.argsort(f)
         g = f[order]
         new = np.ones(len(g), dtype=bool)
         new[1:] = g[1:] != g[:-1]
+        edge = np.flatnonzero(new)
         self.keys, self.bits = g[new], bits
-        self.group = np.empty(len(f), dtype=np.int64)
-        self.group[order] = np.cumsum(new) - 1
-        self.least = block.docs(at[order[new]])  # the smallest document of each
-        self.twice = np.diff(np.append(np.flatnonzero(new), len(g))) > 1
+        self.group = np.empty(len(f), dtype=np.int32)
+        self.group[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.twice = np.diff(np.append(edge, len(g))) > 1
+        # the first position of each: positions ascend with the documents' ids
+        self.first = np.minimum.reduceat(at[order], edge) if len(edge) else at
+
+    def least(self) -> np.ndarray:
+        """The smallest document of each key."""
+        return self.block.docs(self.first)
 
     def parts(self, buckets: int) -> Iterator[tuple[int, int, int]]:
         """(bucket, first, last) of the runs of keys by their top bits."""
@@ -127,7 +157,7 @@ class Sorted:
 
     def removed(self, elsewhere: np.ndarray) -> np.ndarray:
         """Positions whose word a smaller document has, here or elsewhere."""
-        own = self.block.docs(self.at) > self.least[self.group]
+        own = self.block.docs(self.at) > self.least()[self.group]
         return self.at[elsewhere[self.group] | own]
 
 
@@ -144,25 +174,40 @@ class Plan:
         self.buckets = tuple(1 << max(0, math.ceil(math.log2(max(1, x / BUCKET_ROWS))))
                              for x in (n * len(COVER) / V, n * len(COVER) / V / 4, n / 8))
 
-    def sort(self, block: Block, step: int, answers: list[dict[int, bytes]]) -> Sorted | np.ndarray:
-        """The sort of ``step`` (0 to 2) given the answers to those before;
-        step 3: the mask of removed bytes."""
-        n, v = self.length, V
-        first = Sorted(block, block.sample(n - v + 1), n - v + 1, self.bits[0])
+    def words_of(self, block: Block) -> Sorted:
+        w = self.length - V + 1
+        return Sorted(block, block.sample(w), w, self.bits[0])
+
+    def ties_of(self, block: Block, play: np.ndarray) -> Sorted:
+        w = self.length + V - 1
+        at = block.sample(w)
+        return Sorted(block, at[play[at] & play[at + V - 1]], w, self.bits[1])
+
+    def rest_of(self, block: Block, left: np.ndarray) -> Sorted:
+        return Sorted(block, np.flatnonzero(left), self.length, self.bits[2])
+
+    def sort(self, block: Block, step: int, answers: list[dict[int, bytes]]) -> tuple[Sorted, bytes | None]:
+        """The sort of a step, given the answers to the one before and the
+        masks kept with it; and the masks that the next step needs."""
         if step == 0:
-            return first
-        again = first.bit_of(answers[0], self.buckets[0]) | first.twice
-        play = block.cover(first.at[again[first.group]], v - 1, 1) & (block.room >= n)
-        at = block.sample(n + v - 1)
-        ties = Sorted(block, at[play[at] & play[at + v - 1]], n + v - 1, self.bits[1])
+            return self.words_of(block), None
         if step == 1:
-            return ties
-        gone = block.cover(ties.removed(ties.bit_of(answers[1], self.buckets[1])), 0, v)
-        rest = Sorted(block, np.flatnonzero(play & ~gone), n, self.bits[2])
-        if step == 2:
-            return rest
+            first = self.words_of(block)
+            again = first.bit_of(answers[0], self.buckets[0]) | first.twice
+            play = block.cover(first.at[again[first.group]], V - 1, 1) & block.starts(self.length)
+            return self.ties_of(block, play), _mask_bytes(play)
+        play, = _masks(answers[1][KEPT], block.n, 1)
+        ties = self.ties_of(block, play)
+        gone = block.cover(ties.removed(ties.bit_of(answers[1], self.buckets[1])), 0, V)
+        left = play & ~gone
+        return self.rest_of(block, left), _mask_bytes(gone, left)
+
+    def removed(self, block: Block, answers: list[dict[int, bytes]]) -> np.ndarray:
+        """Mask of the removed bytes, given the answers to the last sort."""
+        gone, left = _masks(answers[2][KEPT], block.n, 2)
+        rest = self.rest_of(block, left)
         gone[rest.removed(rest.bit_of(answers[2], self.buckets[2]))] = True
-        return block.cover(np.flatnonzero(gone), 0, n)
+        return block.cover(np.flatnonzero(gone), 0, self.length)
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -222,20 +267,20 @@ def _ask(blocks: DataFrame, plan: Plan, step: int) -> DataFrame:
     """The blocks' sorted fingerprints, by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block, answers in _each_block(batches, plan.length):
-            s = plan.sort(block, step, answers)
-            ids = block.ids[s.least].astype(np.int64)
-            rows = []
+            s, kept = plan.sort(block, step, answers)
+            ids = block.ids[s.least()] if step else np.zeros(len(s.keys), dtype=np.int64)
+            rows = [] if kept is None else [(-1 - number, KEPT, number, 0, kept, 0, b"")]
             for b, i, j in s.parts(plan.buckets[step]):
                 low = int(ids[i:j].min())
-                rows.append((b, number, j - i, pack_ints(np.diff(s.keys[i:j], prepend=np.uint64(0))), low,
+                rows.append((b, b, number, j - i, pack_ints(np.diff(s.keys[i:j], prepend=np.uint64(0))), low,
                              pack_ints((ids[i:j] - low).view(np.uint64)) if step else b""))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6,
-                                                (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()),
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7,
+                                                (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()),
                                                 strict=True)],
-                names=["bucket", "block", "n", "keys", "low", "ids"])
+                names=["pile", "bucket", "block", "n", "keys", "low", "ids"])
 
-    return blocks.mapInArrow(run, "bucket int, block long, n long, keys binary, low long, ids binary")
+    return blocks.mapInArrow(run, "pile long, bucket int, block long, n long, keys binary, low long, ids binary")
 
 
 def _answer(asked: DataFrame, step: int) -> DataFrame:
@@ -243,33 +288,38 @@ def _answer(asked: DataFrame, step: int) -> DataFrame:
     smaller document (ties between equal ids: the smaller block number)."""
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("block")
+        out = pd.DataFrame({"block": df["block"].to_numpy(), "step": np.int32(step), "bucket": df["bucket"].to_numpy()})
+        if out["bucket"].iloc[0] == KEPT:
+            return out.assign(bits=df["keys"].to_numpy())
         sizes = df["n"].to_numpy()
         keys = np.concatenate([np.cumsum(unpack_ints(b, n), dtype=np.uint64) for b, n in zip(df["keys"], sizes, strict=True)])
+        order = np.argsort(keys)
+        k = keys[order]
+        new = np.ones(len(k), dtype=bool)
+        new[1:] = k[1:] != k[:-1]
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(k)))
         if step == 0:
-            order = np.argsort(keys)
+            bit = np.repeat(size > 1, size)
         else:
             ids = np.concatenate([unpack_ints(b, n).view(np.int64) + low
-                                  for b, n, low in zip(df["ids"], sizes, df["low"], strict=True)])
-            order = np.lexsort((ids, keys))
-        k = keys[order]
-        same = k[1:] == k[:-1]
-        bit = np.zeros(len(k), dtype=bool)
-        bit[1:] = same
-        if step == 0:
-            bit[:-1] |= same
+                                  for b, n, low in zip(df["ids"], sizes, df["low"], strict=True)])[order]
+            from_ = np.repeat(np.arange(len(sizes)), sizes)[order]
+            least = ids == np.repeat(np.minimum.reduceat(ids, start), size)
+            owner = np.repeat(np.minimum.reduceat(np.where(least, from_, len(sizes)), start), size)
+            bit = ~(least & (from_ == owner))
         back = np.empty(len(k), dtype=bool)
         back[order] = bit
         edge = np.concatenate([[0], np.cumsum(sizes)])
-        return pd.DataFrame({"block": df["block"].to_numpy(), "step": np.int32(step), "bucket": df["bucket"].to_numpy(),
-                             "bits": [np.packbits(back[i:j]).tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]})
+        return out.assign(bits=[np.packbits(back[i:j]).tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)])
 
-    return asked.groupBy("bucket").applyInPandas(run, "block long, step int, bucket int, bits binary")
+    return asked.groupBy("pile").applyInPandas(run, "block long, step int, bucket int, bits binary")
 
 
 def _apply(blocks: DataFrame, plan: Plan, make: Callable, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block, answers in _each_block(batches, plan.length):
-            gone = plan.sort(block, 3, answers)
+            gone = plan.removed(block, answers)
             rows = []
             for d, i, j in zip(block.ids.tolist(), (block.ends - block.lens).tolist(), block.ends.tolist(), strict=True):
                 rows.append((None if d == NO_ID else d, *make(block.buf[i:j], gone[i:j])))
@@ -297,8 +347,7 @@ def _settled(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[
     plan = Plan(blocks.agg(F.sum("n_bytes")).first()[0] or 0, length)
     answers = None
     for step in range(3):
-        now = cut(_answer(_ask(_with_answers(blocks, answers), plan, step), step), "answers")
-        answers = now if answers is None else answers.union(now)
+        answers = cut(_answer(_ask(_with_answers(blocks, answers), plan, step), step), "answers")
     return _with_answers(blocks, answers), plan
 
 

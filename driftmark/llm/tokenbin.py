@@ -76,11 +76,11 @@ def _fs(path: str):
 class Encoder:
     """Ids of a text, as little-endian uint32 bytes.
 
-    The tokenizers of this kind drop white space and never let a token span
-    it, so a text's ids are those of its white-space-separated pieces, and a
-    piece that was seen before is looked up (a bounded table, kept from task
-    to task by ``encoder``).  New pieces are encoded together, a special
-    token between them."""
+    A tokenizer that drops white space and never lets a token span it gives a
+    text the ids of its white-space-separated pieces; a piece that was seen
+    before is looked up (a bounded table, kept from task to task by
+    ``encoder``), and new ones are encoded together, a special token between
+    them.  Any other tokenizer encodes whole texts."""
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -124,8 +124,6 @@ class Encoder:
     def _ids(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """A piece that is one lower-case word, with or without marks at its
         end, needs no normaliser or splitter, only the model."""
-        if not self.direct:
-            return self._joined(pieces)
         seen, new, rest, tokenize = self.seen, {}, [], self.tok.model.tokenize
         marked = []
         marks = set()
@@ -151,10 +149,15 @@ class Encoder:
         return new
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
+        if not self.direct:  # white space may count: whole texts, nothing looked up
+            for text in texts:
+                got = self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False)
+                yield np.array(got.ids, dtype="<u4").tobytes()
+            return
         seen, held, size = self.seen, [], 0
         for k, text in enumerate(texts):
             # ASCII lower case first, unless that could make a special token
-            held.append((text.lower() if self.direct and b"<|" not in text else text).split())
+            held.append((text.lower() if b"<|" not in text else text).split())
             size += len(text)
             if size < TOGETHER and k + 1 < len(texts):
                 continue
