@@ -104,7 +104,7 @@ FOLD_FIELDS = [
     ("cur_sensitivity", T.DoubleType()), ("allowed", T.LongType()), ("adwin_width", T.LongType()),
     ("chunk_span", T.LongType()), ("chunk_elements", T.LongType()),
     ("chunk_late_ratio", T.DoubleType()), ("accepted", T.BooleanType()),
-    ("proposed_wm", T.LongType()),
+    ("proposed_wm", T.LongType()), ("accepted_width", T.LongType()),
 ]
 PARAM_COLS = ("sensitivity", "change_rate", "threshold")
 
@@ -139,7 +139,7 @@ def _adaptive_fold(stream_cols, params: AdaptiveParams, param_from_cols: bool):
             ts = pdf["t"].tolist()
             refs = pdf["__ref"].tolist()
             cfg = ([pdf[c].tolist() for c in PARAM_COLS] if param_from_cols else None)
-            wb, wa, raw, late_, det_, sens, allw, width = ([] for _ in range(8))
+            wb, wa, raw, late_, det_, sens, allw, width, acw = ([] for _ in range(9))
             span, elems, ratio, acc, prop = {}, {}, {}, {}, {}
             for i in range(n):
                 if keys[i] != cur:
@@ -158,6 +158,7 @@ def _adaptive_fold(stream_cols, params: AdaptiveParams, param_from_cols: bool):
                 sens.append(st.sens)
                 allw.append(st.allowed)
                 width.append(st.adwin.width)
+                acw.append(st.accepted_width)
                 if st.chunk is not None:
                     c = st.chunk
                     span[i], elems[i], ratio[i], acc[i], prop[i] = c[0], c[1], c[2], c[4], c[5]
@@ -175,6 +176,7 @@ def _adaptive_fold(stream_cols, params: AdaptiveParams, param_from_cols: bool):
             out["chunk_late_ratio"] = _nullable(n, ratio, "Float64")
             out["accepted"] = _nullable(n, acc, "boolean")
             out["proposed_wm"] = _nullable(n, prop, "Int64")
+            out["accepted_width"] = np.array(acw, dtype="int64")
             yield out
     return fold
 
@@ -247,33 +249,27 @@ DETECT_FIELDS = [
 
 def _detect_fold(stream_cols, delta: float, clock: int):
     def fold(batches):
-        cur, ad = object(), None
+        cur, ad, peak = object(), None, 0
         for pdf in batches:
             keys = _keys(pdf, stream_cols)
-            vals = pdf["__x"].tolist()
-            ch, w, mean, var, tot, dets, cw, peak = ([] for _ in range(8))
-            for i, x in enumerate(vals):
+            vals = pdf["__x"].to_numpy(dtype="float64")
+            runs = [i for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]]
+            parts = []
+            for i, j in zip(runs, [*runs[1:], len(keys)]):
                 if keys[i] != cur:
-                    cur = keys[i]
-                    ad = Adwin(delta, clock)
-                ch.append(ad.update(float(x)))
-                w.append(ad.width)
-                mean.append(ad.mean)
-                var.append(ad.variance)
-                tot.append(ad.total)
-                dets.append(ad.detections)
-                cw.append(ad.cum_width)
-                peak.append(ad.peak_buckets)
-            out = pdf.drop(columns=["__x"])
-            out["changed"] = np.array(ch, dtype=bool)
-            out["width"] = np.array(w, dtype="int64")
-            out["mean"] = np.array(mean, dtype="float64")
-            out["variance"] = np.array(var, dtype="float64")
-            out["total"] = np.array(tot, dtype="float64")
-            out["detections"] = np.array(dets, dtype="int64")
-            out["cum_width"] = np.array(cw, dtype="float64")
-            out["peak_buckets"] = np.array(peak, dtype="int64")
-            yield out
+                    cur, ad, peak = keys[i], Adwin(delta, clock), 0
+                found, wide = ad.detections, ad.cum_width
+                tr = ad.extend(vals[i:j])
+                peaks = np.maximum(np.maximum.accumulate(tr.buckets), peak)
+                peak = int(peaks[-1])
+                width = np.maximum(tr.width, 1)
+                parts.append(pd.DataFrame({
+                    "changed": tr.changed, "width": tr.width, "mean": tr.total / width,
+                    "variance": tr.spread / width, "total": tr.total,
+                    "detections": found + np.cumsum(tr.changed), "cum_width": wide + np.cumsum(tr.width, dtype="float64"),
+                    "peak_buckets": peaks}))
+            got = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[n for n, _ in DETECT_FIELDS])
+            yield pd.concat([pdf.drop(columns=["__x"]).reset_index(drop=True), got], axis=1)
     return fold
 
 
