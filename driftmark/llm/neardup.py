@@ -39,7 +39,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +50,7 @@ from driftmark.session import scratch_dir
 WIDTH = 5
 TOKENS = 64
 TREES = 10
-SMALL = 512
+SMALL = 128
 DEPTH = 6
 SET_BITS = 48
 PIECE = 4 << 20  # bytes of text hashed at once
@@ -155,16 +154,16 @@ class Union:
         self.root[np.isin(self.root, roots)] = roots[0]
 
 
-def plausible(df: pd.DataFrame, percent: int) -> np.ndarray:
+def plausible(n: np.ndarray, tokens_: np.ndarray, comp: np.ndarray, percent: int) -> np.ndarray:
     """A label for each document of a group: those that chains of pairs with
     a high enough estimate connect share one.  Pairs of different sizes or
     of one component count as no pair."""
-    sig = np.frombuffer(b"".join(df["tokens"]), dtype="<u4").reshape(-1, TOKENS)
-    n, comp = df["n"].to_numpy(), df["comp"].to_numpy()
+    # one byte of each token: an estimate too high by 1/256 at most, on average
+    sig = np.frombuffer(b"".join(tokens_), dtype="<u4").reshape(-1, TOKENS).astype(np.uint8)
     least = int(TOKENS * (percent / 100 - 0.25))
-    label = np.arange(len(df))
-    for i in range(len(df) - 1):
-        rest = np.arange(i + 1, len(df))
+    label = np.arange(len(n))
+    for i in range(len(n) - 1):
+        rest = np.arange(i + 1, len(n))
         ok = (comp[rest] != comp[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
         rest = rest[ok]
         if len(rest):
@@ -175,12 +174,10 @@ def plausible(df: pd.DataFrame, percent: int) -> np.ndarray:
     return label
 
 
-def links(df: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+def links(ids: np.ndarray, n: np.ndarray, members: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that connect what the full sets say is connected."""
-    df = df.sort_values("doc_id", kind="stable")
-    ids, n = df["doc_id"].to_numpy(), df["n"].to_numpy()
-    sets = [np.cumsum(unpack_ints(b, k), dtype=np.uint64) for b, k in zip(df["members"], n, strict=True)]
-    u, out = Union(df["comp"].to_numpy()), []
+    sets = [np.cumsum(unpack_ints(b, k), dtype=np.uint64) for b, k in zip(members, n.tolist(), strict=True)]
+    u, out = Union(comp), []
     for i in range(len(ids) - 1):
         js = np.arange(i + 1, len(ids))
         js = js[(u.root[js] != u.root[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
@@ -196,21 +193,63 @@ def links(df: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each group of rows that are equal in the first ``keys``
+    columns (whole numbers), from batches sorted by them.  Groups are small,
+    so many share a task without a call of Spark's for each."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        new = np.zeros(len(cols[0]), dtype=bool)
+        for k in cols[:keys]:
+            new[1:] |= k[1:] != k[:-1]
+        edge = [0, *np.flatnonzero(new).tolist()]
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            yield [c[i:j] for c in cols]
+        held = [c[edge[-1]:] for c in cols]
+    if held is not None:
+        yield held
+
+
 def _compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links within groups ``(path, part, doc_id, n, tokens, comp)``."""
-    def narrow(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("doc_id", kind="stable").reset_index(drop=True)
-        df["sub"] = plausible(df, percent)
-        many = df.groupby("sub")["comp"].transform("nunique") > 1
-        return df.loc[many, ["path", "part", "sub", "doc_id", "comp"]]
-
-    def confirm(df: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(links(df, percent), columns=["a", "b"], dtype="int64")
-
-    near = cut(groups.groupBy("path", "part").applyInPandas(
-        narrow, "path long, part long, sub long, doc_id long, comp long"), "near")
-    return (near.join(sets.select("doc_id", "n", "members"), "doc_id")
-            .groupBy("path", "part", "sub").applyInPandas(confirm, "a long, b long"))
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list[np.ndarray]] = []
+        names = ["path", "part", "sub", "doc_id", "comp"]
+        flush = (lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names))
+        held = 0
+        for path, part, ids, n, tok, comp in _groups(batches, 2):
+            if (comp == comp[0]).all():
+                continue
+            label = plausible(n, tok, comp, percent)
+            many = np.bincount(label, minlength=len(label))[label] > 1
+            if many.any():
+                out.append([path[many], part[many], label[many], ids[many], comp[many]])
+                held += int(many.sum())
+            if held > 50_000:
+                yield flush()
+                out, held = [], 0
+        if out:
+            yield flush()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, ids, n, members, comp in _groups(batches, 3):
+            got = links(ids, n, members, comp, percent)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=["a", "b"])
+
+    # a number of partitions of its own: the work goes with pairs, not bytes
+    n = partitions(groups.sparkSession)
+    near = cut(groups.repartition(n, "path", "part").sortWithinPartitions("path", "part", "doc_id")
+               .select("path", "part", "doc_id", "n", "tokens", "comp")
+               .mapInArrow(narrow, "path long, part long, sub long, doc_id long, comp long"), "near")
+    return (near.join(sets.select("doc_id", "n", "members"), "doc_id").repartition(n, "path", "part", "sub")
+            .sortWithinPartitions("path", "part", "sub", "doc_id")
+            .select("path", "part", "sub", "doc_id", "n", "members", "comp").mapInArrow(confirm, "a long, b long"))
 
 
 def _branch(rows: DataFrame, choices: int) -> DataFrame:
