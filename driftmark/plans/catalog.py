@@ -13,6 +13,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmark.plans import adaptive_sql as AQ
 from driftmark.plans import oracle_sql as Q
 from driftmark.sources.fixtures import event_stream
 
@@ -463,7 +464,12 @@ def _adaptive_params(**kw):
     return AdaptiveParams(warmup=WARMUP, **base)
 
 
-@register("adaptive_watermark")
+def _w1_sql(select: str, adapt: bool = False, **kw) -> str:
+    return (f"WITH RECURSIVE {AQ.drifting_ev()},\n"
+            f"{AQ.watermark_sql('ev', [AQ.PLAIN | kw], WARMUP, adapt)}\n{select}")
+
+
+@register("adaptive_watermark", _w1_sql("SELECT * EXCLUDE (run) FROM w1"))
 def q_adaptive_watermark(spark, sf_dir):
     """Drift-driven watermark per event type over the drifting-delay
     replay of ``events`` (the sweep's constructor form, warm-up 200)."""
@@ -472,7 +478,7 @@ def q_adaptive_watermark(spark, sf_dir):
                               _adaptive_params())
 
 
-@register("adaptive_panes")
+@register("adaptive_panes", f"WITH RECURSIVE {AQ.adaptive_panes_sql(H, 0, WARMUP)}\nSELECT * FROM panes")
 def q_adaptive_panes(spark, sf_dir):
     """W1 -> T1: hourly panes per event type under the adaptive watermark."""
     from driftmark.operators.adaptive import adaptive_panes
@@ -480,7 +486,9 @@ def q_adaptive_panes(spark, sf_dir):
                           ["event_type"], H, 0, _adaptive_params())
 
 
-@register("chunk_report")
+@register("chunk_report", _w1_sql("""SELECT event_type, seq, arr, chunk_span, chunk_elements, chunk_late_ratio,
+       cur_sensitivity, accepted, proposed_wm, wm_raw, wm_after
+FROM w1 WHERE detected""", change_rate=0.1, threshold=0.1))
 def q_chunk_report(spark, sf_dir):
     """One row per detection, with sensitivity feedback on (W1d)."""
     from driftmark.operators.adaptive import adaptive_watermark, chunk_report
@@ -489,7 +497,7 @@ def q_chunk_report(spark, sf_dir):
     return chunk_report(folded, ["event_type"])
 
 
-@register("adaptive_lateness")
+@register("adaptive_lateness", _w1_sql("SELECT * EXCLUDE (run) FROM w1", adapt=True))
 def q_adaptive_lateness(spark, sf_dir):
     """W1e: lateness re-estimated on every accepted watermark."""
     from dataclasses import replace
@@ -498,14 +506,56 @@ def q_adaptive_lateness(spark, sf_dir):
     return adaptive_watermark(_ev(spark, sf_dir, "event_type", drifting=True), ["event_type"], p)
 
 
-@register("adwin_detect")
-def q_adwin_detect(spark, sf_dir):
-    """ADWIN over ``value`` per event type in arrival order."""
+def _detect_sql(x: str) -> str:
+    return (f"WITH RECURSIVE {AQ.drifting_ev()},\n"
+            f"src AS (SELECT event_type AS stream, seq, arr, {x} AS x FROM ev),\n{AQ.detect_sql('src')}\n{AQ.DETECT_SELECT}")
+
+
+def _rounded(df):
+    """Means and sums to six digits; the tiny offset keeps exact halves from
+    being rounded by the last bit of a sum's order."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("mean", "variance", "total")})
+
+
+@register("adwin_detect_delay", _detect_sql("CAST(arr - t AS DOUBLE) / 3600000"))
+def q_adwin_detect_delay(spark, sf_dir):
+    """D1-D3 over the arrival delay in hours, whose distribution changes
+    every 500 events."""
     from driftmark.operators.adaptive import adwin_detect
-    return adwin_detect(_ev(spark, sf_dir, "event_type", "value"), ["event_type"], "value")
+    ev = _ev(spark, sf_dir, "event_type", drifting=True)
+    ev = ev.withColumn("delay", (F.col("arr") - F.col("t")).cast("double") / 3_600_000)
+    return _rounded(adwin_detect(ev, ["event_type"], "delay"))
 
 
-@register("sweep_adaptive")
+@register("adwin_detect", _detect_sql("value").replace(AQ.drifting_ev(), Q.ev_cte()))
+def q_adwin_detect(spark, sf_dir):
+    """ADWIN over ``value`` per event type in arrival order."""
+    from driftmark.operators.adaptive import adwin_detect
+    return _rounded(adwin_detect(_ev(spark, sf_dir, "event_type", "value"), ["event_type"], "value"))
+
+
+def _sweep_adaptive_sql() -> str:
+    grid = [(s, c, h, w) for s in (1.0,) for c in (1.0, 0.1, 0.01) for h in (1.1, 0.1, 0.01) for w in (100, 1000)]
+    runs = [dict(sensitivity=s, change_rate=c, threshold=h) for s, c, h, w in grid if w == 100]
+    values = ", ".join(f"({runs.index(dict(sensitivity=s, change_rate=c, threshold=h))}, CAST({s} AS DOUBLE), CAST({c} AS DOUBLE), "
+                       f"CAST({h} AS DOUBLE), CAST({w} AS BIGINT))" for s, c, h, w in grid)
+    fire = """(SELECT min(s.wm_after) FROM w1 s WHERE s.run = o.run AND s.event_type = o.event_type
+       AND s.wm_after > s.wm_before AND s.wm_after >= o.wend - 1)"""
+    body = Q.panes_ctes("a_groups", ["run", "event_type", "width"], ["run", "event_type", "width"], "width", 0, fire)
+    return f"""WITH RECURSIVE {AQ.drifting_ev()},
+{AQ.watermark_sql('ev', runs, WARMUP)},
+grid(run, sensitivity, change_rate, threshold, width) AS (VALUES {values}),
+a_groups AS (SELECT w1.run, event_type, width, t - t % width AS wstart, wm_before, count(*) AS n
+             FROM w1 JOIN grid ON grid.run = w1.run GROUP BY ALL),
+{body},
+{Q.analyze_sql(['run', 'width'], ['event_type'])}
+SELECT 'events' AS dataset, 'Adaptive' AS approach, CAST(1000 AS BIGINT) AS lateness, sensitivity, change_rate, threshold,
+       CAST(NULL AS BIGINT) AS period, width, coalesce(windows, 0) AS windows, coalesce(elements, 0) AS elements, mean_lag,
+       coalesce(not_processed, 0) AS not_processed
+FROM grid LEFT JOIN summary USING (run, width)"""
+
+
+@register("sweep_adaptive", _sweep_adaptive_sql())
 def q_sweep_adaptive(spark, sf_dir):
     """P1, adaptive half: the reference's 18 runs in one job -> report.
     Runs that differ only in width share one fold (9 folds per stream)."""
@@ -543,7 +593,7 @@ def q_stream_running_average(spark, sf_dir):
     return out.select("seq", "event_type", "running_avg")
 
 
-@register("stream_adaptive")
+@register("stream_adaptive", f"WITH RECURSIVE {AQ.adaptive_panes_sql(H, 0, WARMUP)}\nSELECT * FROM panes WHERE NOT flushed")
 def q_stream_adaptive(spark, sf_dir):
     """W1 + T1 live via transformWithStateInPandas: panes fired by the
     adaptive watermark (windows never fired stay in state)."""
@@ -572,7 +622,8 @@ def q_stream_tumbling_native(spark, sf_dir):
     return run_available_now(tumbling_counts_native(sdf, ["event_type"], H, H), "native")
 
 
-@register("stream_sessions")
+@register("stream_sessions", f"""WITH ses AS ({ORACLES['session_windows']})
+SELECT * FROM ses WHERE send <= (SELECT max(epoch_us(ts) // 1000) FROM events) - {7 * H}""")
 def q_stream_sessions(spark, sf_dir):
     """T7 live: session windows per user behind a 7 h watermark delay."""
     from driftmark.streaming.live import run_available_now, session_windows_stream
