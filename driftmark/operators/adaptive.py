@@ -232,8 +232,10 @@ def adaptive_panes(df: DataFrame, stream_cols: list[str], key_cols: list[str], w
     from driftmark.operators.windows import tumbling_panes
     from driftmark.session import materialize
     pass_cols = [c for c in key_cols if c not in stream_cols]
-    # the fold feeds two consumers (steps and window groups): run it once
-    folded = materialize(adaptive_watermark(df, stream_cols, params, ref, pass_cols, param_cols))
+    # the fold feeds two consumers (steps and window groups): run it once, and
+    # keep only what they read
+    folded = adaptive_watermark(df, stream_cols, params, ref, pass_cols, param_cols)
+    folded = materialize(folded.select(*stream_cols, *pass_cols, "seq", "t", "arr", "wm_before", "wm_after"))
     steps = steps_from_events(folded, stream_cols)
     return tumbling_panes(folded, steps, stream_cols, key_cols, width, allowed)
 

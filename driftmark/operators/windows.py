@@ -26,6 +26,7 @@ from driftmark.operators.lateness import DROPPED, LATE_KEPT, ON_TIME, window_cla
 
 PANE_COLS = ["wstart", "wend", "cnt", "lag", "flushed", "late_fire"]
 BLOCK_WINDOWS = 1024
+REFIRE_PIECE = 10_000  # panes written from one row at a time
 
 
 def window_groups(df: DataFrame, key_cols: list[str], width: int,
@@ -111,9 +112,14 @@ def tumbling_panes_from_groups(groups: DataFrame, firing, stream_cols: list[str]
                      [Scan("__before", "n", "sum", inclusive=False)])
     late = x.where(F.col("cls") == LATE_KEPT)
     base = F.col("__before").cast("long")
+    # a group's re-fires in pieces of bounded length, so no row ever holds an
+    # array as long as a hot window's late elements
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), floor_div(F.col("n") - 1, col_of(REFIRE_PIECE))))
+    late = late.select("*", piece.alias("__p"))
+    from_ = base + F.col("__p") * REFIRE_PIECE
     late_panes = late.select(
         *key_cols, "wstart", "wend",
-        F.explode(F.sequence(base + 1, base + F.col("n"))).alias("cnt"),
+        F.explode(F.sequence(from_ + 1, F.least(from_ + REFIRE_PIECE, base + F.col("n")))).alias("cnt"),
         (F.col("wm_before") - F.col("wend")).alias("lag"),
         F.lit(False).alias("flushed"),
         F.lit(True).alias("late_fire"))
@@ -250,15 +256,16 @@ def session_windows_builtin(df: DataFrame, key_cols: list[str], gap_ms: int) ->
 def running_average(df: DataFrame, key_cols: list[str], value: str = "value",
                     block_ms: int = 60_000, text: bool = False,
                     scale: int | None = None) -> DataFrame:
-    """Mean of ``value`` over all earlier-or-equal rows of the key in
-    arrival order (blocked scan of sum and count; ``scale`` sums exactly)."""
-    x = df.withColumn("__one", F.lit(1).cast("long"))
+    """Mean of the non-NULL ``value``s over all earlier-or-equal rows of
+    the key in arrival order, NULL while there is none (blocked scan of sum
+    and count; ``scale`` sums exactly)."""
+    x = df.withColumn("__one", F.col(value).isNotNull().cast("long"))
     if scale is not None:
         x = x.withColumn("__v", _exact(value, scale))
         value = "__v"
     x = blocked_scan(x, key_cols, floor_div(F.col("arr"), F.lit(block_ms)), ["arr", "seq"],
                      [Scan("__s", value, "sum"), Scan("__c", "__one", "sum")])
-    x = (x.withColumn("running_avg", F.col("__s").cast("double") / F.col("__c"))
+    x = (x.withColumn("running_avg", F.try_divide(F.col("__s").cast("double"), F.col("__c").cast("double")))
           .drop("__one", "__s", "__c", "__v"))
     if text:
         x = x.withColumn("running_text", F.format_string("Average so far is %f", F.col("running_avg")))

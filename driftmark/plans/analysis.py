@@ -28,9 +28,11 @@ def collapse_panes(panes: DataFrame, group_cols: list[str]) -> DataFrame:
         F.min_by("lag", "cnt").alias("lag"))
 
 
-def analyze_runs(panes: DataFrame, run_cols: list[str], stream_cols: list[str]) -> DataFrame:
+def analyze_runs(panes: DataFrame, run_cols: list[str], stream_cols: list[str],
+                 runs: DataFrame | None = None) -> DataFrame:
     """A2: per run windows, elements, mean lag and elements only flushed
-    at end of stream.  Windows are (stream, window end) pairs."""
+    at end of stream.  Windows are (stream, window end) pairs.  ``runs`` lists
+    all runs (columns ``run_cols``): one without panes has 0 windows."""
     flushed = F.col("flushed")
     per_window = panes.groupBy(*run_cols, *stream_cols, "wend").agg(
         F.min(F.when(~flushed, F.col("cnt"))).alias("first_cnt"),
@@ -42,6 +44,9 @@ def analyze_runs(panes: DataFrame, run_cols: list[str], stream_cols: list[str])
         F.coalesce(F.sum(F.col("first_cnt") + F.col("npanes") - 1), F.lit(0)).cast("long").alias("elements"),
         F.try_divide(F.sum("first_lag").cast("double"), F.count("first_cnt")).alias("mean_lag"),
         F.coalesce(F.sum("flushed_cnt"), F.lit(0)).cast("long").alias("not_processed"))
+    if runs is not None:
+        out = runs.select(*run_cols).distinct().join(out, run_cols, "left")
+        out = out.fillna(0, ["windows", "elements", "not_processed"])
     return out
 
 

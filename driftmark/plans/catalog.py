@@ -279,6 +279,21 @@ def q_running_average(spark, sf_dir):
     return x.select("seq", "event_type", "running_avg")
 
 
+@register("running_average_nulls", f"""WITH {Q.ev_cte()}
+SELECT seq, event_type,
+       CAST(sum(CAST(CASE WHEN seq % 3 <> 0 THEN value END AS DECIMAL(18, 2))) OVER w AS DOUBLE)
+         / nullif(count(CASE WHEN seq % 3 <> 0 THEN value END) OVER w, 0) AS running_avg
+FROM ev
+WINDOW w AS (PARTITION BY event_type ORDER BY arr, seq
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def q_running_average_nulls(spark, sf_dir):
+    """T8 where every third reading is missing."""
+    from driftmark.operators.windows import running_average
+    ev = _ev(spark, sf_dir, "event_type", "value")
+    ev = ev.withColumn("value", F.when(F.col("seq") % 3 != 0, F.col("value")))
+    return running_average(ev, ["event_type"], "value", scale=VALUE_SCALE).select("seq", "event_type", "running_avg")
+
+
 # --- S4/S5, W1a/W1b -------------------------------------------------------------
 
 @register("rebase_time", f"""WITH {Q.ev_cte()},
@@ -329,6 +344,11 @@ def _periodic_grid():
     return periodic_grid("events")
 
 
+def _run_ids(spark, configs):
+    """All run ids, so that a run without panes is reported too."""
+    return spark.range(len(configs)).select(F.col("id").cast("int").alias("cfg"))
+
+
 def _sweep_sql(S_extra: list[str], select: str) -> str:
     from driftmark.plans.sweep import PERIODIC_KEYS
     S = [*PERIODIC_KEYS, *S_extra]
@@ -365,7 +385,7 @@ def q_run_report(spark, sf_dir):
     grid = _periodic_grid()
     panes = sweep_periodic_panes(_ev(spark, sf_dir, "event_type"), grid,
                                  ["event_type"], ["event_type"])
-    summary = with_config(analyze_runs(panes, ["cfg"], ["event_type"]), grid, PERIODIC_KEYS)
+    summary = with_config(analyze_runs(panes, ["cfg"], ["event_type"], _run_ids(spark, grid)), grid, PERIODIC_KEYS)
     return report(summary.select(
         F.lit("events").alias("dataset"), F.lit("Periodic").alias("approach"),
         F.col("max_ooo").alias("lateness"), "period", "width", "windows", "elements",
@@ -437,11 +457,29 @@ def q_marker_watermark(spark, sf_dir):
     path = scratch_dir(spark, "marked")
     (evl.unionByName(mk).unionByName(head).orderBy("arr", "kind", "seq")
         .select(F.col("line").alias("value")).write.text(path))
-    events, markers = marked_stream(read_marked_events(spark, path))
+    events, markers, _ = marked_stream(read_marked_events(spark, path))
     out = marker_watermark(events, markers)
     return out.select("key", "t", "value", "wm_before", "late")
 
 
+@register("marked_rejects", f"""WITH {Q.ev_cte()}
+SELECT CASE WHEN seq % 40 = 7 THEN NULL ELSE t END AS ts, event_type AS key, seq % 40 = 7 AS bad_ts
+FROM ev WHERE seq % 20 = 7 OR value IS NULL""")
+def q_marked_rejects(spark, sf_dir):
+    """Lines whose time or reading does not parse are returned as
+    rejects, not filled in."""
+    from driftmark.session import scratch_dir
+    from driftmark.sources.text import marked_stream, read_marked_events
+    ev = _ev(spark, sf_dir, "event_type", "value")
+    broken = F.col("seq") % 20 == 7
+    path = scratch_dir(spark, "rejects")
+    (ev.select(F.concat_ws(",", F.when(broken & (F.col("seq") % 40 == 7), "soon").otherwise(F.col("t").cast("string")),
+                           "event_type", F.when(broken, "warm").otherwise(F.coalesce(F.col("value").cast("string"), F.lit("")))).alias("value"))
+       .write.text(path))
+    _, _, rejects = marked_stream(read_marked_events(spark, path))
+    return rejects.select("ts", "key", F.col("ts").isNull().alias("bad_ts"))
+
+
 @register("pane_text_roundtrip", f"""WITH {Q.bounded_panes_sql(['event_type'], ['event_type'], H, H, H, 3 * H, pre=Q.ev_cte())}
 SELECT wstart, wend, cnt, coalesce(lag, {Q.LONG_MAX} - wend) AS lag, flushed FROM panes""")
 def q_pane_text_roundtrip(spark, sf_dir):
@@ -563,7 +601,7 @@ def q_sweep_adaptive(spark, sf_dir):
     from driftmark.plans.sweep import ADAPTIVE_KEYS, sweep_adaptive_panes, with_config
     panes, table = sweep_adaptive_panes(_ev(spark, sf_dir, "event_type", drifting=True),
                                         "events", ["event_type"], ["event_type"], warmup=WARMUP)
-    summary = with_config(analyze_runs(panes, ["cfg"], ["event_type"]), table, ADAPTIVE_KEYS)
+    summary = with_config(analyze_runs(panes, ["cfg"], ["event_type"], _run_ids(spark, table)), table, ADAPTIVE_KEYS)
     return report(summary.select(
         F.lit("events").alias("dataset"), F.lit("Adaptive").alias("approach"),
         F.lit(1000).cast("long").alias("lateness"), "sensitivity", "change_rate", "threshold",

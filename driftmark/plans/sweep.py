@@ -179,11 +179,16 @@ def pending_configs(spark: SparkSession, configs: list[dict], done_path: str | N
     (pane folders ``run=<name>`` written by ``write_panes``), by a left-anti
     join of the grid against the finished run names.  Only the grid itself
     (bounded by its literal size) comes back to the driver."""
-    import os
-    if not done_path or not os.path.exists(done_path.replace("file:", "")):
+    from pyspark.errors import AnalysisException
+    if not done_path:
         return list(configs)
     grid = spark.createDataFrame([(c["run"],) for c in configs], "run string")
-    done = spark.read.text(done_path)
+    try:
+        done = spark.read.text(done_path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return list(configs)
     if "run" not in done.columns:
         return list(configs)
     left = {r.run for r in grid.join(done.select("run").distinct(), "run", "left_anti").collect()}
@@ -233,8 +238,8 @@ def sweep_adaptive_panes(events: DataFrame, dataset: str, stream_cols: list[str]
     x = x.select("*", *[config_param(fold_cfgs, k, "fold").alias(k) for k in fold_keys])
     params = _replace(AdaptiveParams(**adaptive_preset("four")), warmup=warmup)
     pass_cols = [c for c in key_cols if c not in stream_cols]
-    folded = materialize(adaptive_watermark(x, ["fold", *stream_cols], params,
-                                            pass_cols=pass_cols, param_cols=True))
+    folded = adaptive_watermark(x, ["fold", *stream_cols], params, pass_cols=pass_cols, param_cols=True)
+    folded = materialize(folded.select("fold", *stream_cols, *pass_cols, "seq", "t", "arr", "wm_before", "wm_after"))
     # run id = fold * len(widths) + width index; runs absent from `configs` are dropped
     runs = []
     by_key = {(tuple(c[k] for k in fold_keys), c["width"]): c for c in configs}

@@ -45,7 +45,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     cur = sc.getCheckpointDir()
     if cur:
         return cur
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftmark-ckpt-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="driftmark-ckpt-")
     sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root
 

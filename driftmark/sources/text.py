@@ -36,7 +36,11 @@ def with_line_numbers(df: DataFrame) -> DataFrame:
                   F.monotonically_increasing_id().alias("__m"))
     splits = x.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("__n"),
                                          F.min("__m").alias("__m0"))
-    w = Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
+    # names of one writer sort by their part number, which outgrows its padding
+    part = F.regexp_extract("__f", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    folder = F.regexp_extract("__f", r"^(.*/)[^/]*$", 1)
+    w = (Window.orderBy(folder, F.asc_nulls_first(part), "__f", "__b")
+         .rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))
     out = x.join(splits.drop("__n"), ["__f", "__b"], "inner")
     return (out.withColumn("line", (F.col("__off") + F.col("__m") - F.col("__m0") + 1).cast("long"))
@@ -110,19 +114,21 @@ def read_marked_events(spark: SparkSession, path: str, default: float = FILL_MEA
         "line",
         parse_long(F.col("__f")[0]).alias("ts"),
         F.when(three, F.col("__f")[1]).otherwise(F.lit(DUMMY_KEY)).alias("key"),
-        F.when(three, parse_double(F.col("__f")[2])).alias("value"))
+        F.when(three, parse_double(F.col("__f")[2])).alias("value"),
+        three.alias("__three"))
     x = x.withColumn("is_marker", F.col("key") == MARKER_KEY)
-    x = x.withColumn("bad", F.col("ts").isNull())
-    return fill_value(x, "value", default, noise, seed)
+    x = x.withColumn("bad", F.col("ts").isNull() | (F.col("__three") & F.col("value").isNull()))
+    return fill_value(x, "value", default, noise, seed).drop("__three")
 
 
-def marked_stream(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split S2 output into (events, markers) with canonical ``seq``/``t``."""
+def marked_stream(marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Split S2 output into (events, markers, rejects), the first two with
+    canonical ``seq``/``t``; rejects are the ``bad`` rows as they are."""
     base = marked.where(~F.col("bad")).select(
         F.col("line").alias("seq"), F.col("ts").alias("t"), "key", "value", "is_marker")
     ev = base.where(~F.col("is_marker")).drop("is_marker")
     mk = base.where(F.col("is_marker")).select("seq", "t")
-    return ev, mk
+    return ev, mk, marked.where("bad")
 
 
 def pane_line(wstart="wstart", wend="wend", cnt="cnt", lag="lag") -> Column:

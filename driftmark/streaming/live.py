@@ -40,9 +40,10 @@ def replay_to_files(df: DataFrame, path: str, slices: int = 8) -> None:
     bounds come from one global min/max aggregate (two numbers)."""
     lo, hi = df.agg(F.min("arr"), F.max("arr")).first()
     if lo is None:
-        return
+        lo = hi = 0
     span = max(1, (hi - lo) // slices + 1)
-    staged = df.withColumn("__slice", F.floor((F.col("arr") - F.lit(lo)) / F.lit(span)).cast("int"))
+    # a row without an arrival time comes with the first slice
+    staged = df.withColumn("__slice", F.coalesce(F.floor((F.col("arr") - F.lit(lo)) / F.lit(span)), F.lit(0)).cast("int"))
     for i in range(slices):
         (staged.where(F.col("__slice") == i).drop("__slice").repartition(1)
                .write.mode("append").parquet(path))
@@ -71,18 +72,9 @@ def run_available_now(sdf: DataFrame, name: str, output_mode: str = "append") ->
     spark = sdf.sparkSession
     out = scratch_dir(spark, f"{name}-out")
     ckpt = scratch_dir(spark, f"{name}-ckpt")
-    # state partitions are fixed when the query starts: no more than the
-    # cluster's cores (the session value is restored right after start)
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    parts = min(int(before), max(1, spark.sparkContext.defaultParallelism))
-    spark.conf.set(key, str(parts))
-    try:
-        q = (sdf.writeStream.format("parquet").outputMode(output_mode)
-                .option("checkpointLocation", ckpt)
-                .trigger(availableNow=True).start(out))
-    finally:
-        spark.conf.set(key, before)
+    q = (sdf.writeStream.format("parquet").outputMode(output_mode)
+            .option("checkpointLocation", ckpt)
+            .trigger(availableNow=True).start(out))
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

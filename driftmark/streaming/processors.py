@@ -57,6 +57,7 @@ class BoundedPolicy:
         self.tick = None
         self.tick_max = None      # max t in the current tick
         self.seen_max = 0         # max t over completed ticks (starts at 0)
+        self.behind = 0           # events of a tick before the current one
 
     def before(self, t: int, arr: int) -> None:
         k = arr // self.period
@@ -64,6 +65,9 @@ class BoundedPolicy:
             self.seen_max = max(self.seen_max, self.tick_max)
             self.wm = max(self.wm, self.seen_max - self.ooo)
             self.tick_max = None
+        if self.tick is not None and k < self.tick:
+            self.behind += 1          # arrived before a tick that has fired: no timer goes back
+            k = self.tick
         self.tick = k
         self.tick_max = t if self.tick_max is None else max(self.tick_max, t)
 

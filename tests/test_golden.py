@@ -35,7 +35,7 @@ def test_session_touching_events_merge(spark):
 def test_marked_events(spark, tmp_dir):
     _write(tmp_dir, "m.txt", ["* comment", "10,a,1.5", "70,a,2.5", "70,W,0", "60,a,3.0",
                               "200,b,4.0", "150,W,0"])
-    ev, mk = marked_stream(read_marked_events(spark, tmp_dir))
+    ev, mk, _ = marked_stream(read_marked_events(spark, tmp_dir))
     out = {(r.t, r.key): (r.wm_before, r.late)
            for r in marker_watermark(ev, mk).collect()}
     assert len(out) == 4
