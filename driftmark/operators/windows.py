@@ -63,7 +63,7 @@ def first_watermark_at_least(probes: DataFrame, steps: DataFrame,
 
 def tumbling_panes_from_groups(groups: DataFrame, firing, stream_cols: list[str],
                                key_cols: list[str], width: int,
-                               allowed: int = 0) -> DataFrame:
+                               allowed: int = 0, runs: bool = False) -> DataFrame:
     """T1 + L3 + L4 on pre-aggregated groups ``(key, wstart, wm_before, n)``.
 
     ``firing`` is either a DataFrame of emitted watermarks ``(stream, wm)``
@@ -72,8 +72,32 @@ def tumbling_panes_from_groups(groups: DataFrame, firing, stream_cols: list[str]
 
     Output per pane: key columns, ``wstart, wend, cnt, lag, flushed,
     late_fire``.  ``flushed`` panes never saw a firing watermark (end of
-    stream) and have ``lag`` NULL.
+    stream) and have ``lag`` NULL.  With ``runs`` the re-fires of one group
+    stay one row: ``n`` panes with the counts ``cnt``, ``cnt + 1``, ...
     """
+    out = _pane_runs(groups, firing, stream_cols, key_cols, width, allowed)
+    return out if runs else expand_runs(out)
+
+
+def pane_count(panes: DataFrame):
+    """Panes that a row stands for: its ``n``, or one."""
+    return F.col("n") if "n" in panes.columns else F.lit(1).cast("long")
+
+
+def expand_runs(runs: DataFrame) -> DataFrame:
+    """One row a pane, from pieces of bounded length: no row ever holds an
+    array as long as a hot window's late elements."""
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), floor_div(F.col("n") - 1, col_of(REFIRE_PIECE))))
+    x = runs.withColumn("__p", piece)
+    first = F.col("cnt") + F.col("__p") * REFIRE_PIECE
+    last = F.least(first + (REFIRE_PIECE - 1), F.col("cnt") + F.col("n") - 1)
+    cols = [F.explode(F.sequence(first, last)).alias("cnt") if c == "cnt" else F.col(c)
+            for c in runs.columns if c != "n"]
+    return x.select(*cols)
+
+
+def _pane_runs(groups: DataFrame, firing, stream_cols: list[str], key_cols: list[str],
+               width: int, allowed: int) -> DataFrame:
     from driftmark.session import materialize
     missing = [c for c in stream_cols if c not in key_cols]
     if missing:
@@ -101,7 +125,7 @@ def tumbling_panes_from_groups(groups: DataFrame, firing, stream_cols: list[str]
         *key_cols, "wstart", "wend", "cnt",
         (F.col("fire_wm") - F.col("wend")).alias("lag"),
         F.col("fire_wm").isNull().alias("flushed"),
-        F.lit(False).alias("late_fire"))
+        F.lit(False).alias("late_fire"), F.lit(1).cast("long").alias("n"))
 
     # kept late rows: each re-fires with the cumulative count.  Groups of a
     # window in wm_before order put all on-time groups first (their
@@ -112,17 +136,11 @@ def tumbling_panes_from_groups(groups: DataFrame, firing, stream_cols: list[str]
                      [Scan("__before", "n", "sum", inclusive=False)])
     late = x.where(F.col("cls") == LATE_KEPT)
     base = F.col("__before").cast("long")
-    # a group's re-fires in pieces of bounded length, so no row ever holds an
-    # array as long as a hot window's late elements
-    piece = F.explode(F.sequence(F.lit(0).cast("long"), floor_div(F.col("n") - 1, col_of(REFIRE_PIECE))))
-    late = late.select("*", piece.alias("__p"))
-    from_ = base + F.col("__p") * REFIRE_PIECE
     late_panes = late.select(
-        *key_cols, "wstart", "wend",
-        F.explode(F.sequence(from_ + 1, F.least(from_ + REFIRE_PIECE, base + F.col("n")))).alias("cnt"),
+        *key_cols, "wstart", "wend", (base + 1).alias("cnt"),
         (F.col("wm_before") - F.col("wend")).alias("lag"),
         F.lit(False).alias("flushed"),
-        F.lit(True).alias("late_fire"))
+        F.lit(True).alias("late_fire"), F.col("n").cast("long").alias("n"))
     return on_panes.unionByName(late_panes)
 
 
@@ -145,8 +163,11 @@ def window_fate(groups: DataFrame, key_cols: list[str], width: int,
 
 
 def counted_elements(panes: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
-    """Total over all pane counts (the reference's shared static sum)."""
-    return panes.groupBy(*(group_cols or [])).agg(F.sum("cnt").cast("long").alias("counted"))
+    """Total over all pane counts (the reference's shared static sum);
+    takes panes or runs of panes."""
+    n = pane_count(panes)
+    total = n * F.col("cnt") + floor_div(n * (n - 1), F.lit(2).cast("long"))
+    return panes.groupBy(*(group_cols or [])).agg(F.sum(total).cast("long").alias("counted"))
 
 
 # --- windows without a watermark (T2-T8) -------------------------------------

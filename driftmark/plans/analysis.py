@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmark.operators.windows import pane_count
 from driftmark.plans.sweep import parse_run_name
 from driftmark.sources.text import read_panes_text
 
@@ -24,7 +25,7 @@ def collapse_panes(panes: DataFrame, group_cols: list[str]) -> DataFrame:
     the result does not depend on pane order."""
     live = panes.where(~F.col("flushed"))
     return live.groupBy(*group_cols, "wend").agg(
-        (F.min("cnt") + F.count(F.lit(1)) - 1).cast("long").alias("elements"),
+        (F.min("cnt") + F.sum(pane_count(live)) - 1).cast("long").alias("elements"),
         F.min_by("lag", "cnt").alias("lag"))
 
 
@@ -36,7 +37,7 @@ def analyze_runs(panes: DataFrame, run_cols: list[str], stream_cols: list[str],
     flushed = F.col("flushed")
     per_window = panes.groupBy(*run_cols, *stream_cols, "wend").agg(
         F.min(F.when(~flushed, F.col("cnt"))).alias("first_cnt"),
-        F.count(F.when(~flushed, F.lit(1))).alias("npanes"),
+        F.sum(F.when(~flushed, pane_count(panes))).alias("npanes"),
         F.min_by(F.when(~flushed, F.col("lag")), F.when(~flushed, F.col("cnt"))).alias("first_lag"),
         F.sum(F.when(flushed, F.col("cnt"))).alias("flushed_cnt"))
     out = per_window.groupBy(*run_cols).agg(

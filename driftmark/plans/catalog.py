@@ -135,18 +135,24 @@ def q_late_stats(spark, sf_dir):
     return late_stats(wm, ["event_type"], steps)
 
 
+def _allowed_runs(spark, sf_dir):
+    """Panes of ``tumbling_panes_allowed`` as runs: analysis never expands them."""
+    from driftmark.plans.runs import bounded_panes
+    return bounded_panes(_ev(spark, sf_dir, "event_type"), ["event_type"], ["event_type"], H, H, H, 3 * H, runs=True)
+
+
 @register("collapse_panes", f"""WITH {Q.bounded_panes_sql(['event_type'], ['event_type'], H, H, H, 3 * H, pre=Q.ev_cte())}
 {Q.collapse_sql(['event_type'])}""")
 def q_collapse_panes(spark, sf_dir):
     from driftmark.plans.analysis import collapse_panes
-    return collapse_panes(q_tumbling_panes_allowed(spark, sf_dir), ["event_type"])
+    return collapse_panes(_allowed_runs(spark, sf_dir), ["event_type"])
 
 
 @register("counted_elements", f"""WITH {Q.bounded_panes_sql(['event_type'], ['event_type'], H, H, H, 3 * H, pre=Q.ev_cte())}
 SELECT CAST(sum(cnt) AS BIGINT) AS counted FROM panes""")
 def q_counted_elements(spark, sf_dir):
     from driftmark.operators.windows import counted_elements
-    return counted_elements(q_tumbling_panes_allowed(spark, sf_dir))
+    return counted_elements(_allowed_runs(spark, sf_dir))
 
 
 # --- W4: time-lag watermark -------------------------------------------------
@@ -384,7 +390,7 @@ def q_run_report(spark, sf_dir):
     from driftmark.plans.sweep import PERIODIC_KEYS, sweep_periodic_panes, with_config
     grid = _periodic_grid()
     panes = sweep_periodic_panes(_ev(spark, sf_dir, "event_type"), grid,
-                                 ["event_type"], ["event_type"])
+                                 ["event_type"], ["event_type"], runs=True)
     summary = with_config(analyze_runs(panes, ["cfg"], ["event_type"], _run_ids(spark, grid)), grid, PERIODIC_KEYS)
     return report(summary.select(
         F.lit("events").alias("dataset"), F.lit("Periodic").alias("approach"),
@@ -600,7 +606,7 @@ def q_sweep_adaptive(spark, sf_dir):
     from driftmark.plans.analysis import analyze_runs, report
     from driftmark.plans.sweep import ADAPTIVE_KEYS, sweep_adaptive_panes, with_config
     panes, table = sweep_adaptive_panes(_ev(spark, sf_dir, "event_type", drifting=True),
-                                        "events", ["event_type"], ["event_type"], warmup=WARMUP)
+                                        "events", ["event_type"], ["event_type"], warmup=WARMUP, as_runs=True)
     summary = with_config(analyze_runs(panes, ["cfg"], ["event_type"], _run_ids(spark, table)), table, ADAPTIVE_KEYS)
     return report(summary.select(
         F.lit("events").alias("dataset"), F.lit("Adaptive").alias("approach"),

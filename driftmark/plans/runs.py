@@ -45,11 +45,11 @@ def bounded_groups(events: DataFrame, stream_cols: list[str], key_cols: list[str
 
 def bounded_panes(events: DataFrame, stream_cols: list[str], key_cols: list[str],
                   max_ooo: int, period: int, width: int, allowed: int = 0,
-                  weight: str | None = None, tmax: str | None = None) -> DataFrame:
+                  weight: str | None = None, tmax: str | None = None, runs: bool = False) -> DataFrame:
     groups, ticks = bounded_groups(events, stream_cols, key_cols, max_ooo, period, width,
                                    weight, tmax)
     steps = bounded_steps(ticks, stream_cols, period)
-    return tumbling_panes_from_groups(groups, steps, stream_cols, key_cols, width, allowed)
+    return tumbling_panes_from_groups(groups, steps, stream_cols, key_cols, width, allowed, runs)
 
 
 def bounded_fate(events: DataFrame, stream_cols: list[str], key_cols: list[str],

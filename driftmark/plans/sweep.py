@@ -100,7 +100,7 @@ def with_config(df: DataFrame, configs: list[dict], fields: list[str],
 
 
 def sweep_periodic_panes(events: DataFrame, configs: list[dict], stream_cols: list[str],
-                         key_cols: list[str]) -> DataFrame:
+                         key_cols: list[str], runs: bool = False) -> DataFrame:
     """P1, periodic half: bounded watermark -> tumbling panes per run,
     keyed by the configuration id ``cfg``.
 
@@ -151,7 +151,7 @@ def sweep_periodic_panes(events: DataFrame, configs: list[dict], stream_cols: li
              .select(F.explode(F.element_at(fan, F.col("wid"))).alias("cfg"),
                      *stream_cols, "wm"))
     return tumbling_panes_from_groups(groups, steps, ["cfg", *stream_cols], ["cfg", *key_cols],
-                                      cp("width"), cp("allowed"))
+                                      cp("width"), cp("allowed"), runs)
 
 
 def slot_aggregate(events: DataFrame, key_cols: list[str], arr_slot: int, t_slot: int,
@@ -216,7 +216,8 @@ def parse_run_name(name) -> list[Column]:
 
 
 def sweep_adaptive_panes(events: DataFrame, dataset: str, stream_cols: list[str],
-                         key_cols: list[str], warmup: int, configs: list[dict] | None = None):
+                         key_cols: list[str], warmup: int, configs: list[dict] | None = None,
+                         as_runs: bool = False):
     """P1, adaptive half: one fold per distinct (sensitivity, change rate,
     threshold) and stream, then the folded stream is replicated per window
     width and windowed per run (runs differing only in width share a fold).
@@ -271,5 +272,5 @@ def sweep_adaptive_panes(events: DataFrame, dataset: str, stream_cols: list[str]
                 .groupBy("cfg", *key_cols, "wstart", "wm_before")
                 .agg(F.sum("n").cast("long").alias("n")))
     panes = tumbling_panes_from_groups(groups, steps, ["cfg", *stream_cols],
-                                       ["cfg", *key_cols], width, 0)
+                                       ["cfg", *key_cols], width, 0, as_runs)
     return panes, table
