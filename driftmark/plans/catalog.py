@@ -657,7 +657,22 @@ def q_stream_bounded_panes(spark, sf_dir):
     return run_available_now(bounded_panes_stream(sdf, ["event_type"], H, H, H, 3 * H), "bounded")
 
 
-@register("stream_tumbling_native")
+def _native_sql(slices: int = 8) -> str:
+    """Micro-batches are arrival slices.  A batch drops rows whose window had
+    ended by the watermark that the batch before it evicted by, which is set by
+    the batches before that one."""
+    return f"""WITH {Q.ev_cte()},
+b AS (SELECT min(arr) AS lo, greatest(1, (max(arr) - min(arr)) // {slices} + 1) AS span FROM ev),
+s AS (SELECT event_type, t, t - t % {H} AS wstart, (arr - lo) // span AS batch FROM ev, b),
+m AS (SELECT batch, max(t) AS top FROM s GROUP BY batch),
+l AS (SELECT x.batch, (SELECT max(top) FROM m WHERE m.batch < x.batch - 1) - {H} AS wm FROM m x)
+SELECT event_type, wstart, wstart + {H} AS wend, count(*) AS cnt
+FROM s JOIN l USING (batch)
+WHERE (wm IS NULL OR wstart + {H} > wm) AND wstart + {H} <= (SELECT max(top) FROM m) - {H}
+GROUP BY ALL"""
+
+
+@register("stream_tumbling_native", _native_sql())
 def q_stream_tumbling_native(spark, sf_dir):
     """Built-in live counterpart of W2 + T1: withWatermark(delay 1 h) and
     hourly event-time windows per event type (approximate, §7.4)."""
