@@ -100,6 +100,8 @@ def assign(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int,
                            F.coalesce(old_shard, F.lit(0)).cast("int").alias("old")), "reshard-sizes")
     sizes = {r["old"]: (r["b"], r["n"]) for r in
              rows.groupBy("old").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
+    if not set(sizes) <= set(range(old_shards)):
+        raise ValueError(f"old shards are 0 to {old_shards - 1}, found {sorted(sizes)}")
     supply = [sizes.get(i, (0, 0))[0] for i in range(old_shards)]
     demand = list(capacities) if capacities else even(sum(supply), new_shards)
     if sum(demand) != sum(supply):

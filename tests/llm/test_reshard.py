@@ -79,3 +79,5 @@ def test_awkward(spark):
     assert reshard.reshard(empty(spark), F.lit(0), 1, 3).collect() == []
     with pytest.raises(ValueError):
         reshard.assign(awkward(spark), F.lit(0), 1, 2, capacities=[1, 2])
+    with pytest.raises(ValueError):
+        reshard.assign(awkward(spark), F.lit(4), 2, 2)
