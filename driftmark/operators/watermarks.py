@@ -96,12 +96,13 @@ def ticks_from_pre(pre: DataFrame, stream_cols: list[str], max_ooo: int,
 
 
 def bounded_watermark(df: DataFrame, stream_cols: list[str], max_ooo: int,
-                      period: int, emit: str = "tick") -> DataFrame:
-    """W2 / W3.  ``emit='next_event'`` adds ``wm_changed``: the event is the
+                      period: int, emit: str = "tick", ticks: DataFrame | None = None) -> DataFrame:
+    """W2 / W3.  ``ticks``: the table of ``bounded_ticks`` if there already.  ``emit='next_event'`` adds ``wm_changed``: the event is the
     first of its tick and consumes the change flag set by the previous tick."""
     from driftmark.session import materialize
-    ticks = materialize(bounded_ticks(df, stream_cols, max_ooo, period,
-                                      changes=emit == "next_event"))
+    if ticks is None:
+        ticks = materialize(bounded_ticks(df, stream_cols, max_ooo, period,
+                                          changes=emit == "next_event"))
     keep = [*stream_cols, "tick", "wm_begin", "wm_end"]
     if emit == "next_event":
         keep += ["changed", "first_arr", "first_seq"]

@@ -129,10 +129,26 @@ FROM l LEFT JOIN w USING (event_type)""")
 def q_late_stats(spark, sf_dir):
     from driftmark.operators.lateness import late_stats
     from driftmark.operators.watermarks import bounded_steps, bounded_ticks, bounded_watermark
+    from driftmark.session import materialize
     ev = _ev(spark, sf_dir, "event_type")
-    wm = bounded_watermark(ev, ["event_type"], H, H)
-    steps = bounded_steps(bounded_ticks(ev, ["event_type"], H, H), ["event_type"], H)
-    return late_stats(wm, ["event_type"], steps)
+    ticks = materialize(bounded_ticks(ev, ["event_type"], H, H))
+    wm = bounded_watermark(ev, ["event_type"], H, H, ticks=ticks)
+    return late_stats(wm, ["event_type"], bounded_steps(ticks, ["event_type"], H))
+
+
+@register("kept_rows", f"""WITH {Q.ev_cte()},
+{Q.bounded_ctes('ev', ['event_type'], ['event_type'], H, H, H)}
+SELECT e.seq, e.event_type, e.t, k.wm_begin AS wm_before, e.t < k.wm_begin AS late
+FROM ev e JOIN b_ticks k ON e.event_type = k.event_type AND e.arr // {H} = k.tick
+WHERE e.t - e.t % {H} + {H} - 1 + {3 * H} > k.wm_begin""")
+def q_kept_rows(spark, sf_dir):
+    """L1 + L3 per row: events of windows still open 3 h after their end,
+    flagged if behind the watermark, keyed by event type (S6)."""
+    from driftmark.operators.lateness import drop_late, flag_late
+    from driftmark.operators.watermarks import bounded_watermark
+    from driftmark.sources.timeline import key_by
+    wm = bounded_watermark(key_by(_ev(spark, sf_dir, "event_type"), ["event_type"]), ["event_type"], H, H).drop("late")
+    return flag_late(drop_late(wm, H, 3 * H)).select("seq", "event_type", "t", "wm_before", "late")
 
 
 def _allowed_runs(spark, sf_dir):
@@ -222,6 +238,15 @@ def q_tumbling_labels(spark, sf_dir):
     return tumbling_count_labels(_ev(spark, sf_dir), LABEL_WIDTH)
 
 
+@register("local_labels", f"""WITH {Q.ev_cte()}
+SELECT seq, strftime(make_timestamp(t * 1000), '%Y-%m-%d %H:%M:%S.') || printf('%03d', CAST(t % 1000 AS INTEGER)) AS label
+FROM ev""")
+def q_local_labels(spark, sf_dir):
+    """Event times as text with three digits of milliseconds."""
+    from driftmark.functions.time import local_text_sss
+    return _ev(spark, sf_dir).select("seq", local_text_sss("t").alias("label"))
+
+
 _RN = "row_number() OVER (PARTITION BY event_type ORDER BY arr, seq)"
 
 
@@ -522,6 +547,17 @@ def q_adaptive_watermark(spark, sf_dir):
                               _adaptive_params())
 
 
+@register("adaptive_steps", _w1_sql("""SELECT event_type, wm_after AS wm, arr AS at,
+       row_number() OVER (PARTITION BY event_type ORDER BY wm_after) AS ordinal
+FROM w1 WHERE wm_after > wm_before"""))
+def q_adaptive_steps(spark, sf_dir):
+    """W6 of W1: the watermarks that the drift-driven assigner emits."""
+    from driftmark.operators.adaptive import adaptive_watermark
+    from driftmark.operators.watermarks import steps_from_events, watermark_steps
+    folded = adaptive_watermark(_ev(spark, sf_dir, "event_type", drifting=True), ["event_type"], _adaptive_params())
+    return watermark_steps(steps_from_events(folded, ["event_type"]), ["event_type"])
+
+
 @register("adaptive_panes", f"WITH RECURSIVE {AQ.adaptive_panes_sql(H, 0, WARMUP)}\nSELECT * FROM panes")
 def q_adaptive_panes(spark, sf_dir):
     """W1 -> T1: hourly panes per event type under the adaptive watermark."""
@@ -615,6 +651,24 @@ def q_sweep_adaptive(spark, sf_dir):
         "mean_lag", "not_processed"))
 
 
+@register("pending_runs", "SELECT * FROM (VALUES "
+          "('eventsPeriodicL-100P-10W-100.txt'), ('eventsPeriodicL-100P-10W-1000.txt'), "
+          "('eventsPeriodicL-1000P-10W-100.txt'), ('eventsPeriodicL-1000P-10W-1000.txt')) v(run) "
+          "WHERE EXISTS (SELECT 1 FROM events)")
+def q_pending_runs(spark, sf_dir):
+    """The runs of the periodic grid still to do, after those with a
+    period of 200 ms have been written."""
+    from driftmark.plans.sweep import pending_configs, sweep_periodic_panes, with_config
+    from driftmark.session import scratch_dir
+    from driftmark.sources.text import write_panes
+    grid = _periodic_grid()
+    first = [c for c in grid if c["period"] == 200]
+    path = scratch_dir(spark, "runs")
+    panes = with_config(sweep_periodic_panes(_ev(spark, sf_dir), first, [], []), first, ["run"])
+    write_panes(panes, path, "text", "run")
+    return spark.createDataFrame([(c["run"],) for c in pending_configs(spark, grid, path)], "run string")
+
+
 # --- streaming (file replay in arrival order, availableNow) ---------------------
 
 def _replayed(spark, sf_dir, name, *cols, drifting=False):
