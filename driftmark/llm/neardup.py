@@ -15,8 +15,8 @@ each with the node's smallest document (the hub), and compared in those: a
 large group of near copies becomes one component through its hub without
 all its pairs.  Nodes within one component hold nothing to find and are
 dropped, so each round starts from what is still apart.  ``TREES``
-independent trees bring the probability to miss a pair at the threshold to
-``(1 - 0.85)**TREES``, about 6e-9, per pair.  A node that has branched
+independent trees bring the probability to miss a pair of similarity s in
+small nodes to ``(1 - s)**TREES`` (6e-9 at 0.85, 1e-7 at 0.8).  A node that has branched
 ``DEPTH`` times and is still large (many texts all about as similar as the
 threshold) is compared exhaustively in pairs of groups, so no link depends on
 its shrinking.
@@ -278,21 +278,23 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     found = cut(same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "links")
     comp = cut(heads.select("doc_id", F.col("doc_id").alias("comp")).distinct(), "comp")
     late = None  # nodes to branch further
-
-    def roots(first: int, last: int) -> DataFrame:
-        tree = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")))
-        return _branch(heads.select("*", tree.alias("path")), 1)
-
     level, trees = 0, [(0, 0), (1, TREES - 1)]
     while True:
-        rows = late
+        base = heads.join(comp, "doc_id")
+        new = []
+        if late is not None:
+            new.append(_branch(late.join(base, "doc_id"), 2 if level <= 3 else 1))
         if level < len(trees):
-            new = roots(*trees[level])
-            rows = new if rows is None else rows.unionByName(new)
-        rows = rows.join(comp, "doc_id")
+            first, last_tree = trees[level]
+            tree = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last_tree).cast("long")))
+            new.append(_branch(base.select("*", tree.alias("path")), 1))
+        # only ids travel to the nodes; tokens follow to those that hold something
+        rows = new[0] if len(new) == 1 else new[0].unionByName(new[1])
+        rows = cut(rows.select("path", "doc_id", "n", "comp"), "paths")
         per = (rows.groupBy("path").agg(F.count("*").alias("size"), F.min("comp").alias("lo"),
                                         F.max("comp").alias("hi"), F.min("doc_id").alias("hub")).where("lo < hi"))
-        rows = cut(rows.join(per.select("path", "size", "hub"), "path"), "nodes")
+        rows = cut(rows.join(per.select("path", "size", "hub"), "path")
+                   .join(heads.select("doc_id", "tokens"), "doc_id"), "nodes")
         parts = F.ceil(F.col("size") / SMALL)
         own = F.when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(
             F.array(F.pmod(F.xxhash64("doc_id"), parts)))
@@ -309,11 +311,10 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             comp = cut(heads.select("doc_id").distinct().join(
                 cut(components(found, "a", "b"), "components").withColumnRenamed("node", "doc_id"), "doc_id", "left")
                 .select("doc_id", F.coalesce("component", "doc_id").alias("comp")), "comp")
-        late = rows.where(F.col("size") > SMALL).select("path", "doc_id", "n", "tokens")
+        late = rows.where(F.col("size") > SMALL).select("path", "doc_id")
         level += 1
         if level >= len(trees) and (last or late.isEmpty()):
             break
-        late = _branch(late, 2 if level <= 2 else 1)
     at = same.join(comp.withColumnRenamed("doc_id", "rep"), "rep").groupBy("doc_id").agg(F.min("comp").alias("comp"))
     return (sets.select("doc_id", "n").join(at, "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
