@@ -268,10 +268,11 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     ready(docs.sparkSession)
     spark = docs.sparkSession
     sets = _describe(docs, id_col, text_col)
-    owner = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    same = cut(sets.where("doc_id is not null").select("doc_id", "digest").join(owner, "digest")
+    info = cut(sets.drop("members"), "info")  # all but the sets, in few files
+    owner = info.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    same = cut(info.where("doc_id is not null").select("doc_id", "digest").join(owner, "digest")
                .select("doc_id", "rep"), "classes")
-    heads = cut(sets.where("digest is not null").join(same.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
+    heads = cut(info.where("digest is not null").join(same.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
                 .select("doc_id", "n", "tokens"), "heads")
     members = sets.join(heads.select("doc_id").distinct(), "doc_id", "left_semi")
     # rows of one id with different sets, or a class and its members: together from the start
@@ -316,7 +317,7 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         if level >= len(trees) and (last or late.isEmpty()):
             break
     at = same.join(comp.withColumnRenamed("doc_id", "rep"), "rep").groupBy("doc_id").agg(F.min("comp").alias("comp"))
-    return (sets.select("doc_id", "n").join(at, "doc_id", "left")
+    return (info.select("doc_id", "n").join(at, "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
