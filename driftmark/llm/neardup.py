@@ -50,7 +50,7 @@ from driftmark.session import scratch_dir
 WIDTH = 5
 TOKENS = 64
 TREES = 10
-SMALL = 128
+SMALL = 256
 DEPTH = 6
 SET_BITS = 48
 PIECE = 4 << 20  # bytes of text hashed at once
