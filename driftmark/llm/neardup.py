@@ -53,7 +53,7 @@ TREES = 10
 SMALL = 256
 DEPTH = 6
 SET_BITS = 48
-PIECE = 4 << 20  # bytes of text hashed at once
+PIECE = 1 << 20  # bytes of text hashed at once
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -71,7 +71,7 @@ def _sets(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted hashed shingles of each text."""
     code, space, _ = _tables()
     buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    up, down = powers(1 << max(23, len(buf).bit_length()))
+    up, down = powers(1 << max(21, len(buf).bit_length()))
     blank = space[buf]
     edge = np.flatnonzero(np.diff(blank, prepend=True))
     start, end = edge[::2], edge[1::2]
