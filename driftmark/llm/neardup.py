@@ -323,6 +323,15 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def drop_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``docs`` without the rows that are not their component's first."""
-    copies = components_of(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(cut(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each component, that of the least id (NULL ids
+    come last).  If ids repeat or are NULL, rows are told apart by a number of
+    their own, so that each is a document whatever its id."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        copies = components_of(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
+        return docs.join(cut(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    comp = components_of(rows, percent, "__row").select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    kept = (rows.select("__row", "doc_id").join(comp, "__row").groupBy("component_id").agg(first.alias("f"))
+            .select(F.col("f.__row").alias("__row")))
+    return rows.join(cut(kept, "kept"), "__row", "left_semi").select(*docs.columns)

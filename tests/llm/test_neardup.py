@@ -63,3 +63,15 @@ def test_drop_copies_keeps_columns(spark):
     got = neardup.drop_copies(df)
     assert got.columns == df.columns
     assert got.count() == len(ROWS) - 2  # both rows of document 5 go
+
+
+def test_drop_copies_keeps_one_row_of_a_group(spark):
+    """Repeated ids and NULL ids: every row is a document."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (3, c), (3, c + " end"), (4, a + " " + c),
+            (5, "five"), (5, "other"), (None, None), (None, None), (6, "")]
+    got = neardup.drop_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = sorted(map(tuple, got), key=repr)
+    assert sum(x[0] == 3 for x in got) == 1 and {x[1] for x in got if x[0] == 3} <= {c, c + " end"}
+    assert [x for x in got if x[0] != 3] == sorted([(1, a), (None, b), (4, a + " " + c), (5, "five"), (5, "other"),
+                                                    (None, None), (None, None), (6, "")], key=repr)
