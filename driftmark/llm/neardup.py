@@ -16,13 +16,17 @@ large group of near copies becomes one component through its hub without
 all its pairs.  Nodes within one component hold nothing to find and are
 dropped, so each round starts from what is still apart.  ``TREES``
 independent trees bring the probability to miss a pair of similarity s in
-small nodes to ``(1 - s)**TREES`` (6e-9 at 0.85, 1e-7 at 0.8).  A node that has branched
-``DEPTH`` times and is still large (many texts all about as similar as the
-threshold) is compared exhaustively in pairs of groups, so no link depends on
-its shrinking.
+small nodes to ``(1 - s)**TREES`` (6e-9 at 0.85, 1e-7 at 0.8).  A large node
+branches by two positions, and one that has branched ``DEPTH`` times and is
+still large (many texts all about as similar as the threshold) is compared
+exhaustively in pairs of groups.  A pair in large nodes all the way down must
+meet in one of the two children at each step: a tree loses it after its root
+with a probability of about ``((1 - s) / s)**2``, and all trees miss it with
+about ``(1 - s * (1 - ((1 - s) / s)**2))**TREES`` (3e-8 at 0.85, 1e-6 at 0.8),
+chance meetings in a group left aside.
 
 A comparison first estimates the similarity from the tokens (far below the
-threshold: left out, about 1e-7 of true links) and then confirms on the full
+threshold: left out, about 1e-7 of true links at 0.85 and 1e-6 at 0.8) and then confirms on the full
 sets, whose members are 48-bit hashes of the shingles; a pair already in one
 component is not compared.
 
@@ -284,7 +288,7 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         base = heads.join(comp, "doc_id")
         new = []
         if late is not None:
-            new.append(_branch(late.join(base, "doc_id"), 2 if level <= 3 else 1))
+            new.append(_branch(late.join(base, "doc_id"), 2))
         if level < len(trees):
             first, last_tree = trees[level]
             tree = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last_tree).cast("long")))

@@ -75,3 +75,16 @@ def test_drop_copies_keeps_one_row_of_a_group(spark):
     assert sum(x[0] == 3 for x in got) == 1 and {x[1] for x in got if x[0] == 3} <= {c, c + " end"}
     assert [x for x in got if x[0] != 3] == sorted([(1, a), (None, b), (4, a + " " + c), (5, "five"), (5, "other"),
                                                     (None, None), (None, None), (6, "")], key=repr)
+
+
+def test_large_nodes_branch_by_two_positions_at_every_level(spark, monkeypatch):
+    """A passage in all documents, none of them linked: nodes stay large."""
+    r, calls, branch = random.Random(5), [], neardup._branch
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "TREES", 2)
+    monkeypatch.setattr(neardup, "_branch", lambda rows, choices: calls.append(choices) or branch(rows, choices))
+    passage = " ".join(f"p{i}" for i in range(100))
+    docs = [(i, passage + "".join(f" d{r.random()}" for _ in range(12))) for i in range(24)]
+    got = neardup.components_of(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(x["kept"] for x in got)
+    assert calls == [1, 2, 1, 2, 2, 2, 2, 2]  # roots by one position, at levels 0 and 1
