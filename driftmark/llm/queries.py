@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import chunks, decontam, hamming, langid, mixture, neardup, reshard, suffix, tokenbin, urls
+from driftmark.llm import chunks, crosstoken, decontam, hamming, langid, mixture, neardup, reshard, suffix, tokenbin, urls
 from driftmark.llm.common import table, text_bytes
 from driftmark.llm.oracles import ORACLES
 
@@ -72,6 +72,12 @@ def op10_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return crosstoken.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
 QUERIES = {
     "op1_url_aliases": op1_url_aliases,
     "op2_token_files": op2_token_files,
@@ -83,6 +89,7 @@ QUERIES = {
     "op8_cover_suffixes": op8_cover_suffixes,
     "op9_language": op9_language,
     "op10_cube_mix": op10_cube_mix,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
