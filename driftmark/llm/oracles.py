@@ -88,4 +88,14 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance
 FROM near QUALIFY rank <= 10
 """
 
-ORACLES = {"op5_code_neighbours": OP5, "op3_near_duplicates": OP3, "op1_url_aliases": OP1}
+OP12 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+o AS (SELECT payload_bytes, payload_digest, max(page_id) AS owner FROM d WHERE payload_bytes >= 1000 GROUP BY 1, 2)
+SELECT d.page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM owner AND owner IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM owner THEN owner END AS refers_to
+FROM d LEFT JOIN o USING (payload_bytes, payload_digest)
+"""
+
+ORACLES = {"op12_warc_pages": OP12, "op5_code_neighbours": OP5, "op3_near_duplicates": OP3, "op1_url_aliases": OP1}

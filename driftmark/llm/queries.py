@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import chunks, crosstoken, decontam, hamming, langid, mixture, neardup, reshard, suffix, tokenbin, urls
+from driftmark.llm import chunks, crosstoken, decontam, hamming, langid, mixture, neardup, reshard, suffix, tokenbin, urls, warc
 from driftmark.llm.common import table, text_bytes
 from driftmark.llm.oracles import ORACLES
+from driftmark.session import scratch_dir
 
 #: (verdict, host, path)
 URL_RULES = [
@@ -78,6 +79,12 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
                             public_tokenizers.path("piece_bpe_32k.model"))[0]
 
 
+def op12_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path)
+
+
 QUERIES = {
     "op1_url_aliases": op1_url_aliases,
     "op2_token_files": op2_token_files,
@@ -90,6 +97,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_cube_mix": op10_cube_mix,
     "op11_cross_tokenizer": op11_cross_tokenizer,
+    "op12_warc_pages": op12_warc_pages,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
