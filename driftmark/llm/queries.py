@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import chunks, crosstoken, decontam, hamming, langid, mixture, neardup, reshard, suffix, tokenbin, urls, warc
+from driftmark.llm import chunks, convrepair, crosstoken, decontam, hamming, langid, mixture, neardup, reshard, suffix, tokenbin, urls, warc
 from driftmark.llm.common import table, text_bytes
 from driftmark.llm.oracles import ORACLES
 from driftmark.session import scratch_dir
@@ -85,6 +85,11 @@ def op12_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(spark, path)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return convrepair.repair(convrepair.damage(rows), rows)
+
+
 QUERIES = {
     "op1_url_aliases": op1_url_aliases,
     "op2_token_files": op2_token_files,
@@ -98,6 +103,7 @@ QUERIES = {
     "op10_cube_mix": op10_cube_mix,
     "op11_cross_tokenizer": op11_cross_tokenizer,
     "op12_warc_pages": op12_warc_pages,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

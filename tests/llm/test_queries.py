@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     got = E.queries()
-    assert {int(n[2:].split("_")[0]) for n in got if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in got if n.startswith("op")} == set(range(1, 14))
     assert got["pipeline"] is C.run and [n for n, _ in C.STAGES] == ["language_id", "near_dedup", "decontaminate", "mix_sources", "shard"]
 
 
