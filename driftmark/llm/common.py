@@ -9,6 +9,7 @@ input may have any name.
 from __future__ import annotations
 
 import functools
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +44,37 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free(names: Sequence[str], base: str) -> str:
+    """``base``, made longer until no column of ``names`` is called so (in any
+    case of letters)."""
+    taken = {n.lower() for n in names}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def attach(docs: DataFrame, found: DataFrame, key: dict[str, Column], cols: list[str]) -> DataFrame:
     """The rows of ``docs`` with the columns ``cols`` of ``found``, which has a
     row for each of them, met by ``key`` (name in ``found``: expression over
-    ``docs``; NULL meets NULL).  Rows with equal keys are paired by an ordinal,
-    which takes a second shuffle, so only if there are any."""
-    names = list(key)
-    left = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in cols], F.struct(*key.values()).alias("__key"))
-    right = found.select(F.struct(*names).alias("__key"), *cols)
-    on = ["__key"]
-    if not right.groupBy("__key").count().where("count > 1").isEmpty():
-        on.append("__nth")
-        nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-        left, right = left.withColumn("__nth", nth), right.withColumn("__nth", nth)
+    ``docs``; NULL meets NULL).  Columns of ``docs`` that are called like one of
+    ``cols``, in any case of letters, give way.  Rows with equal keys are
+    paired by an ordinal, which takes a second shuffle, so only if there are
+    any."""
+    gone = {c.lower() for c in cols}
+    kept = [c for c in docs.columns if c.lower() not in gone]
+    k, nth = free([*kept, *cols], "__key"), free([*kept, *cols], "__nth")
+    left = docs.select(*map(quoted, kept), F.struct(*key.values()).alias(k))
+    right = found.select(F.struct(*list(key)).alias(k), *cols)
+    on = [k]
+    if not right.groupBy(k).count().where("count > 1").isEmpty():
+        on.append(nth)
+        number = F.row_number().over(Window.partitionBy(k).orderBy(F.lit(0)))
+        left, right = left.withColumn(nth, number), right.withColumn(nth, number)
     return left.join(right, on).drop(*on)
 
 

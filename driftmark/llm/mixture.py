@@ -23,11 +23,12 @@ import zlib
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import attach, cut, ready, word_count
+from driftmark.llm.common import attach, cut, free, quoted, ready, word_count
 
 BLOCK = 2048
 EPS = 1e-9
@@ -99,14 +100,17 @@ def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray
 
 
 def _flight(rows: DataFrame, seed: int, level: int) -> DataFrame:
-    def block(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+    """One flight of every block.  The rows stay Arrow, so ids keep their type
+    and value, NULL or not."""
+    def block(key: tuple[pa.Scalar, ...], rows_: pa.Table) -> pa.Table:
         # long documents fly first: what stays undecided is among the last, the shortest
-        df = df.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable")
-        rng = np.random.default_rng([seed, level, zlib.crc32(repr(key[0]).encode()), int(key[1])])
-        df["p"] = fly(df["p"].to_numpy(), df["size"].to_numpy(), rng)
-        return df
+        t = rows_.take(pc.sort_indices(rows_, sort_keys=[("size", "descending"), ("h", "ascending"), ("doc_id", "ascending")]))
+        source, number = (k.as_py() for k in key)
+        rng = np.random.default_rng([seed, level, zlib.crc32(repr(source).encode()), int(number)])
+        p = fly(t.column("p").to_numpy(), t.column("size").to_numpy(), rng)
+        return t.set_column(t.schema.get_field_index("p"), t.schema.field("p"), pa.array(p))
 
-    return rows.groupBy("source", "block").applyInPandas(block, rows.schema)
+    return rows.groupBy("source", "block").applyInArrow(block, rows.schema)
 
 
 def copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
@@ -149,7 +153,8 @@ def copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
 def mix(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` with every row as often as the mix takes it."""
     key = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": word_count(F.col("text"))}
-    took = cut(copies(docs, **kw), "copies").withColumnRenamed("copies", "__copies")
-    return (attach(docs, took, key, ["__copies"]).where("__copies > 0")
-            .select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__c"))
-            .drop("__c"))
+    times = free(docs.columns, "__copies")
+    took = cut(copies(docs, **kw), "copies").withColumnRenamed("copies", times)
+    own = list(map(quoted, docs.columns))
+    return (attach(docs, took, key, [times]).where(F.col(times) > 0)
+            .select(*own, F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int")))).select(*own))

@@ -6,28 +6,33 @@ similarity of their sets reaches ``percent``; the result is the connected
 components of the links.
 
 Rows with equal sets are one class with one representative.  Of each set
-``TOKENS`` minwise tokens are kept.  A tree branches the documents by tokens:
-its root and every node choose positions by a hash of their path, and the
-documents that have the same token there go to the same child.  A node of at
-most ``SMALL`` documents is compared exhaustively; a larger one branches
-again.  Before it does, its documents are dealt into groups of ``SMALL``,
-each with the node's smallest document (the hub), and compared in those: a
-large group of near copies becomes one component through its hub without
-all its pairs.  Nodes within one component hold nothing to find and are
-dropped, so each round starts from what is still apart.  ``TREES``
-independent trees bring the probability to miss a pair of similarity s in
-small nodes to ``(1 - s)**TREES`` (6e-9 at 0.85, 1e-7 at 0.8).  A large node
-branches by two positions, and one that has branched ``DEPTH`` times and is
-still large (many texts all about as similar as the threshold) is compared
-exhaustively in pairs of groups.  A pair in large nodes all the way down must
-meet in one of the two children at each step: a tree loses it after its root
-with a probability of about ``((1 - s) / s)**2``, and all trees miss it with
-about ``(1 - s * (1 - ((1 - s) / s)**2))**TREES`` (3e-8 at 0.85, 1e-6 at 0.8),
-chance meetings in a group left aside.
+``TOKENS`` minwise tokens are kept.  Documents that are linked have sizes within
+the factor ``percent``, so all are dealt into bands of that ratio, each document
+into its own and the next, which loses no pair.  A tree branches the documents of a band by tokens: its root and every
+node choose a position by a hash of their path, and the documents that have the
+same token there go to the same child.  A node of at most ``SMALL`` documents is
+compared exhaustively; a larger one branches again.  Before it does, its
+documents are dealt into groups of ``SMALL``, each with the node's smallest
+document (the hub), and compared in those: a large group of near copies
+becomes one component through its hub without all its pairs.  Nodes within one
+component hold nothing to find and are dropped, so each round starts from what
+is still apart.  ``TREES`` independent trees bring the probability to miss a
+pair of similarity s in small nodes to ``(1 - s)**TREES`` (6e-9 at 0.85, 1e-7 at
+0.8).
+
+A large node branches by one position, and by a second one with probability
+``1/s - 1`` (a hash of its path decides): so a pair of similarity s is on average
+together in as many nodes of each level as of the one before, and the number
+of nodes that a document is in grows by 1/s a level at most.  A node that has
+branched ``DEPTH`` times and is still large (many texts all about as similar as
+the threshold, and of one size) is compared exhaustively in pairs of groups.
+By the recursion ``q' = 1 - (1 - s * q)**k`` a pair in large nodes all the way down
+is missed by all trees with about 1e-3 at 0.85 and 4e-3 at 0.8, chance meetings
+in a group left aside.
 
 A comparison first estimates the similarity from the tokens (far below the
 threshold: left out, about 1e-7 of true links at 0.85 and 1e-6 at 0.8) and then confirms on the full
-sets, whose members are 48-bit hashes of the shingles; a pair already in one
+sets, whose members are 64-bit hashes of the shingles; a pair already in one
 component is not compared.
 
 NULL and empty texts have no shingles and are linked with nothing; a row with
@@ -39,15 +44,16 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import cut, letters, mix64, pack_ints, partitions, powers, ready, unpack_ints
+from driftmark.llm.common import cut, free, letters, mix64, pack_ints, partitions, powers, quoted, ready, unpack_ints
 from driftmark.llm.components import components
 from driftmark.session import scratch_dir
 
@@ -56,7 +62,6 @@ TOKENS = 64
 TREES = 10
 SMALL = 256
 DEPTH = 6
-SET_BITS = 48
 PIECE = 1 << 20  # bytes of text hashed at once
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -87,7 +92,7 @@ def _sets(texts: list[bytes]) -> list[np.ndarray]:
     full = np.zeros(max(0, len(word) - WIDTH + 1), dtype=np.uint64)
     for k in range(WIDTH):
         full = full * c + word[k:k + len(full)]
-    full = mix64(full) >> np.uint64(64 - SET_BITS)
+    full = mix64(full)
     out = []
     for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if j - i >= WIDTH:
@@ -96,7 +101,7 @@ def _sets(texts: list[bytes]) -> list[np.ndarray]:
             h = np.array([j - i], dtype=np.uint64)
             for k in range(i, j):
                 h = h * c + word[k:k + 1]
-            out.append(mix64(h) >> np.uint64(64 - SET_BITS))
+            out.append(mix64(h))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
@@ -122,9 +127,10 @@ def tokens(s: np.ndarray) -> np.ndarray:
     return np.array([(x * m).min() >> np.uint64(32) for m in mult], dtype="<u4")
 
 
-def _describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _describe(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """``(doc_id, n, digest, tokens, members)`` of every row, as a table
-    bucketed by id, so that sets are fetched by id without moving the rest."""
+    bucketed by id, so that sets are fetched by id without moving the rest;
+    and the table's name, to be dropped."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
@@ -142,7 +148,7 @@ def _describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
      .mapInArrow(run, "doc_id long, n long, digest binary, tokens binary, members binary")
      .write.bucketBy(partitions(spark), "doc_id").option("path", scratch_dir(spark, "sets")).saveAsTable(name))
-    return spark.table(name)
+    return spark.table(name), name
 
 
 class Union:
@@ -256,14 +262,35 @@ def _compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("path", "part", "sub", "doc_id", "n", "members", "comp").mapInArrow(confirm, "a long, b long"))
 
 
-def _branch(rows: DataFrame, choices: int) -> DataFrame:
-    """Children of the nodes ``(path, doc_id, tokens)``: ``choices`` token
-    positions a node, by a hash of its path."""
-    k = F.explode(F.sequence(F.lit(1), F.lit(choices)))
-    at = F.pmod(F.xxhash64("path", "k"), F.lit(TOKENS)).cast("int")
-    token = F.substring("tokens", at * 4 + 1, F.lit(4))
-    return (rows.select("*", k.alias("k")).withColumn("at", at)
-            .withColumn("path", F.xxhash64("path", "at", token)).drop("k", "at"))
+def _child(path: Column, at: Column) -> Column:
+    return F.xxhash64(path, at, F.substring("tokens", at * 4 + 1, F.lit(4)))
+
+
+def _position(path: Column, k: Column) -> Column:
+    return F.pmod(F.xxhash64(path, k), F.lit(TOKENS)).cast("int")
+
+
+def _roots(base: DataFrame, first: int, last: int, percent: int) -> DataFrame:
+    """Nodes ``(path, own)`` of the trees ``first`` to ``last``: by band of the
+    set's size, then by token.  ``own``: not from the band before."""
+    # a hair less than the ratio, so that rounding never puts a pair two bands apart
+    band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) * (1 + 1e-9))).cast("long")
+    tree = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")))
+    rows = base.select("*", band.alias("band"), tree.alias("tree"))
+    rows = rows.withColumn("path", _child(F.col("tree"), _position(F.col("tree"), F.lit(1))))
+    both = F.explode(F.array(F.struct(F.col("band").alias("b"), F.lit(True).alias("own")),
+                             F.struct((F.col("band") + 1).alias("b"), F.lit(False).alias("own"))))
+    return rows.select("doc_id", "n", "comp", "path", both.alias("in")).select(
+        F.xxhash64("path", "in.b").alias("path"), "doc_id", "n", "comp", "in.own")
+
+
+def _branch(rows: DataFrame, percent: int) -> DataFrame:
+    """Children of the nodes ``(path, doc_id, tokens)``: one position a node, and
+    with probability ``1/s - 1`` a second, by a hash of its path."""
+    second = F.pmod(F.xxhash64("path", F.lit("second")), F.lit(1 << 20)) < F.lit(int((100 / percent - 1) * (1 << 20)))
+    k = F.explode(F.when(second, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("*", k.alias("k")).select(
+        _child(F.col("path"), _position(F.col("path"), F.col("k"))).alias("path"), "doc_id", "n", "comp", "own")
 
 
 def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
@@ -271,7 +298,7 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """``(doc_id, n_shingles, component_id, kept)`` of every row."""
     ready(docs.sparkSession)
     spark = docs.sparkSession
-    sets = _describe(docs, id_col, text_col)
+    sets, name = _describe(docs, id_col, text_col)
     info = cut(sets.drop("members"), "info")  # all but the sets, in few files
     owner = info.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     same = cut(info.where("doc_id is not null").select("doc_id", "digest").join(owner, "digest")
@@ -288,16 +315,14 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         base = heads.join(comp, "doc_id")
         new = []
         if late is not None:
-            new.append(_branch(late.join(base, "doc_id"), 2))
+            new.append(_branch(late.join(base, "doc_id"), percent))
         if level < len(trees):
-            first, last_tree = trees[level]
-            tree = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last_tree).cast("long")))
-            new.append(_branch(base.select("*", tree.alias("path")), 1))
+            new.append(_roots(base, *trees[level], percent))
         # only ids travel to the nodes; tokens follow to those that hold something
         rows = new[0] if len(new) == 1 else new[0].unionByName(new[1])
-        rows = cut(rows.select("path", "doc_id", "n", "comp"), "paths")
-        per = (rows.groupBy("path").agg(F.count("*").alias("size"), F.min("comp").alias("lo"),
-                                        F.max("comp").alias("hi"), F.min("doc_id").alias("hub")).where("lo < hi"))
+        rows = cut(rows.select("path", "doc_id", "n", "comp", "own"), "paths")
+        per = (rows.groupBy("path").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                        F.min("doc_id").alias("hub"), F.max("own").alias("any")).where("lo < hi and any"))
         rows = cut(rows.join(per.select("path", "size", "hub"), "path")
                    .join(heads.select("doc_id", "tokens"), "doc_id"), "nodes")
         parts = F.ceil(F.col("size") / SMALL)
@@ -316,10 +341,11 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             comp = cut(heads.select("doc_id").distinct().join(
                 cut(components(found, "a", "b"), "components").withColumnRenamed("node", "doc_id"), "doc_id", "left")
                 .select("doc_id", F.coalesce("component", "doc_id").alias("comp")), "comp")
-        late = rows.where(F.col("size") > SMALL).select("path", "doc_id")
+        late = rows.where(F.col("size") > SMALL).select("path", "doc_id", "own")
         level += 1
         if level >= len(trees) and (last or late.isEmpty()):
             break
+    spark.sql(f"DROP TABLE {name}")
     at = same.join(comp.withColumnRenamed("doc_id", "rep"), "rep").groupBy("doc_id").agg(F.min("comp").alias("comp"))
     return (info.select("doc_id", "n").join(at, "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
@@ -330,12 +356,15 @@ def drop_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``docs`` with one row of each component, that of the least id (NULL ids
     come last).  If ids repeat or are NULL, rows are told apart by a number of
     their own, so that each is a document whatever its id."""
+    own = list(map(quoted, docs.columns))
+    slim = docs.select("doc_id", "text")
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        copies = components_of(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
-        return docs.join(cut(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    comp = components_of(rows, percent, "__row").select(F.col("doc_id").alias("__row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
-    kept = (rows.select("__row", "doc_id").join(comp, "__row").groupBy("component_id").agg(first.alias("f"))
-            .select(F.col("f.__row").alias("__row")))
-    return rows.join(cut(kept, "kept"), "__row", "left_semi").select(*docs.columns)
+        copies = components_of(slim, percent).where(~F.col("kept")).select("doc_id").distinct()
+        return docs.join(cut(copies, "copies"), "doc_id", "left_anti").select(*own)
+    row = free(docs.columns, "__row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    comp = components_of(rows.select(row, "text"), percent, row).select(F.col("doc_id").alias(row), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))
+    kept = (rows.select(row, "doc_id").join(comp, row).groupBy("component_id").agg(first.alias("f"))
+            .select(F.col(f"f.{row}").alias(row)))
+    return rows.join(cut(kept, "kept"), row, "left_semi").select(*own)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for their own columns.
 CLASHES = ["size", "path", "n", "block", "digest", "h", "comp", "tokens", "copies", "part", "row", "nth", "id",
-           "code", "label", "shard_", "hub", "answers", "target", "p", "whole", "old", "url", "html", "node"]
+           "code", "label", "shard_", "hub", "answers", "target", "p", "whole", "old", "url", "html", "node",
+           "a.b", "Shard", "Slot", "__row", "__c", "__lang", "__score", "__key", "__nth", "__copies", "own", "band"]
 
 LONG = " ".join(f"word{i % 977} tail{i % 31}" for i in range(30_000))
 ROWS = [

@@ -77,14 +77,53 @@ def test_drop_copies_keeps_one_row_of_a_group(spark):
                                                     (None, None), (None, None), (6, "")], key=repr)
 
 
-def test_large_nodes_branch_by_two_positions_at_every_level(spark, monkeypatch):
+def test_large_nodes_branch_to_the_end(spark, monkeypatch):
     """A passage in all documents, none of them linked: nodes stay large."""
-    r, calls, branch = random.Random(5), [], neardup._branch
+    r, levels, branch = random.Random(5), [], neardup._branch
     monkeypatch.setattr(neardup, "SMALL", 2)
     monkeypatch.setattr(neardup, "TREES", 2)
-    monkeypatch.setattr(neardup, "_branch", lambda rows, choices: calls.append(choices) or branch(rows, choices))
+    monkeypatch.setattr(neardup, "_branch", lambda rows, percent: levels.append(percent) or branch(rows, percent))
     passage = " ".join(f"p{i}" for i in range(100))
     docs = [(i, passage + "".join(f" d{r.random()}" for _ in range(12))) for i in range(24)]
     got = neardup.components_of(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert all(x["kept"] for x in got)
-    assert calls == [1, 2, 1, 2, 2, 2, 2, 2]  # roots by one position, at levels 0 and 1
+    assert levels == [85] * neardup.DEPTH
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_critical_branching(spark, percent):
+    """A second child for 1/s - 1 of the nodes, by the path alone."""
+    rows = spark.range(40_000).selectExpr("id as path", "id as doc_id", "9 as n", "0 as comp", "true as own", "cast(repeat('abcd', 64) as binary) as tokens")
+    assert neardup._branch(rows, percent).count() == pytest.approx(40_000 * 100 / percent, rel=0.01)
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_recall_in_large_nodes(spark, monkeypatch, percent):
+    """Pairs just above the threshold among documents that all share most of
+    their text, so that nodes stay far above SMALL for several levels."""
+    monkeypatch.setattr(neardup, "SMALL", 8)
+    r, docs, own = random.Random(percent), [], 150
+    passage = " ".join(f"p{i}" for i in range(120))
+    for k in range(80):
+        tail = [f"t{k}x{i}" for i in range(own)]
+        docs.append((2 * k, passage + " " + " ".join(tail)))
+        # each changed word changes five shingles of either text
+        for at in range(0, (4 if percent == 85 else 5) * 6, 6):
+            tail[at] = f"c{r.random()}"
+        docs.append((2 * k + 1, passage + " " + " ".join(tail)))
+    want = {(d, c) for d, _, c, _ in brute(docs, percent)}
+    assert sum(d != c for d, c in want) == 80
+    got = neardup.components_of(spark.createDataFrame(docs, "doc_id long, text string"), percent).collect()
+    assert len(want - {(x["doc_id"], x["component_id"]) for x in got}) <= 1
+
+
+def test_bands_hold_pairs_at_the_ratio(spark):
+    """Sizes whose ratio is the threshold exactly meet in a band."""
+    sizes = [n for k in range(1, 60) for n in (17 * k, 20 * k)]
+    base = spark.createDataFrame([(i, n, i) for i, n in enumerate(sizes)], "doc_id long, n long, comp long").selectExpr(
+        "*", "cast(repeat('abcd', 64) as binary) as tokens")
+    nodes = {}
+    for x in neardup._roots(base, 0, 0, 85).collect():
+        nodes.setdefault(x["path"], {})[x["doc_id"]] = x["own"]
+    for i in range(0, len(sizes), 2):
+        assert any(i in m and i + 1 in m and (m[i] or m[i + 1]) for m in nodes.values())
