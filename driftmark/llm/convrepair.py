@@ -119,6 +119,7 @@ class Matrices:
         # plain lists: the walk reads single entries
         self.way = [[[(int(self.cost[x, p, q]), int(self.order[x, p, q])) for q in range(4)] for p in range(4)]
                     for x in range(len(self.cost))]
+        self.steps: dict[tuple, tuple[tuple, int, bytes]] = {}  # of walks
 
     def text(self, x: int, p: int, q: int) -> str:
         """The edits of a rule: its rope, read from the left."""
@@ -131,33 +132,47 @@ class Matrices:
 
 
 class Walk:
-    """The best way through a conversation, symbol by symbol."""
+    """The best way through a conversation, symbol by symbol.  What a symbol
+    does depends only on how the four states' costs differ and on the order of
+    their edits; such steps are few and are kept with the matrices."""
 
     def __init__(self, m: Matrices):
-        self.m, self.cost, self.order = m, [0, NO, NO, NO], [0, 1, 2, 3]
+        self.m, self.base = m, 0
+        self.now = ((0, NO, NO, NO), (0, 1, 2, 3))
         self.back: list[tuple[bytes, list[int]]] = []
 
+    def _step(self, x: int) -> tuple[tuple, int, bytes]:
+        (cost, order), way = self.now, self.m.way[x]
+        new, keys, back = [], [], bytearray()
+        for q in range(4):
+            c, o, p = min((cost[p] + way[p][q][0], order[p], p) for p in range(4))
+            new.append(min(c, NO))
+            keys.append((c >= NO, o, way[p][q][1], q))
+            back.append(p)
+        rank = [0] * 4
+        for k, key in enumerate(sorted(keys)):
+            rank[key[3]] = k
+        least = min(new)
+        return (tuple(c if c >= NO else c - least for c in new), tuple(rank)), least, bytes(back)
+
     def block(self, symbols: list[int]) -> None:
-        cost, order, back = self.cost, self.order, bytearray()
+        steps, back = self.m.steps, []
         for x in symbols:
-            way = self.m.way[x]
-            new, keys = [], []
-            for q in range(4):
-                c, o, p = min((cost[p] + way[p][q][0], order[p], p) for p in range(4))
-                new.append(min(c, NO))
-                keys.append((c >= NO, o, way[p][q][1], q))
-                back.append(p)
-            cost, order = new, [0] * 4
-            for k, key in enumerate(sorted(keys)):
-                order[key[3]] = k
-        self.cost, self.order = cost, order
-        self.back.append((bytes(back), symbols))
+            got = steps.get((x, self.now))
+            if got is None:
+                if len(steps) > 200_000:
+                    steps.clear()
+                got = steps[x, self.now] = self._step(x)
+            self.now, more, b = got
+            self.base += more
+            back.append(b)
+        self.back.append((b"".join(back), symbols))
 
     def result(self) -> tuple[int, list[tuple[int, str]], str]:
         """Cost, per block the state before it and its edits, and the inserts
         at the end."""
         ends = {START: 0, ASSISTANT: 0, USER: 1, SYSTEM: 2}
-        cost, _, q = min((self.cost[s] + n * INSERT, self.order[s], s) for s, n in ends.items())
+        cost, _, q = min((self.now[0][s] + n * INSERT, self.now[1][s], s) for s, n in ends.items())
         tail, blocks = "I" * ends[q], []
         for back, symbols in reversed(self.back):
             parts = []
@@ -166,7 +181,7 @@ class Walk:
                 parts.append(self.m.text(symbols[k], p, q))
                 q = p
             blocks.append((q, "".join(reversed(parts))))
-        return cost, blocks[::-1], tail
+        return self.base + cost, blocks[::-1], tail
 
 
 # --- grammar ------------------------------------------------------------------

@@ -33,7 +33,8 @@ in a group left aside.
 A comparison first estimates the similarity from the tokens (far below the
 threshold: left out, about 1e-7 of true links at 0.85 and 1e-6 at 0.8) and then confirms on the full
 sets, whose members are 64-bit hashes of the shingles; a pair already in one
-component is not compared.
+component is not compared, nor is a set of documents that the same tree or an
+earlier one has brought together already.
 
 NULL and empty texts have no shingles and are linked with nothing; a row with
 a NULL id has a NULL component and is kept; rows with equal ids count as one
@@ -60,7 +61,7 @@ from driftmark.session import scratch_dir
 WIDTH = 5
 TOKENS = 64
 TREES = 10
-SMALL = 256
+SMALL = 512
 DEPTH = 6
 PIECE = 1 << 20  # bytes of text hashed at once
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -225,41 +226,57 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nd
         yield held
 
 
-def _compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within groups ``(path, part, doc_id, n, tokens, comp)``."""
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(groups: DataFrame, percent: int) -> DataFrame:
+    """Plausible sets of documents within groups ``(path, part, doc_id, n, tokens,
+    comp)``: ``(lead, name, doc_id, comp)``, named by their least member and a hash
+    of all, so that a set found in several trees has one name."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = []
-        names = ["path", "part", "sub", "doc_id", "comp"]
-        flush = (lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names))
+        flush = (lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
+                                                    names=["lead", "name", "doc_id", "comp"]))
         held = 0
-        for path, part, ids, n, tok, comp in _groups(batches, 2):
+        for _, _, ids, n, tok, comp in _groups(batches, 2):
             if (comp == comp[0]).all():
                 continue
             label = plausible(n, tok, comp, percent)
             many = np.bincount(label, minlength=len(label))[label] > 1
             if many.any():
-                out.append([path[many], part[many], label[many], ids[many], comp[many]])
-                held += int(many.sum())
+                label, ids, comp = label[many], ids[many], comp[many]
+                _, at = np.unique(label, return_inverse=True)
+                lead, name = np.full(at.max() + 1, np.iinfo(np.int64).max), np.zeros(at.max() + 1, dtype=np.uint64)
+                np.minimum.at(lead, at, ids)
+                np.add.at(name, at, mix64(ids.astype(np.uint64) + np.uint64(1)))
+                out.append([lead[at], name.view(np.int64)[at], ids, comp])
+                held += len(ids)
             if held > 50_000:
                 yield flush()
                 out, held = [], 0
         if out:
             yield flush()
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, ids, n, members, comp in _groups(batches, 3):
+    # a number of partitions of its own: the work goes with pairs, not bytes
+    return (groups.repartition(partitions(groups.sparkSession), "path", "part").sortWithinPartitions("path", "part", "doc_id")
+            .select("path", "part", "doc_id", "n", "tokens", "comp")
+            .mapInArrow(run, "lead long, name long, doc_id long, comp long"))
+
+
+def _confirmed(near: DataFrame, seen: list[DataFrame], sets: DataFrame, percent: int) -> DataFrame:
+    """Links within candidate sets.  A set is compared once: those of earlier
+    rounds (``seen``) have given all links that they hold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, ids, n, members, comp in _groups(batches, 2):
             got = links(ids, n, members, comp, percent)
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=["a", "b"])
 
-    # a number of partitions of its own: the work goes with pairs, not bytes
-    n = partitions(groups.sparkSession)
-    near = cut(groups.repartition(n, "path", "part").sortWithinPartitions("path", "part", "doc_id")
-               .select("path", "part", "doc_id", "n", "tokens", "comp")
-               .mapInArrow(narrow, "path long, part long, sub long, doc_id long, comp long"), "near")
-    return (near.join(sets.select("doc_id", "n", "members"), "doc_id").repartition(n, "path", "part", "sub")
-            .sortWithinPartitions("path", "part", "sub", "doc_id")
-            .select("path", "part", "sub", "doc_id", "n", "members", "comp").mapInArrow(confirm, "a long, b long"))
+    n = partitions(near.sparkSession)
+    once = near.repartition(n, "lead", "name").groupBy("lead", "name", "doc_id").agg(F.min("comp").alias("comp"))
+    if seen:
+        old = functools.reduce(DataFrame.union, [s.select("lead", "name") for s in seen])
+        once = once.join(old, ["lead", "name"], "left_anti")
+    return (once.join(sets.select("doc_id", "n", "members"), "doc_id").repartition(n, "lead", "name")
+            .sortWithinPartitions("lead", "name", "doc_id")
+            .select("lead", "name", "doc_id", "n", "members", "comp").mapInArrow(run, "a long, b long"))
 
 
 def _child(path: Column, at: Column) -> Column:
@@ -310,7 +327,7 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     found = cut(same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "links")
     comp = cut(heads.select("doc_id", F.col("doc_id").alias("comp")).distinct(), "comp")
     late = None  # nodes to branch further
-    level, trees = 0, [(0, 0), (1, TREES - 1)]
+    level, trees, seen = 0, [(0, 0), (1, TREES - 1)], []
     while True:
         base = heads.join(comp, "doc_id")
         new = []
@@ -334,7 +351,9 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             p, every = F.pmod(F.xxhash64("doc_id"), parts), F.sequence(F.lit(0).cast("long"), parts - 1)
             own = F.transform(every, lambda q: F.least(p, q) * parts + F.greatest(p, q))
         cols = ["path", "part", "doc_id", "n", "tokens", "comp"]
-        now = cut(_compare(rows.withColumn("part", F.explode(own)).select(*cols), members, percent), "links")
+        near = cut(_candidates(rows.withColumn("part", F.explode(own)).select(*cols), percent), "near")
+        now = cut(_confirmed(near, seen, members, percent), "links")
+        seen.append(near)
         grown = not now.isEmpty()
         if grown:
             found = found.union(now)
