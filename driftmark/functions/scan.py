@@ -16,6 +16,11 @@ aggregates we need (max, min, sum) split cleanly:
 The block table is grouped on the same keys the level-1 window already
 hash-partitioned by, and the join back is on those keys, so the only large
 exchange is the level-1 one.  ``block`` must be monotone in the order.
+
+Without a ``block`` the blocks come from the data (``depth_blocks``): a partition
+of up to twice ``TARGET_ROWS`` rows is one block, a larger one is cut where its
+rows are, so that blocks hold about that many whether a stream is sparse,
+dense or comes in bursts.
 """
 
 from __future__ import annotations
@@ -51,9 +56,67 @@ def _combine(agg: str, local: Column, carry: Column) -> Column:
     return F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
 
 
+#: Rows that a block should hold; the unit that one task sorts.
+TARGET_ROWS = 1 << 18
+#: Slots a block is cut from, rounds of cutting, rows of a side that is broadcast.
+SLOTS, ROUNDS, SMALL = 16, 12, 100_000
+
+
+def sized(side: DataFrame) -> tuple[DataFrame, int]:
+    """A table to be used more than once, marked for broadcast if it is small."""
+    from driftmark.session import materialize
+    side = materialize(side)
+    n = side.count()
+    return (F.broadcast(side) if n <= SMALL else side), n
+
+
+def depth_blocks(df: DataFrame, part_cols: list[str], order_cols: list[str], out: str = "__path",
+                 target: int | None = None) -> DataFrame:
+    """``df`` with ``out``, an array of numbers that rises with ``order_cols`` (whole
+    numbers, NULL first) within a partition and holds for at most about twice
+    ``target`` rows; ``df`` itself, without it, if no partition has more.
+
+    Each round counts the rows of what is still too large (map-side combined),
+    cuts its range of the first order column that is not the same throughout
+    into equal slots, counts those, and gives slots whose running counts fall
+    into the same multiple of ``target`` one number.  A slot that holds more by
+    itself (a burst) gets one of its own and is cut again in the next round, a
+    sparse stretch never."""
+    target = target or TARGET_ROWS
+    key, k = key_struct(list(part_cols)), "__dk"
+    cur, cut = df.select("*", key.alias(k), F.array().cast("array<bigint>").alias(out)), False
+    for _ in range(ROUNDS):
+        ends = [f(c).alias(f"__{n}{i}") for i, c in enumerate(order_cols) for n, f in (("lo", F.min), ("hi", F.max))]
+        hot, n = sized(cur.groupBy(k, out).agg(F.count(F.lit(1)).alias("__n"), *ends).where(F.col("__n") > 2 * target))
+        if not n:
+            break
+        y = cur.join(hot, [k, out], "left")
+        # the first column that tells rows apart, from its least to its greatest value
+        use = lo = hi = None
+        for i, c in reversed(list(enumerate(order_cols))):
+            here = F.col(f"__lo{i}") < F.col(f"__hi{i}")
+            use, lo, hi = (v if w is None else F.when(here, v).otherwise(w) for v, w in
+                           ((F.col(c), use), (F.col(f"__lo{i}"), lo), (F.col(f"__hi{i}"), hi)))
+        parts = F.ceil(F.col("__n") * SLOTS / target)
+        width = F.greatest(F.ceil((hi - lo + 1) / parts), F.lit(1))
+        slot = F.when(F.col("__n").isNotNull(), F.coalesce(F.floor((use - lo) / width), F.lit(-1))).cast("long")
+        y = y.withColumn("__slot", slot).drop("__n", *[f"__{n}{i}" for i in range(len(order_cols)) for n in ("lo", "hi")])
+        slots = y.where("__slot is not null").groupBy(k, out, "__slot").agg(F.count(F.lit(1)).alias("__c"))
+        slots = blocked_scan(slots, [k, out], F.floor(F.col("__slot") / 4096), ["__slot"],
+                             [Scan("__before", "__c", "sum", inclusive=False)])
+        number = F.floor(F.col("__before") / target).cast("long") * 2 + (F.col("__c") > target).cast("long")
+        slots, _ = sized(slots.select(k, out, "__slot", number.alias("__b")))
+        y = y.join(slots, [k, out, "__slot"], "left")
+        cur = y.select(*df.columns, k, F.when(F.col("__b").isNull(), F.col(out)).otherwise(
+            F.concat(out, F.array("__b"))).alias(out))
+        cut = True
+    return cur.drop(k) if cut else df
+
+
 def blocked_scan(df: DataFrame, part_cols: list[str], block, order_cols,
-                 scans: list[Scan]) -> DataFrame:
+                 scans: list[Scan], target: int | None = None) -> DataFrame:
     """Add one column per :class:`Scan`; see the module doc for the plan.
+    ``block=None``: blocks from the data, of about ``target`` rows.
 
     The partition key travels as one struct column, so the level-1 window,
     the block aggregate and the join back all cluster on the same
@@ -65,18 +128,26 @@ def blocked_scan(df: DataFrame, part_cols: list[str], block, order_cols,
     re-evaluated per row (quadratic in the partition size).  Order columns
     must be unique within a partition for exclusive scans."""
     pk, bcol, hk = "__pk", "__blk", "__hk"
+    columns = df.columns
+    if block is None:
+        df = depth_blocks(df, part_cols, order_cols, "__path", target)
+        block = F.col("__path") if "__path" in df.columns else None
     asc = [col_of(c) for c in order_cols]
     desc = [c.desc() for c in asc]
     # the 64-bit key hash leads every sort: sorts compare a fixed-width
     # prefix instead of the struct (a function of the key, so harmless)
     key = key_struct(list(part_cols))
-    x = df.select("*", key.alias(pk), F.xxhash64(key).alias(hk), col_of(block).alias(bcol))
+    x = df.select(*columns, key.alias(pk), F.xxhash64(key).alias(hk), *([] if block is None else [col_of(block).alias(bcol)]))
+    own = [hk, pk] if block is None else [hk, pk, bcol]
     local = []
     for i, s in enumerate(scans):
-        w1 = Window.partitionBy(hk, pk, bcol).orderBy(*(desc if s.backward else asc))
+        w1 = Window.partitionBy(*own).orderBy(*(desc if s.backward else asc))
         frame = (Window.unboundedPreceding, 0 if s.inclusive else -1)
         local.append(_AGG[s.agg](s.value).over(w1.rowsBetween(*frame)).alias(f"__loc{i}"))
     x = x.select("*", *local)
+    kept = [F.col(c) for c in columns if c not in {s.out for s in scans}]
+    if block is None:  # each partition is one block: nothing to carry
+        return x.select(*kept, *[_combine(s.agg, F.col(f"__loc{i}"), F.lit(None)).alias(s.out) for i, s in enumerate(scans)])
 
     blocks = x.groupBy(hk, pk, bcol).agg(
         *[_AGG[s.agg](s.value).alias(f"__tot{i}") for i, s in enumerate(scans)])
@@ -91,4 +162,4 @@ def blocked_scan(df: DataFrame, part_cols: list[str], block, order_cols,
     y = x.join(carry, [hk, pk, bcol], "left")
     out = [_combine(s.agg, F.col(f"__loc{i}"), F.col(f"__car{i}")).alias(s.out)
            for i, s in enumerate(scans)]
-    return y.select(*[F.col(c) for c in df.columns if c not in {s.out for s in scans}], *out)
+    return y.select(*kept, *out)

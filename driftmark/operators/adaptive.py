@@ -5,11 +5,14 @@ ADWIN detector fed with ``|ref - t| / allowed_lateness``, and a detection
 may (or may not) move the watermark.  Nothing about it is associative, so
 the exact operator is one ordered fold per stream:
 
-    repartition(stream) -> sortWithinPartitions(stream, arr, seq) -> mapInPandas
+    repartition(stream) -> sortWithinPartitions(stream, arr, seq) -> mapInArrow
 
 The fold streams Arrow batches through O(log n) state per stream (the
 exponential histogram), so a huge stream never has to fit in memory; streams
-(and sweep configurations) run in parallel.  A single stream is inherently one
+run in parallel.  Keys and other columns pass through as Arrow, so a NULL or a
+64-bit key stays what it is.  ``adaptive_steps`` folds a stream once for many
+configurations and returns only detections and emitted watermarks; which
+watermark an event met is then looked up in the JVM (``watermark_at_events``).  A single stream is inherently one
 sequential task; that is the algorithm, not the plan.
 
 Warm-up skew (W1a) and the deviation ratio (W1b) *are* plain aggregates and
@@ -18,10 +21,12 @@ are computed as such.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,8 +88,9 @@ def deviation_ratio(df: DataFrame, stream_cols: list[str], n: int,
     """``|ref - t| / allowed`` for every post-warm-up event (the value
     the detector is fed while the lateness estimate is not re-adapted).
     A zero allowance yields NULL instead of NaN/Infinity."""
+    from driftmark.functions.scan import sized
     from driftmark.operators.windows import arrival_ordinal
-    allowed = warmup_skew(df, stream_cols, n, max_lateness, ref)
+    allowed, _ = sized(warmup_skew(df, stream_cols, n, max_lateness, ref))
     x = arrival_ordinal(df, stream_cols).where(F.col("ordinal") > n)
     if stream_cols:
         x = join_nullsafe(x, allowed, stream_cols, "left")
@@ -109,75 +115,73 @@ FOLD_FIELDS = [
 PARAM_COLS = ("sensitivity", "change_rate", "threshold")
 
 
-def _keys(pdf: pd.DataFrame, cols: list[str]) -> list:
-    if not cols:
-        return [()] * len(pdf)
-    return list(zip(*[pdf[c].tolist() for c in cols]))
-
-
-def _nullable(n: int, hits: dict, dtype: str):
-    """Column of length ``n`` that is NULL except at ``hits`` (index -> value)."""
-    if dtype == "boolean":
-        vals = np.zeros(n, dtype=bool)
-    else:
-        vals = np.zeros(n, dtype="int64" if dtype == "Int64" else "float64")
-    mask = np.ones(n, dtype=bool)
-    for i, v in hits.items():
-        vals[i] = v
-        mask[i] = False
-    return pd.arrays.BooleanArray(vals, mask) if dtype == "boolean" else (
-        pd.arrays.IntegerArray(vals, mask) if dtype == "Int64" else
-        pd.arrays.FloatingArray(vals, mask))
-
-
-def _adaptive_fold(stream_cols, params: AdaptiveParams, param_from_cols: bool):
-    def fold(batches):
-        cur, st = object(), None
-        for pdf in batches:
-            n = len(pdf)
-            keys = _keys(pdf, stream_cols)
-            ts = pdf["t"].tolist()
-            refs = pdf["__ref"].tolist()
-            cfg = ([pdf[c].tolist() for c in PARAM_COLS] if param_from_cols else None)
-            wb, wa, raw, late_, det_, sens, allw, width, acw = ([] for _ in range(9))
-            span, elems, ratio, acc, prop = {}, {}, {}, {}, {}
-            for i in range(n):
-                if keys[i] != cur:
-                    cur = keys[i]
+def _changes(col: pa.Array) -> np.ndarray:
+    """Whether a value differs from the one before it (NULL equals NULL, NaN
+    equals NaN), from the second on."""
+    a, b = col.slice(0, len(col) - 1), col.slice(1)
+    if pa.types.is_nested(col.type):
+        return np.array([x != y for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], dtype=bool)
+    both_null = pc.and_(a.is_null(), b.is_null())
+    same = pc.fill_null(pc.equal(a, b), False)
+    if pa.types.is_floating(col.type):
+        same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+    return ~pc.or_(same, both_null).to_numpy(zero_copy_only=False)
+
+
+def by_stream(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, bool]]]]:
+    """Batches sorted by their first ``keys`` columns, each with its stretches
+    ``(from, to, begins)`` of one stream; ``begins``: no batch before had it."""
+    last: list[pa.Array] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows, dtype=bool)
+        for k in range(keys):
+            col = b.column(k)
+            new[1:] |= _changes(col)
+            if last is not None:
+                new[0] |= bool(_changes(pa.concat_arrays([last[k], col.slice(0, 1)]))[0])
+        new[0] |= last is None
+        last = [b.column(k).slice(b.num_rows - 1) for k in range(keys)]
+        starts = np.unique(np.append(np.flatnonzero(new), 0)).tolist()
+        yield b, [(i, j, bool(new[i])) for i, j in zip(starts, [*starts[1:], b.num_rows], strict=True)]
+
+
+def _numbers(col: pa.Array) -> np.ndarray:
+    return col.to_numpy(zero_copy_only=False)
+
+
+def _judged(parts: list) -> list[pa.Array]:
+    """The columns of ``FOLD_FIELDS`` from the stretches of a batch."""
+    n = sum(len(p.late) for p in parts)
+    one = [np.concatenate([getattr(p, f) for p in parts]) for f in
+           ("wm_before", "wm_after", "wm_raw", "late", "detected", "sens", "allowed", "width", "accepted_width")]
+    chunk: list[list] = [[None] * n for _ in range(5)]
+    at = 0
+    for p in parts:
+        for i, c in p.chunks.items():
+            for k, v in enumerate((c[0], c[1], c[2], c[4], c[5])):
+                chunk[k][at + i] = v
+        at += len(p.late)
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64())
+    return [*map(pa.array, one[:8]), *(pa.array(c, k) for c, k in zip(chunk, kinds, strict=True)), pa.array(one[8])]
+
+
+def _adaptive_fold(keys: int, params: AdaptiveParams, config: int | None, names: list[str]):
+    """Columns: stream keys, others to pass, ``t``, ``__ref`` last; ``config``:
+    where the parameter columns begin, if they are columns."""
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        st = None
+        for b, stretches in by_stream(batches, keys):
+            t, ref, parts = _numbers(b.column(b.num_columns - 2)), _numbers(b.column(b.num_columns - 1)), []
+            for i, j, begins in stretches:
+                if begins:
                     p = params
-                    if cfg is not None:
-                        p = replace(params, sensitivity=float(cfg[0][i]),
-                                    change_rate=float(cfg[1][i]), threshold=float(cfg[2][i]))
+                    if config is not None:
+                        p = replace(params, **{c: b.column(config + k)[i].as_py() for k, c in enumerate(PARAM_COLS)})
                     st = AdaptiveState(p)
-                wb.append(st.wm)
-                late, det = st.step(ts[i], refs[i])
-                wa.append(st.wm)
-                raw.append(st.wm_raw)
-                late_.append(late)
-                det_.append(det)
-                sens.append(st.sens)
-                allw.append(st.allowed)
-                width.append(st.adwin.width)
-                acw.append(st.accepted_width)
-                if st.chunk is not None:
-                    c = st.chunk
-                    span[i], elems[i], ratio[i], acc[i], prop[i] = c[0], c[1], c[2], c[4], c[5]
-            out = pdf.drop(columns=["__ref"])
-            out["wm_before"] = np.array(wb, dtype="int64")
-            out["wm_after"] = np.array(wa, dtype="int64")
-            out["wm_raw"] = np.array(raw, dtype="int64")
-            out["late"] = np.array(late_, dtype=bool)
-            out["detected"] = np.array(det_, dtype=bool)
-            out["cur_sensitivity"] = np.array(sens, dtype="float64")
-            out["allowed"] = np.array(allw, dtype="int64")
-            out["adwin_width"] = np.array(width, dtype="int64")
-            out["chunk_span"] = _nullable(n, span, "Int64")
-            out["chunk_elements"] = _nullable(n, elems, "Int64")
-            out["chunk_late_ratio"] = _nullable(n, ratio, "Float64")
-            out["accepted"] = _nullable(n, acc, "boolean")
-            out["proposed_wm"] = _nullable(n, prop, "Int64")
-            out["accepted_width"] = np.array(acw, dtype="int64")
-            yield out
+                parts.append(st.extend(t[i:j], ref[i:j]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *_judged(parts)], names=names)
     return fold
 
 
@@ -209,11 +213,52 @@ def adaptive_watermark(df: DataFrame, stream_cols: list[str],
     ship_package(df.sparkSession)
     extra = list(PARAM_COLS) if param_cols else []
     cols = list(dict.fromkeys([*stream_cols, *pass_cols, *extra, "seq", "t", "arr"]))
-    x = df.select(*cols, F.coalesce(F.col(ref), F.col("t")).alias("__ref"))
+    x = df.select(*cols, F.col("t").alias("__t"), F.coalesce(F.col(ref), F.col("t")).alias("__ref"))
     x = ordered_by_stream(x, stream_cols, partitions)
-    schema = T.StructType([f for f in x.schema.fields if f.name != "__ref"] +
-                          [T.StructField(n, t, True) for n, t in FOLD_FIELDS])
-    return x.mapInPandas(_adaptive_fold(list(stream_cols), params, param_cols), schema)
+    schema = T.StructType([*(f for f in x.schema.fields if f.name not in ("__t", "__ref")),
+                           *(T.StructField(n, t, True) for n, t in FOLD_FIELDS)])
+    config = cols.index(PARAM_COLS[0]) if param_cols else None
+    return x.mapInArrow(_adaptive_fold(len(stream_cols), params, config, schema.names), schema)
+
+
+def adaptive_steps(df: DataFrame, stream_cols: list[str], configs: list[AdaptiveParams],
+                   ref: str = "arr") -> DataFrame:
+    """W1 for many configurations in one ordered pass: every event of a stream
+    crosses into Python once, and only detections come back.
+
+    Output: stream columns, ``config`` (position in ``configs``), ``arr, seq`` of
+    the event, ``wm`` (the watermark emitted after it), ``rose`` (it is higher than
+    before), and the chunk report."""
+    from driftmark.session import ship_package
+    ship_package(df.sparkSession)
+    keys = len(stream_cols)
+    x = ordered_by_stream(df.select(*stream_cols, "arr", "seq", "t", F.coalesce(F.col(ref), F.col("t")).alias("__ref")), stream_cols)
+    more = [("config", T.IntegerType()), ("wm", T.LongType()), ("rose", T.BooleanType()), ("chunk_span", T.LongType()),
+            ("chunk_elements", T.LongType()), ("chunk_late_ratio", T.DoubleType()), ("cur_sensitivity", T.DoubleType()),
+            ("accepted", T.BooleanType()), ("proposed_wm", T.LongType())]
+    schema = T.StructType([*x.schema.fields[:keys + 2], *(T.StructField(n, t, True) for n, t in more)])
+    names = schema.names
+    kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: list[AdaptiveState] = []
+        for b, stretches in by_stream(batches, keys):
+            t, ref_ = _numbers(b.column(keys + 2)), _numbers(b.column(keys + 3))
+            rows, out = [], []
+            for i, j, begins in stretches:
+                if begins:
+                    states = [AdaptiveState(p) for p in configs]
+                for k, st in enumerate(states):
+                    got = st.extend(t[i:j], ref_[i:j])
+                    for at, c in got.chunks.items():
+                        rows.append(i + at)
+                        out.append((k, int(got.wm_after[at]), bool(got.wm_after[at] > got.wm_before[at]), *c))
+            if rows:
+                own = pa.RecordBatch.from_arrays(b.columns[:keys + 2], names=names[:keys + 2]).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*own.columns, *(pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True))], names=names)
+
+    return x.mapInArrow(fold, schema)
 
 
 def chunk_report(folded: DataFrame, stream_cols: list[str]) -> DataFrame:
@@ -224,20 +269,23 @@ def chunk_report(folded: DataFrame, stream_cols: list[str]) -> DataFrame:
 
 
 def adaptive_panes(df: DataFrame, stream_cols: list[str], key_cols: list[str], width,
-                   allowed=0, params: AdaptiveParams = AdaptiveParams(), ref: str = "arr",
-                   param_cols: bool = False) -> DataFrame:
-    """W1 -> T1: panes under the adaptive watermark.  Emitted watermarks
-    are the events where it rose; windows use the emitted watermark."""
-    from driftmark.operators.watermarks import steps_from_events
-    from driftmark.operators.windows import tumbling_panes
+                   allowed=0, params: AdaptiveParams = AdaptiveParams(), ref: str = "arr") -> DataFrame:
+    """W1 -> T1: panes under the adaptive watermark.  The fold returns only the
+    watermarks it emits; the events meet them in one scan and are combined
+    by window before anything is joined."""
+    from driftmark.operators.windows import tumbling_panes_from_groups, window_start
+    from driftmark.plans.sweep import watermarks_met
     from driftmark.session import materialize
-    pass_cols = [c for c in key_cols if c not in stream_cols]
-    # the fold feeds two consumers (steps and window groups): run it once, and
-    # keep only what they read
-    folded = adaptive_watermark(df, stream_cols, params, ref, pass_cols, param_cols)
-    folded = materialize(folded.select(*stream_cols, *pass_cols, "seq", "t", "arr", "wm_before", "wm_after"))
-    steps = steps_from_events(folded, stream_cols)
-    return tumbling_panes(folded, steps, stream_cols, key_cols, width, allowed)
+    x = df.select(*dict.fromkeys([*key_cols, "t", "arr", "seq", ref]))
+    steps = materialize(adaptive_steps(x, stream_cols, [params], ref).where("rose")
+                        .select(*stream_cols, "config", "arr", "seq", "wm"))
+    met, held = watermarks_met(x, steps, stream_cols, "config", 1)
+    groups = (met.groupBy(*key_cols, "mark", window_start("t", width).alias("wstart"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    groups = (join_nullsafe(groups, held, [*stream_cols, "mark"], "left")
+              .withColumn("wm_before", F.coalesce(F.element_at("wms", F.lit(0)), F.lit(0)).cast("long"))
+              .groupBy(*key_cols, "wstart", "wm_before").agg(F.sum("n").cast("long").alias("n")))
+    return tumbling_panes_from_groups(groups, steps.select(*stream_cols, "wm"), stream_cols, key_cols, width, allowed)
 
 
 # --- D1-D3: ADWIN over a value column ----------------------------------------
@@ -249,29 +297,23 @@ DETECT_FIELDS = [
 ]
 
 
-def _detect_fold(stream_cols, delta: float, clock: int):
-    def fold(batches):
-        cur, ad, peak = object(), None, 0
-        for pdf in batches:
-            keys = _keys(pdf, stream_cols)
-            vals = pdf["__x"].to_numpy(dtype="float64")
-            runs = [i for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]]
-            parts = []
-            for i, j in zip(runs, [*runs[1:], len(keys)]):
-                if keys[i] != cur:
-                    cur, ad, peak = keys[i], Adwin(delta, clock), 0
+def _detect_fold(keys: int, delta: float, clock: int, names: list[str]):
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ad, peak = None, 0
+        for b, stretches in by_stream(batches, keys):
+            xs, parts = _numbers(b.column(b.num_columns - 1)), []
+            for i, j, begins in stretches:
+                if begins:
+                    ad, peak = Adwin(delta, clock), 0
                 found, wide = ad.detections, ad.cum_width
-                tr = ad.extend(vals[i:j])
+                tr = ad.extend(xs[i:j])
                 peaks = np.maximum(np.maximum.accumulate(tr.buckets), peak)
                 peak = int(peaks[-1])
                 width = np.maximum(tr.width, 1)
-                parts.append(pd.DataFrame({
-                    "changed": tr.changed, "width": tr.width, "mean": tr.total / width,
-                    "variance": tr.spread / width, "total": tr.total,
-                    "detections": found + np.cumsum(tr.changed), "cum_width": wide + np.cumsum(tr.width, dtype="float64"),
-                    "peak_buckets": peaks}))
-            got = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[n for n, _ in DETECT_FIELDS])
-            yield pd.concat([pdf.drop(columns=["__x"]).reset_index(drop=True), got], axis=1)
+                parts.append((tr.changed, tr.width, tr.total / width, tr.spread / width, tr.total,
+                              found + np.cumsum(tr.changed), wide + np.cumsum(tr.width, dtype="float64"), peaks))
+            cols = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=names)
     return fold
 
 
@@ -287,4 +329,4 @@ def adwin_detect(df: DataFrame, stream_cols: list[str], value: str,
     x = ordered_by_stream(x, stream_cols)
     schema = T.StructType([f for f in x.schema.fields if f.name != "__x"] +
                           [T.StructField(n, t, True) for n, t in DETECT_FIELDS])
-    return x.mapInPandas(_detect_fold(list(stream_cols), delta, clock), schema)
+    return x.mapInArrow(_detect_fold(len(stream_cols), delta, clock, schema.names), schema)

@@ -199,9 +199,7 @@ def watermark_steps(steps: DataFrame, stream_cols: list[str]) -> DataFrame:
     """Distinct emitted watermarks per stream with their ordinal.
 
     Emitted watermarks strictly increase, so the ordinal is a running count
-    by value, computed in value blocks (no whole-stream task)."""
+    by value, in blocks of about equal numbers of steps (no whole-stream task)."""
     steps = steps.withColumn("__one", F.lit(1))
-    out = blocked_scan(steps, stream_cols,
-                       floor_div(F.col("wm"), F.lit(1 << 30)), ["wm"],
-                       [Scan("ordinal", "__one", "sum")])
+    out = blocked_scan(steps, stream_cols, None, ["wm"], [Scan("ordinal", "__one", "sum")])
     return out.drop("__one").withColumn("ordinal", F.col("ordinal").cast("long"))

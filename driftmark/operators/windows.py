@@ -204,13 +204,11 @@ def tumbling_count_labels(df: DataFrame, width: int) -> DataFrame:
                     gmt_text_ss("wend").alias("end_text"), "cnt"))
 
 
-def arrival_ordinal(df: DataFrame, key_cols: list[str], block_ms: int = 1000,
-                    out: str = "ordinal") -> DataFrame:
+def arrival_ordinal(df: DataFrame, key_cols: list[str], out: str = "ordinal") -> DataFrame:
     """1-based position of each row in its key's arrival order ``(arr, seq)``,
-    computed with the blocked scan (arrival blocks of ``block_ms``)."""
+    by a scan in blocks of about equal numbers of rows."""
     x = df.withColumn("__one", F.lit(1).cast("long"))
-    x = blocked_scan(x, key_cols, floor_div(F.col("arr"), F.lit(block_ms)), ["arr", "seq"],
-                     [Scan(out, "__one", "sum")])
+    x = blocked_scan(x, key_cols, None, ["arr", "seq"], [Scan(out, "__one", "sum")])
     return x.drop("__one")
 
 
@@ -239,27 +237,26 @@ def count_windows(df: DataFrame, key_cols: list[str], n: int, purge: bool = True
     return per.select(*cols)
 
 
-def session_windows(df: DataFrame, key_cols: list[str], gap_ms: int,
-                    block_ms: int = 3_600_000) -> DataFrame:
+def session_windows(df: DataFrame, key_cols: list[str], gap_ms: int) -> DataFrame:
     """Event-time sessions with gap ``gap_ms`` (rows exactly one gap
     apart share a session, as with Spark's ``session_window``).
 
-    Gaps-and-islands over event-time order, all with blocked scans so a hot
-    key is spread over time blocks: the previous event time (max of the
-    ``(t, seq)`` struct over earlier rows) gives a break flag, an inclusive
-    running sum of breaks numbers the sessions, and a map-side-combined
-    aggregate per ``(key, session)`` yields start, end and count."""
-    blk = floor_div(F.col("t"), F.lit(block_ms))
-    x = df.select(*key_cols, "t", "seq", F.struct("t", "seq").alias("__o"))
-    x = blocked_scan(x, key_cols, blk, ["t", "seq"],
-                     [Scan("__prev", "__o", "max", inclusive=False)])
-    brk = F.when(F.col("__prev").isNull() | (F.col("t") - F.col("__prev.t") > F.lit(gap_ms)), 1) \
-        .otherwise(0).cast("long")
-    x = blocked_scan(x.withColumn("__brk", brk), key_cols, blk, ["t", "seq"],
-                     [Scan("__sid", "__brk", "sum")])
+    Gaps and islands over event time, in two levels.  Rows are first combined
+    to time slots of the gap's length (map-side): rows of one slot share a
+    session, so a slot is its first and last time and a count, and a hot key
+    is as many rows as it has slots.  Over the slots one scan (in blocks of
+    about equal numbers of rows) finds where a slot begins more than a gap
+    after the one before ended; the number of such breaks names the session.
+    A break's running number only needs each slot's own flag, so both scans
+    run over the small table."""
+    slot = floor_div(F.col("t"), F.lit(max(gap_ms, 1)).cast("long"))
+    x = (df.groupBy(*key_cols, slot.alias("__slot"))
+           .agg(F.min("t").alias("__lo"), F.max("t").alias("__hi"), F.count(F.lit(1)).alias("__n")))
+    x = blocked_scan(x, key_cols, None, ["__slot"], [Scan("__prev", "__hi", "max", inclusive=False)])
+    brk = F.when(F.col("__prev").isNull() | (F.col("__lo") - F.col("__prev") > F.lit(gap_ms)), 1).otherwise(0).cast("long")
+    x = blocked_scan(x.withColumn("__brk", brk), key_cols, None, ["__slot"], [Scan("__sid", "__brk", "sum")])
     return (x.groupBy(*key_cols, "__sid")
-              .agg(F.min("t").alias("sstart"), (F.max("t") + F.lit(gap_ms)).alias("send"),
-                   F.count(F.lit(1)).alias("cnt"))
+              .agg(F.min("__lo").alias("sstart"), (F.max("__hi") + F.lit(gap_ms)).alias("send"), F.sum("__n").alias("cnt"))
               .drop("__sid"))
 
 
@@ -274,8 +271,7 @@ def session_windows_builtin(df: DataFrame, key_cols: list[str], gap_ms: int) ->
                     F.unix_millis(F.col("s.end")).alias("send"), "cnt")
 
 
-def running_average(df: DataFrame, key_cols: list[str], value: str = "value",
-                    block_ms: int = 60_000, text: bool = False,
+def running_average(df: DataFrame, key_cols: list[str], value: str = "value", text: bool = False,
                     scale: int | None = None) -> DataFrame:
     """Mean of the non-NULL ``value``s over all earlier-or-equal rows of
     the key in arrival order, NULL while there is none (blocked scan of sum
@@ -284,7 +280,7 @@ def running_average(df: DataFrame, key_cols: list[str], value: str = "value",
     if scale is not None:
         x = x.withColumn("__v", _exact(value, scale))
         value = "__v"
-    x = blocked_scan(x, key_cols, floor_div(F.col("arr"), F.lit(block_ms)), ["arr", "seq"],
+    x = blocked_scan(x, key_cols, None, ["arr", "seq"],
                      [Scan("__s", value, "sum"), Scan("__c", "__one", "sum")])
     x = (x.withColumn("running_avg", F.try_divide(F.col("__s").cast("double"), F.col("__c").cast("double")))
           .drop("__one", "__s", "__c", "__v"))

@@ -669,25 +669,28 @@ def q_pending_runs(spark, sf_dir):
     return spark.createDataFrame([(c["run"],) for c in pending_configs(spark, grid, path)], "run string")
 
 
-# --- streaming (file replay in arrival order, availableNow) ---------------------
+# --- streaming (slices in arrival order, availableNow) ---------------------------
 
-def _replayed(spark, sf_dir, name, *cols, drifting=False):
-    from driftmark.session import scratch_dir
-    from driftmark.streaming.live import read_replay, replay_to_files
-    ev = _ev(spark, sf_dir, *cols, drifting=drifting)
-    path = scratch_dir(spark, f"{name}-in")
-    replay_to_files(ev, path)
-    return read_replay(spark, path, ev.schema)
+SLICES = 4
+
+
+def _live(spark, sf_dir, name, live, *cols, drifting=False, rows=None, slices=SLICES):
+    """What ``live`` makes of the events (or of ``rows``), slice by slice."""
+    from driftmark.plans.replay import replayed
+    return replayed(_ev(spark, sf_dir, *cols, drifting=drifting) if rows is None else rows, name, live, slices)
+
+
+def _unflushed(sql: str) -> str:
+    return f"SELECT * FROM ({sql}) WHERE NOT flushed"
 
 
 @register("stream_running_average", ORACLES["running_average"])
 def q_stream_running_average(spark, sf_dir):
     """T8 live: the running mean kept in keyed streaming state; micro-batches
     are arrival slices.  Must equal the batch operator row for row."""
-    from driftmark.streaming.live import run_available_now, running_average_stream
-    sdf = _replayed(spark, sf_dir, "ravg", "event_type", "value")
-    out = run_available_now(running_average_stream(sdf, ["event_type"], "value",
-                                                   scale=VALUE_SCALE), "ravg")
+    from driftmark.streaming.live import running_average_stream
+    out = _live(spark, sf_dir, "ravg", lambda sdf: running_average_stream(sdf, ["event_type"], "value", scale=VALUE_SCALE),
+                "event_type", "value")
     return out.select("seq", "event_type", "running_avg")
 
 
@@ -695,23 +698,128 @@ def q_stream_running_average(spark, sf_dir):
 def q_stream_adaptive(spark, sf_dir):
     """W1 + T1 live via transformWithStateInPandas: panes fired by the
     adaptive watermark (windows never fired stay in state)."""
-    from driftmark.streaming.live import adaptive_panes_stream, run_available_now
-    sdf = _replayed(spark, sf_dir, "adapt", "event_type", drifting=True)
-    return run_available_now(adaptive_panes_stream(sdf, ["event_type"], H, 0,
-                                                   _adaptive_params()), "adapt")
+    from driftmark.streaming.live import adaptive_panes_stream
+    return _live(spark, sf_dir, "adapt", lambda sdf: adaptive_panes_stream(sdf, ["event_type"], ["event_type"], H, 0, _adaptive_params()),
+                 "event_type", drifting=True)
 
 
-@register("stream_bounded_panes", _panes_oracle(3 * H).replace(
-    "SELECT * FROM panes", "SELECT * FROM panes WHERE NOT flushed"))
+@register("stream_bounded_panes", _unflushed(_panes_oracle(3 * H)))
 def q_stream_bounded_panes(spark, sf_dir):
-    """W2 + T1 + L3/L4 live with exact semantics (stateful processor): every
+    """W2 + T1 + L3/L4 live with exact semantics (stateful processors): every
     pane the batch plan fires, none of the end-of-stream flushes."""
-    from driftmark.streaming.live import bounded_panes_stream, run_available_now
-    sdf = _replayed(spark, sf_dir, "bounded", "event_type")
-    return run_available_now(bounded_panes_stream(sdf, ["event_type"], H, H, H, 3 * H), "bounded")
+    from driftmark.streaming.live import bounded_panes_stream
+    return _live(spark, sf_dir, "bounded", lambda sdf: bounded_panes_stream(sdf, ["event_type"], ["event_type"], H, H, H, 3 * H), "event_type")
+
+
+@register("stream_panes_users", _unflushed(_panes_oracle(3 * H, ("event_type", "user_id"))))
+def q_stream_panes_users(spark, sf_dir):
+    """T1 live with the watermark per event type and windows per (event type,
+    user): the live twin of ``tumbling_panes_users``."""
+    from driftmark.streaming.live import bounded_panes_stream
+    return _live(spark, sf_dir, "users", lambda sdf: bounded_panes_stream(sdf, ["event_type"], ["event_type", "user_id"], H, H, H, 3 * H),
+                 "event_type", "user_id")
+
+
+@register("stream_time_lag_panes", _unflushed(ORACLES["time_lag_panes"]))
+def q_stream_time_lag_panes(spark, sf_dir):
+    """W4 + T1 + L3/L4 live."""
+    from driftmark.streaming.live import time_lag_panes_stream
+    return _live(spark, sf_dir, "lag", lambda sdf: time_lag_panes_stream(sdf, ["event_type"], ["event_type"], TIME_LAG, TIME_LAG_PERIOD, H, 3 * H),
+                 "event_type")
+
+
+def _marked_rows(spark, sf_dir):
+    """The events with a marker before the first of each arrival hour: the
+    hour's start less 5 h.  Markers have a lower ``seq`` than any event."""
+    from driftmark.functions.time import floor_div
+    from driftmark.streaming.processors import EVENT, MARKER
+    ev = _ev(spark, sf_dir, "event_type").withColumn("kind", F.lit(EVENT))
+    hour = floor_div(F.col("arr"), F.lit(H)) * H
+    marks = ev.select(hour.alias("arr")).distinct().select(
+        F.lit(-1).cast("long").alias("seq"), (F.col("arr") - MARKER_OFFSET).alias("t"), "arr",
+        F.lit(None).cast("string").alias("event_type"), F.lit(MARKER).alias("kind"))
+    return ev.unionByName(marks)
+
+
+@register("stream_marker_panes", f"""WITH {Q.ev_cte()},
+marks AS (SELECT DISTINCT (arr // {H}) * {H} - {MARKER_OFFSET} AS wm FROM ev),
+m_groups AS (
+  SELECT event_type, t - t % {H} AS wstart, greatest((arr // {H}) * {H} - {MARKER_OFFSET}, 0) AS wm_before, count(*) AS n
+  FROM ev GROUP BY ALL),
+{Q.panes_ctes('m_groups', [], ['event_type'], H, 3 * H, '(SELECT min(wm) FROM marks WHERE wm >= o.wend - 1)')}
+SELECT * FROM panes WHERE NOT flushed""")
+def q_stream_marker_panes(spark, sf_dir):
+    """W5 + T1 + L3/L4 live: in-stream markers that hold for every key."""
+    from driftmark.streaming.live import marker_panes_stream
+    return _live(spark, sf_dir, "marker", lambda sdf: marker_panes_stream(sdf, ["event_type"], H, 3 * H), rows=_marked_rows(spark, sf_dir))
+
+
+#: The last tick's timer fires although nothing follows it.
+_IDLE_SQL = _panes_oracle(3 * H).replace("CASE WHEN is_last THEN wm_begin ELSE greatest(wm_fire, wm_begin) END", "greatest(wm_fire, wm_begin)")
+
+
+@register("stream_idle_panes", _unflushed(_IDLE_SQL))
+def q_stream_idle_panes(spark, sf_dir):
+    """W2 + T1 live on a stream that stops: the tick of the last events fires
+    by the clock (an hour of arrival time passes in 100 ms)."""
+    import time
+
+    from driftmark.plans.replay import feed
+    from driftmark.session import scratch_dir
+    from driftmark.streaming.live import bounded_panes_stream
+    out, ckpt, made = scratch_dir(spark, "idle-out"), scratch_dir(spark, "idle-ckpt"), []
+
+    def run(sdf):
+        made.append(bounded_panes_stream(sdf, ["event_type"], ["event_type"], H, H, H, 3 * H, idle=True, speed=H / 100))
+        q = made[-1].writeStream.format("parquet").option("checkpointLocation", ckpt).trigger(processingTime="200 milliseconds").start(out)
+        # a query with timers always has a next batch: stop after three without
+        # input, each longer than the 100 ms after which a timer is due
+        began = time.time()
+        while time.time() - began < 900 and q.isActive:
+            time.sleep(0.25)
+            rows = [p["numInputRows"] for p in q.recentProgress]
+            if any(rows) and len(rows) > 3 and not any(rows[-3:]):
+                break
+        q.stop()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+
+    feed(_ev(spark, sf_dir, "event_type"), 1, run)
+    return spark.read.schema(made[0].schema).parquet(out)
+
+
+def _ended(ev):
+    """The events and an end for each of their streams."""
+    from driftmark.streaming.processors import END, EVENT
+    last = ev.groupBy("event_type").agg(F.max("arr").alias("arr")).select(
+        F.lit(2 ** 62).cast("long").alias("seq"), F.lit(0).cast("long").alias("t"), "arr", "event_type", F.lit(END).alias("kind"))
+    return ev.withColumn("kind", F.lit(EVENT)).unionByName(last)
+
+
+@register("stream_flushed_panes", _panes_oracle(3 * H))
+def q_stream_flushed_panes(spark, sf_dir):
+    """W2 + T1 live on a stream that ends: an end row flushes what is open, so
+    the panes are those of the batch plan, flushed ones included."""
+    from driftmark.streaming.live import bounded_panes_stream
+    return _live(spark, sf_dir, "flush", lambda sdf: bounded_panes_stream(sdf, ["event_type"], ["event_type"], H, H, H, 3 * H),
+                 rows=_ended(_ev(spark, sf_dir, "event_type")))
+
+
+@register("stream_pane_text", ORACLES["pane_text_roundtrip"])
+def q_stream_pane_text(spark, sf_dir):
+    """K1 live: the panes of a finished stream written as text, one folder a
+    micro-batch, and parsed back."""
+    from driftmark.plans.replay import feed
+    from driftmark.session import scratch_dir
+    from driftmark.sources.text import read_panes_text
+    from driftmark.streaming.live import bounded_panes_stream, finish, write_panes_stream
+    out, ckpt = scratch_dir(spark, "pane-text"), scratch_dir(spark, "pane-text-ckpt")
+    feed(_ended(_ev(spark, sf_dir, "event_type")), SLICES, lambda sdf: finish(write_panes_stream(
+        bounded_panes_stream(sdf, ["event_type"], ["event_type"], H, H, H, 3 * H), out, ckpt)))
+    return read_panes_text(spark, out).select("wstart", "wend", "cnt", "lag", "flushed")
 
 
-def _native_sql(slices: int = 8) -> str:
+def _native_sql(slices: int = SLICES) -> str:
     """Micro-batches are arrival slices.  A batch drops rows whose window had
     ended by the watermark that the batch before it evicted by, which is set by
     the batches before that one."""
@@ -730,18 +838,16 @@ GROUP BY ALL"""
 def q_stream_tumbling_native(spark, sf_dir):
     """Built-in live counterpart of W2 + T1: withWatermark(delay 1 h) and
     hourly event-time windows per event type (approximate, §7.4)."""
-    from driftmark.streaming.live import run_available_now, tumbling_counts_native
-    sdf = _replayed(spark, sf_dir, "native", "event_type")
-    return run_available_now(tumbling_counts_native(sdf, ["event_type"], H, H), "native")
+    from driftmark.streaming.live import tumbling_counts_native
+    return _live(spark, sf_dir, "native", lambda sdf: tumbling_counts_native(sdf, ["event_type"], H, H), "event_type")
 
 
 @register("stream_sessions", f"""WITH ses AS ({ORACLES['session_windows']})
 SELECT * FROM ses WHERE send <= (SELECT max(epoch_us(ts) // 1000) FROM events) - {7 * H}""")
 def q_stream_sessions(spark, sf_dir):
     """T7 live: session windows per user behind a 7 h watermark delay."""
-    from driftmark.streaming.live import run_available_now, session_windows_stream
-    sdf = _replayed(spark, sf_dir, "sess", "user_id")
-    return run_available_now(session_windows_stream(sdf, ["user_id"], SESSION_GAP, 7 * H), "sess")
+    from driftmark.streaming.live import session_windows_stream
+    return _live(spark, sf_dir, "sess", lambda sdf: session_windows_stream(sdf, ["user_id"], SESSION_GAP, 7 * H), "user_id")
 
 
 # --- a second dataset: lineitem, arriving in order-key order -------------------

@@ -1,11 +1,10 @@
 """Parameter sweep (P1-P3): many runs in one Spark job.
 
-Each configuration becomes a key: the event stream is replicated once per
-configuration by exploding a literal array of configuration structs (the
-grid is a small, fixed-size parameter), and every downstream operator keys
-on ``run`` in addition to the stream key, so all runs execute in parallel
-in the same stages.  Run parameters ride along as key columns, which lets
-operators take them as columns (``F.col("width")``).
+Each configuration becomes a key (``cfg``, its position in the grid, which is a
+small, fixed-size parameter), and every downstream operator keys on it in
+addition to the stream key, so all runs execute in parallel in the same
+stages.  Events are combined before they are fanned out to the runs; a run's
+parameters are looked up where an operator needs them (``config_param``).
 """
 
 from __future__ import annotations
@@ -16,6 +15,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmark.functions.scan import Scan, blocked_scan
+from driftmark.functions.util import join_nullsafe
+
 # The reference's experiment grid.
 ADAPTIVE_SENSITIVITIES = [1.0]
 ADAPTIVE_CHANGE_RATES = [1.0, 0.1, 0.01]
@@ -60,23 +62,6 @@ def adaptive_grid(dataset: str = "events") -> list[dict]:
                                       WINDOW_WIDTHS, ADAPTIVE_SENSITIVITIES)]
 
 
-def config_column(configs: list[dict]) -> Column:
-    """Literal array of config structs to ``explode`` against a stream."""
-    if not configs:
-        raise ValueError("empty configuration grid")
-    from driftmark.functions.util import col_of
-    return F.explode(F.array(*[
-        F.struct(*[(F.lit(v) if isinstance(v, str) else col_of(v)).alias(k)
-                   for k, v in cfg.items()]) for cfg in configs]))
-
-
-def replicate(events: DataFrame, configs: list[dict]) -> DataFrame:
-    """Every event once per configuration, config fields as columns."""
-    keys = list(configs[0])
-    return (events.select("*", config_column(configs).alias("__cfg"))
-                  .select(*events.columns, *[F.col(f"__cfg.{k}").alias(k) for k in keys]))
-
-
 def replicate_ids(events: DataFrame, n: int, name: str = "cfg") -> DataFrame:
     """Every event once per configuration id ``0 .. n-1``."""
     return events.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name))
@@ -109,7 +94,6 @@ def sweep_periodic_panes(events: DataFrame, configs: list[dict], stream_cols: li
     differ only in width or allowed lateness share one tick table (``wid``)
     and receive its emitted watermarks by a literal fan-out, not a join."""
     from driftmark.functions.time import window_start
-    from driftmark.functions.util import join_nullsafe
     from driftmark.operators.watermarks import bounded_steps, ticks_from_pre, with_tick
     from driftmark.operators.windows import tumbling_panes_from_groups
     from driftmark.session import materialize
@@ -127,15 +111,20 @@ def sweep_periodic_panes(events: DataFrame, configs: list[dict], stream_cols: li
                 .agg(F.max("tmax").alias("tick_max"), F.sum("n").alias("n")))
     ticks = materialize(ticks_from_pre(tick_pre, ["wid", *stream_cols], wp("max_ooo")))
 
-    # window groups per run, judged by the shared tick table
-    x = replicate_ids(pre, len(configs))
-    cp = lambda f: config_param(configs, f)
-    x = x.withColumn("wid", config_param(cfg_wid, "wid").cast("int"))  # as replicate_ids
+    # window groups: the tick and window of an event depend on (period, width)
+    # only, so they are combined for those and fanned out to the runs after
+    grain = list(dict.fromkeys((c["period"], c["width"]) for c in configs))
+    gp = lambda i: config_param([dict(v=g[i]) for g in grain], "v", "gid")
+    x = replicate_ids(pre, len(grain), "gid")
     fine = materialize(
-        with_tick(x, cp("period")).withColumn("wstart", window_start("t", cp("width")))
-        .groupBy("cfg", "wid", *key_cols, "tick", "wstart")
+        with_tick(x, gp(0)).withColumn("wstart", window_start("t", gp(1)))
+        .groupBy("gid", *key_cols, "tick", "wstart")
         .agg(F.sum("n").cast("long").alias("n")))
-    g = join_nullsafe(fine, ticks.select("wid", *stream_cols, "tick",
+    cp = lambda f: config_param(configs, f)
+    of = F.array(*[F.array(*[F.lit(i) for i, c in enumerate(configs) if (c["period"], c["width"]) == g]) for g in grain])
+    each = fine.select("*", F.explode(F.element_at(of, F.col("gid") + 1)).alias("cfg"))
+    each = each.withColumn("wid", config_param(cfg_wid, "wid").cast("int"))  # as replicate_ids
+    g = join_nullsafe(each, ticks.select("wid", *stream_cols, "tick",
                                          F.col("wm_begin").alias("wm_before")),
                       ["wid", *stream_cols, "tick"], "left")
     groups = (g.groupBy("cfg", *key_cols, "wstart", "wm_before")
@@ -215,62 +204,75 @@ def parse_run_name(name) -> list[Column]:
             g(8).cast("long").alias("width")]
 
 
+def watermarks_met(events: DataFrame, steps: DataFrame, stream_cols: list[str], run: str, runs: int) -> tuple[DataFrame, DataFrame]:
+    """Which watermark each event met, for many runs at once.
+
+    ``steps``: ``(stream, run, arr, seq, wm)``, a watermark that run emitted after that
+    event.  Returns the events with ``mark``, the last event before them (in
+    arrival order) after which *any* run emitted one, and ``(stream, mark, wms)``
+    with the watermark of every run at that point (an array by run; NULL: none
+    yet).  One scan of the events in arrival order, whatever the number of runs."""
+    marks = steps.select(*stream_cols, "arr", "seq").distinct()
+    null = lambda c: F.lit(None).cast(events.schema[c].dataType).alias(c)
+    at = F.struct("arr", "seq")
+    none = F.lit(None).cast("struct<arr:bigint,seq:bigint>")
+    both = events.select("*", F.lit(0).alias("__kind"), none.alias("__at")).unionByName(
+        marks.select(*[F.col(c) if c in marks.columns else null(c) for c in events.columns], F.lit(1).alias("__kind"),
+                     at.cast("struct<arr:bigint,seq:bigint>").alias("__at")))
+    # a mark sorts after its own event, which met what was before
+    met = (blocked_scan(both, stream_cols, None, ["arr", "seq", "__kind"], [Scan("mark", "__at", "max")])
+           .where("__kind = 0").drop("__kind", "__at"))
+    # per mark the watermark of each run: its own, or that of an earlier mark
+    every = marks.select("*", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias(run))
+    held = join_nullsafe(every, steps.select(*stream_cols, run, "arr", "seq", "wm"), [*stream_cols, run, "arr", "seq"], "left")
+    held = blocked_scan(held, [*stream_cols, run], None, ["arr", "seq"], [Scan("held", "wm", "max")])
+    table = (held.groupBy(*stream_cols, at.cast("struct<arr:bigint,seq:bigint>").alias("mark"))
+             .agg(F.map_from_entries(F.collect_list(F.struct(F.col(run), F.coalesce("held", F.lit(0))))).alias("wms")))
+    return met, table
+
+
+def adaptive_folds(configs: list[dict], warmup: int) -> tuple[list, list[tuple]]:
+    """The estimators of a grid, one for each (sensitivity, change rate,
+    threshold), in the sweep's constructor form: allowed lateness starts at
+    0 and comes from the warm-up."""
+    from driftmark.operators.adaptive import adaptive_preset
+    from driftmark.operators.drift import AdaptiveParams
+    keys = ("sensitivity", "change_rate", "threshold")
+    folds = list({tuple(c[k] for k in keys): None for c in configs})
+    return [AdaptiveParams(**adaptive_preset("four", *f), warmup=warmup) for f in folds], folds
+
+
 def sweep_adaptive_panes(events: DataFrame, dataset: str, stream_cols: list[str],
                          key_cols: list[str], warmup: int, configs: list[dict] | None = None,
                          as_runs: bool = False):
-    """P1, adaptive half: one fold per distinct (sensitivity, change rate,
-    threshold) and stream, then the folded stream is replicated per window
-    width and windowed per run (runs differing only in width share a fold).
-    The estimator uses the sweep's constructor form: allowed lateness starts
-    at 0 and comes from the warm-up.  Returns (panes keyed by ``cfg``,
-    configs)."""
-    from dataclasses import replace as _replace
-
-    from driftmark.operators.adaptive import adaptive_preset, adaptive_watermark
-    from driftmark.operators.drift import AdaptiveParams
-    from driftmark.operators.watermarks import steps_from_events
+    """P1, adaptive half: one ordered pass over each stream advances the
+    estimators of all runs and returns only the watermarks they emit (runs
+    that differ only in width share an estimator).  The events meet those
+    in one scan, are combined to (key, event-time slot, mark) once for all
+    runs, and only that is fanned out to the runs.  Returns (panes keyed by
+    ``cfg``, configs)."""
+    from driftmark.functions.time import window_start
+    from driftmark.operators.adaptive import adaptive_steps
+    from driftmark.operators.windows import tumbling_panes_from_groups
     from driftmark.session import materialize
     configs = configs or adaptive_grid(dataset)
-    fold_keys = ["sensitivity", "change_rate", "threshold"]
-    folds = list({tuple(c[k] for k in fold_keys): None for c in configs})
-    fold_cfgs = [dict(zip(fold_keys, f)) for f in folds]
-    widths = sorted({c["width"] for c in configs})
-    x = replicate_ids(events, len(folds), "fold")
-    x = x.select("*", *[config_param(fold_cfgs, k, "fold").alias(k) for k in fold_keys])
-    params = _replace(AdaptiveParams(**adaptive_preset("four")), warmup=warmup)
-    pass_cols = [c for c in key_cols if c not in stream_cols]
-    folded = adaptive_watermark(x, ["fold", *stream_cols], params, pass_cols=pass_cols, param_cols=True)
-    folded = materialize(folded.select("fold", *stream_cols, *pass_cols, "seq", "t", "arr", "wm_before", "wm_after"))
-    # run id = fold * len(widths) + width index; runs absent from `configs` are dropped
-    runs = []
-    by_key = {(tuple(c[k] for k in fold_keys), c["width"]): c for c in configs}
-    for fi, f in enumerate(folds):
-        for w in widths:
-            c = by_key.get((f, w))
-            runs.append(dict(c, fold=fi) if c else None)
-    # emitted watermarks per fold, and the folded events combined to
-    # (fold, key, event-time slot of gcd(widths), wm_before) before the
-    # per-width replication
-    from driftmark.operators.windows import tumbling_panes_from_groups
-    from driftmark.functions.time import window_start
-    steps = steps_from_events(folded, ["fold", *stream_cols])
-    gw = math.gcd(*widths)
-    slots = (folded.groupBy("fold", *key_cols, "wm_before",
-                            window_start("t", F.lit(gw).cast("long")).alias("t"))
-                   .agg(F.count(F.lit(1)).alias("n")))
-
-    def per_width(df):
-        y = replicate_ids(df, len(widths), "__wi")
-        return y.withColumn("cfg", F.col("fold") * len(widths) + F.col("__wi")).drop("__wi", "fold")
-    keep = [i for i, r in enumerate(runs) if r is not None]
-    table = [r or dict(runs[keep[0]]) for r in runs]
-    width = config_param(table, "width")
-    y, steps = per_width(slots), per_width(steps)
-    if len(keep) < len(runs):
-        y = y.where(F.col("cfg").isin(keep))
+    params, folds = adaptive_folds(configs, warmup)
+    fold_of = [folds.index((c["sensitivity"], c["change_rate"], c["threshold"])) for c in configs]
+    events = events.select(*dict.fromkeys([*key_cols, "t", "arr", "seq"]))
+    steps = materialize(adaptive_steps(events, stream_cols, params).where("rose")
+                        .select(*stream_cols, F.col("config").alias("fold"), "arr", "seq", "wm"))
+    met, held = watermarks_met(events, steps, stream_cols, "fold", len(folds))
+    slot = math.gcd(*[c["width"] for c in configs])
+    slots = (met.groupBy(*key_cols, "mark", window_start("t", F.lit(slot).cast("long")).alias("t"))
+             .agg(F.count(F.lit(1)).alias("n")))
+    slots = join_nullsafe(slots, held, [*stream_cols, "mark"], "left")
+    # fan out: the watermark of the run's estimator, 0 before the first mark
+    fold = F.element_at(F.array(*map(F.lit, fold_of)), F.col("cfg") + 1)
+    width = config_param(configs, "width")
+    y = replicate_ids(slots, len(configs)).withColumn("wm_before", F.coalesce(F.element_at("wms", fold), F.lit(0)).cast("long"))
     groups = (y.withColumn("wstart", window_start("t", width))
-                .groupBy("cfg", *key_cols, "wstart", "wm_before")
-                .agg(F.sum("n").cast("long").alias("n")))
-    panes = tumbling_panes_from_groups(groups, steps, ["cfg", *stream_cols],
-                                       ["cfg", *key_cols], width, 0, as_runs)
-    return panes, table
+              .groupBy("cfg", *key_cols, "wstart", "wm_before").agg(F.sum("n").cast("long").alias("n")))
+    mine = F.array(*[F.array(*[F.lit(i) for i, f in enumerate(fold_of) if f == k]) for k in range(len(folds))])
+    emitted = steps.select(F.explode(F.element_at(mine, F.col("fold") + 1)).alias("cfg"), *stream_cols, "wm")
+    panes = tumbling_panes_from_groups(groups, emitted, ["cfg", *stream_cols], ["cfg", *key_cols], width, 0, as_runs)
+    return panes, configs

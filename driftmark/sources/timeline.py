@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.functions.scan import Scan, blocked_scan
-from driftmark.functions.time import floor_div
+from driftmark.functions.scan import Scan, blocked_scan, sized
 from driftmark.functions.util import join_nullsafe
 
-ORDER_BLOCK_MS = 60_000
-
 
 def rebase_time(df: DataFrame, anchor_ms: int, stream_cols: list[str]) -> DataFrame:
     """``t := anchor + (t - first_t)``, ``first_t`` = the first non-zero
     event time in arrival order of each stream (0 is the "unset" sentinel).
     The anchor is a parameter, not the wall clock.  ``t_orig`` keeps the
     input.  The per-stream first is a partial aggregate (``min`` of an
-    ``(arr, seq, t)`` struct), so a hot stream costs one row per task."""
+    ``(arr, seq, t)`` struct), so a hot stream costs one row per task; the few
+    firsts are broadcast if their number is small, and the events stay put."""
     firsts = (df.where(F.col("t") != 0)
                 .groupBy(*stream_cols)
                 .agg(F.min(F.struct("arr", "seq", "t")).getField("t").alias("__first")))
+    firsts, _ = sized(firsts)
     if stream_cols:
         x = join_nullsafe(df, firsts, stream_cols, "left")
     else:
@@ -31,8 +30,7 @@ def rebase_time(df: DataFrame, anchor_ms: int, stream_cols: list[str]) -> DataFr
              .drop("__first"))
 
 
-def reference_time(df: DataFrame, mode: str, stream_cols: list[str],
-                   block_ms: int = ORDER_BLOCK_MS) -> DataFrame:
+def reference_time(df: DataFrame, mode: str, stream_cols: list[str]) -> DataFrame:
     """``ref`` column the deviation is measured against.
 
     ``ingestion``       the arrival time ``arr``
@@ -44,7 +42,7 @@ def reference_time(df: DataFrame, mode: str, stream_cols: list[str],
     if mode != "previous_event":
         raise ValueError(f"unknown reference mode {mode!r}")
     x = df.withColumn("__o", F.struct("arr", "seq", "t"))
-    x = blocked_scan(x, stream_cols, floor_div(F.col("arr"), F.lit(block_ms)), ["arr", "seq"],
+    x = blocked_scan(x, stream_cols, None, ["arr", "seq"],
                      [Scan("__prev", "__o", "max", inclusive=False)])
     return x.withColumn("ref", F.col("__prev.t")).drop("__o", "__prev")
 

@@ -1,39 +1,185 @@
-"""Stateful processors for ``groupBy(stream).transformWithStateInPandas``.
-
-``PanesProcessor``  T1 (+ L3/L4) live under a watermark policy:
-    ``AdaptivePolicy`` (W1: ADWIN histogram and chunk counters, O(log n)) or
-    ``BoundedPolicy`` (W2: max event time and the current tick).  The policy
-    lives in a ValueState; each open window is one MapState entry
-    ``wstart -> (count, fired)``.  A window fires when the emitted watermark
-    reaches ``wend - 1``, re-fires for every kept late row, and leaves the
-    state once ``wend - 1 + allowed <= watermark``.
+"""Stateful processors for ``groupBy(...).transformWithStateInPandas``.
+
+Live panes (T1 with L3/L4) are two chained stages, so that windows may be
+keyed finer than the stream whose watermark governs them.
+
+``ClockProcessor``, one per stream: orders the stream's events by arrival,
+    advances a watermark policy (W1, W2, W4 or W5) and sends every event on to
+    the windows together with the watermark it met.  It knows which window
+    ends are open and which of the ``BUCKETS`` groups of window keys hold any of
+    them (a bit each), and sends a control row to just those when an end fires
+    or expires.  With ``idle`` it also sets a processing-time timer for the next
+    tick: a stream that stops still fires every tick it would have fired.
+``WindowProcessor``, one per (stream, bucket, window end): counts per key,
+    fires them when told, re-fires for kept late events, and forgets them when
+    told.  A micro-batch touches only the windows that its rows belong to or
+    that are due.
 ``RunningAverageProcessor``  T8 live: ValueState ``(count, exact sum)``.
 
-Rows of one key inside a micro-batch arrive in no particular order, so each
-batch is sorted by arrival ``(arr, seq)`` first; micro-batches themselves must
-follow arrival order (the replay writes one file per arrival slice).
+All state is typed (numbers and arrays of numbers), so it outlives the classes
+that wrote it.  Rows of one key inside a micro-batch arrive in no particular
+order and are sorted by arrival ``(arr, seq)``: a stream's rows of one micro-batch
+are in memory together, which the source's ``maxFilesPerTrigger`` or
+``maxBytesPerTrigger`` bounds.  Micro-batches themselves must follow arrival
+order; an event that arrives behind a tick that has fired belongs to the
+current tick.
 """
 
 from __future__ import annotations
 
-import pickle
+from collections.abc import Iterator
 from decimal import Decimal
-from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from driftmark.operators.drift import AdaptiveParams, AdaptiveState
+from driftmark.operators.drift import STATE, AdaptiveParams, AdaptiveState
 
-PANE_SCHEMA_TAIL = "wstart long, wend long, cnt long, lag long, flushed boolean, late_fire boolean"
+#: Groups of window keys of a stream (bits of a long).
+BUCKETS = 32
+#: Rows into the clock: events, in-stream markers, the end of the stream.
+EVENT, MARKER, END = 0, 1, 2
+#: Rows out of the clock: events, an end that fires, is flushed, is over.
+COUNT, FIRE, FLUSH, OVER = 0, 1, 2, 3
+NONE = -(1 << 62)  # no watermark yet, lower than any
+
+
+class BoundedPolicy:
+    """At every epoch-aligned arrival tick the watermark becomes
+    ``max t seen so far - bound`` if that is higher.  Ticks without events
+    change nothing, so a tick's timer fires with the first event of a later
+    tick, or by the clock."""
+
+    SCHEMA = "tick long, tick_max long, seen_max long, wm long, last long"
+
+    def __init__(self, max_ooo: int, period: int):
+        self.ooo, self.period = int(max_ooo), int(period)
+        self.tick = self.tick_max = self.last = None
+        self.seen_max = self.wm = 0
+
+    def dump(self) -> tuple:
+        return self.tick, self.tick_max, self.seen_max, self.wm, self.last
+
+    def load(self, row: tuple) -> None:
+        self.tick, self.tick_max, self.seen_max, self.wm, self.last = row
+
+    def _close(self) -> None:
+        if self.tick_max is not None:
+            self.seen_max = max(self.seen_max, self.tick_max)
+            self.wm = max(self.wm, self.seen_max - self.ooo)
+            self.tick_max = None
+
+    def before(self, t: int, arr: int) -> None:
+        k = arr // self.period
+        if self.tick is not None and k > self.tick:
+            self._close()
+        self.tick = k if self.tick is None else max(k, self.tick)
+        self.last = arr if self.last is None else max(arr, self.last)
+        self.tick_max = t if self.tick_max is None else max(self.tick_max, t)
+
+    def after(self, t: np.ndarray, ref: np.ndarray) -> list[tuple[int, int]]:
+        return []
+
+    def fired(self, wend: int) -> int:
+        """The watermark that fires ``wend``, of those since the last call."""
+        return self.wm
+
+    def wait(self, ends: list[int]) -> int | None:
+        """Arrival time from the last event to the tick that may fire something."""
+        return (self.tick + 1) * self.period - self.last if self.tick_max is not None else None
+
+    def expire(self, ends: list[int]) -> None:
+        self._close()
+        self.tick += 1
+        self.last = self.tick * self.period
+
+
+class TimeLagPolicy:
+    """At every tick the watermark is ``tick time - lag``."""
+
+    SCHEMA = "tick long, last long"
+
+    def __init__(self, lag: int, period: int):
+        self.lag, self.period = int(lag), int(period)
+        self.tick = self.last = None
+
+    def dump(self) -> tuple:
+        return self.tick, self.last
+
+    def load(self, row: tuple) -> None:
+        self.tick, self.last = row
+
+    @property
+    def wm(self) -> int:
+        return NONE if self.tick is None else self.tick * self.period - self.lag
+
+    def before(self, t: int, arr: int) -> None:
+        self.tick = arr // self.period if self.tick is None else max(arr // self.period, self.tick)
+        self.last = arr if self.last is None else max(arr, self.last)
+
+    def after(self, t: np.ndarray, ref: np.ndarray) -> list[tuple[int, int]]:
+        return []
+
+    def _due(self, wend: int) -> int:
+        return -((1 - wend - self.lag) // self.period)
+
+    def fired(self, wend: int) -> int:
+        # ticks without events fire too: the first that reaches the end
+        return self._due(wend) * self.period - self.lag
+
+    def wait(self, ends: list[int]) -> int | None:
+        return max(self._due(min(ends)), self.tick + 1) * self.period - self.last if ends else None
+
+    def expire(self, ends: list[int]) -> None:
+        self.tick = max(self._due(min(ends)), self.tick + 1) if ends else self.tick
+        self.last = self.tick * self.period
+
+
+class MarkerPolicy:
+    """The watermark is the highest time of the marker rows so far."""
+
+    SCHEMA = "wm long"
+
+    def __init__(self):
+        self.wm = 0
+
+    def dump(self) -> tuple:
+        return (self.wm,)
+
+    def load(self, row: tuple) -> None:
+        self.wm, = row
+
+    def before(self, t: int, arr: int) -> None:
+        pass
+
+    def mark(self, t: int) -> None:
+        self.wm = max(self.wm, t)
+
+    def after(self, t: np.ndarray, ref: np.ndarray) -> list[tuple[int, int]]:
+        return []
+
+    def fired(self, wend: int) -> int:
+        return self.wm
+
+    def wait(self, ends: list[int]) -> int | None:
+        return None
 
 
 class AdaptivePolicy:
     """The drift-driven estimator; the watermark may rise after an event."""
 
+    SCHEMA = STATE
+
     def __init__(self, params: AdaptiveParams):
         self.st = AdaptiveState(params)
 
+    def dump(self) -> tuple:
+        return self.st.dump()
+
+    def load(self, row: tuple) -> None:
+        self.st = AdaptiveState.load(self.st.p, tuple(row))
+
     @property
     def wm(self) -> int:
         return self.st.wm
@@ -41,107 +187,195 @@ class AdaptivePolicy:
     def before(self, t: int, arr: int) -> None:
         pass
 
-    def after(self, t: int, ref: int) -> None:
-        self.st.step(t, ref)
+    def after(self, t: np.ndarray, ref: np.ndarray) -> list[tuple[int, int]]:
+        """Positions of the events after which the watermark rose, and to what."""
+        got = self.st.extend(t, ref)
+        rose = np.flatnonzero(got.wm_after > got.wm_before)
+        return list(zip(rose.tolist(), got.wm_after[rose].tolist(), strict=True))
 
+    def fired(self, wend: int) -> int:
+        return self.st.wm
 
-class BoundedPolicy:
-    """At every epoch-aligned arrival tick the watermark becomes
-    ``max t seen so far - bound`` if that is higher.  The timer of a tick
-    fires when the first event of a later tick arrives (ticks without
-    events change nothing), so a stream's last tick never fires."""
+    def wait(self, ends: list[int]) -> int | None:
+        return None
 
-    def __init__(self, max_ooo: int, period: int):
-        self.ooo, self.period = int(max_ooo), int(period)
-        self.wm = 0
-        self.tick = None
-        self.tick_max = None      # max t in the current tick
-        self.seen_max = 0         # max t over completed ticks (starts at 0)
-        self.behind = 0           # events of a tick before the current one
 
-    def before(self, t: int, arr: int) -> None:
-        k = arr // self.period
-        if self.tick is not None and k > self.tick:
-            self.seen_max = max(self.seen_max, self.tick_max)
-            self.wm = max(self.wm, self.seen_max - self.ooo)
-            self.tick_max = None
-        if self.tick is not None and k < self.tick:
-            self.behind += 1          # arrived before a tick that has fired: no timer goes back
-            k = self.tick
-        self.tick = k
-        self.tick_max = t if self.tick_max is None else max(self.tick_max, t)
+class ClockProcessor(StatefulProcessor):
+    """Stage one of live panes (see the module doc), grouped by ``skey``, the stream
+    as one string.  In: ``seq, t, arr, ref, kind, bucket`` and ``wkey``, the rest of the
+    window key as one string.  Out: ``skey, bucket, wend, kind, ord, wm, wkey``."""
+
+    def __init__(self, policy, width: int, allowed: int, idle: bool = False, speed: float = 1.0):
+        self.policy, self.width, self.allowed = policy, int(width), int(allowed)
+        self.idle, self.speed = idle, speed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pol = handle.getValueState("policy", self.policy().SCHEMA)
+        self.count = handle.getValueState("count", "ord long")
+        # open window ends: which buckets hold keys, and whether it has fired
+        self.ends = handle.getMapState("ends", "wend long", "buckets long, fired boolean")
+
+    def _open(self):
+        pol = self.policy()
+        if self.pol.exists():
+            pol.load(self.pol.get())
+        ends = {k[0]: [v[0], v[1]] for k, v in self.ends.iterator()}
+        return pol, ends, self.count.get()[0] if self.count.exists() else 0
+
+    def _close(self, pol, before: dict, ends: dict, ord_: int) -> None:
+        self.pol.update(pol.dump())
+        self.count.update((ord_,))
+        for w in before.keys() - ends.keys():
+            self.ends.removeKey((w,))
+        for w, v in ends.items():
+            if before.get(w) != v:
+                self.ends.updateValue((w,), tuple(v))
+
+    def _controls(self, pol, wm: int, ends: dict, ord_: int, flush: bool = False) -> list[tuple]:
+        """Control rows ``(bucket, wend, kind, ord, wm)`` for what ``wm`` fires or ends."""
+        out = []
+        for w in sorted(ends):
+            if w - 1 > wm and not flush:
+                break
+            mask, fired = ends[w]
+            kinds = [] if fired else [FLUSH if flush and w - 1 > wm else FIRE]
+            over = flush or w - 1 + self.allowed <= wm
+            kinds += [OVER] * over
+            at = pol.fired(w)
+            out += [(b, w, kind, ord_, at) for kind in kinds for b in range(BUCKETS) if mask >> b & 1]
+            if over:
+                del ends[w]
+            else:
+                ends[w] = [mask, True]
+        return out
+
+    def _frame(self, key, controls: list[tuple], events: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
+        parts = []
+        if events is not None and len(events):
+            parts.append(events)
+        if controls:
+            parts.append(pd.DataFrame(controls, columns=["bucket", "wend", "kind", "ord", "wm"]).assign(wkey=""))
+        for x in parts:
+            yield x.assign(skey=key[0])[["skey", "bucket", "wend", "kind", "ord", "wm", "wkey"]]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["arr", "seq", "kind"], kind="stable", ignore_index=True)
+        pol, ends, ord_ = self._open()
+        before = {w: list(v) for w, v in ends.items()}
+        kinds, buckets = pdf["kind"].tolist(), pdf["bucket"].tolist()
+        ts, arrs = pdf["t"].astype("int64").to_numpy(), pdf["arr"].astype("int64").tolist()
+        refs = pdf["ref"].fillna(pdf["t"]).astype("int64").to_numpy()
+        wends = ts - ts % self.width + self.width
+        wm_of, ords, kept, controls = [], [], [], []
+        wm = pol.wm
+        # W1 looks at all events of the batch at once and says where it rises
+        events = np.flatnonzero(pdf["kind"].to_numpy() == EVENT)
+        rises = {int(events[i]): w for i, w in pol.after(ts[events], refs[events])} if isinstance(pol, AdaptivePolicy) else None
+        for i, (kind, t, wend) in enumerate(zip(kinds, ts.tolist(), wends.tolist(), strict=True)):
+            ord_ += 1
+            if kind == EVENT:
+                if rises is None:
+                    pol.before(t, arrs[i])
+                    if pol.wm > wm:
+                        wm = pol.wm
+                        controls += self._controls(pol, wm, ends, ord_ * 2 - 1)
+                if wend - 1 + self.allowed > wm:
+                    end = ends.setdefault(wend, [0, wend - 1 <= wm])
+                    end[0] |= 1 << buckets[i]
+                    kept.append(i)
+                    wm_of.append(wm)
+                    ords.append(ord_ * 2)
+                if rises is not None and i in rises:
+                    wm = rises[i]
+                    controls += self._controls(_Fixed(wm), wm, ends, ord_ * 2 + 1)
+            elif kind == MARKER:
+                pol.mark(t)
+                if pol.wm > wm:
+                    wm = pol.wm
+                    controls += self._controls(pol, wm, ends, ord_ * 2 - 1)
+            else:
+                controls += self._controls(pol, wm, ends, ord_ * 2 - 1, flush=True)
+        self._close(pol, before, ends, ord_)
+        self._set_timer(pol, ends, timerValues)
+        x = pdf.iloc[kept]
+        x = x.assign(wend=wends[kept], kind=COUNT, ord=ords, wm=wm_of) if kept else None
+        yield from self._frame(key, controls, x)
+
+    def _set_timer(self, pol, ends: dict, timer) -> None:
+        if not self.idle:
+            return
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        wait = pol.wait([w for w, (_, fired) in ends.items() if not fired])
+        if wait is not None:
+            self.handle.registerTimer(timer.getCurrentProcessingTimeInMs() + max(1, int(wait / self.speed)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        pol, ends, ord_ = self._open()
+        before, wm = {w: list(v) for w, v in ends.items()}, pol.wm
+        pol.expire([w for w, (_, fired) in ends.items() if not fired])
+        controls = self._controls(pol, pol.wm, ends, ord_ * 2 + 1) if pol.wm > wm else []
+        self._close(pol, before, ends, ord_ + 1)
+        self._set_timer(pol, ends, timerValues)
+        yield from self._frame(key, controls, None)
 
-    def after(self, t: int, ref: int) -> None:
+    def close(self) -> None:
         pass
 
 
-class PanesProcessor(StatefulProcessor):
-    """Keyed tumbling panes under a watermark policy (see module doc)."""
+class _Fixed:
+    """What fires a window where the watermark is known."""
 
-    def __init__(self, policy_factory, width: int, allowed: int, stream_cols: list[str],
-                 ref: str = "arr"):
-        self.policy_factory = policy_factory
-        self.width, self.allowed = int(width), int(allowed)
-        self.stream_cols, self.ref = list(stream_cols), ref
+    def __init__(self, wm: int):
+        self.wm = wm
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pol = handle.getValueState("policy", "blob binary")
-        self.win = handle.getMapState("win", "wstart long", "cnt long, fired boolean")
+    def fired(self, wend: int) -> int:
+        return self.wm
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["arr", "seq"])
-        pol = pickle.loads(self.pol.get()[0]) if self.pol.exists() else self.policy_factory()
-        wins = {k[0]: [v[0], v[1]] for k, v in self.win.iterator()}
-        dirty, gone = set(), set()
-        width, allowed = self.width, self.allowed
-        out = []
 
-        def advance(new: int) -> None:
-            for ws in sorted(wins):
-                w = wins[ws]
-                wend = ws + width
-                if not w[1] and wend - 1 <= new:
-                    w[1] = True
-                    dirty.add(ws)
-                    out.append((ws, wend, w[0], new - wend, False, False))
-                if wend - 1 + allowed <= new:
-                    del wins[ws]
-                    gone.add(ws)
-                    dirty.discard(ws)
-
-        ts = pdf["t"].astype("int64").tolist()
-        arrs = pdf["arr"].astype("int64").tolist()
-        refs = pdf[self.ref].fillna(pdf["t"]).astype("int64").tolist()
-        for t, arr, ref in zip(ts, arrs, refs):
-            prev = pol.wm
-            pol.before(t, arr)
-            if pol.wm > prev:
-                advance(pol.wm)
-            wm = pol.wm
-            ws = t - t % width
-            wend = ws + width
-            if wend - 1 + allowed > wm:              # not dropped
-                w = wins.setdefault(ws, [0, False])
+class WindowProcessor(StatefulProcessor):
+    """Stage two of live panes, grouped by (``skey``, bucket, window end): the
+    counts of its window keys."""
+
+    def __init__(self, width: int):
+        self.width = int(width)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.win = handle.getMapState("win", "k string", "cnt long, fired boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ord", "kind"], kind="stable", ignore_index=True)
+        wend, wins, dirty, all_, out = int(key[-1]), {}, set(), False, []
+        for kind, wm, k in zip(pdf["kind"].tolist(), pdf["wm"].tolist(), pdf["wkey"].tolist(), strict=True):
+            if kind == COUNT:
+                if k not in wins:
+                    wins[k] = list(self.win.getValue((k,))) if not all_ and self.win.containsKey((k,)) else [0, False]
+                w = wins[k]
                 w[0] += 1
-                dirty.add(ws)
-                gone.discard(ws)
-                if wm >= wend - 1:                   # kept late: re-fire now
+                dirty.add(k)
+                if wm >= wend - 1:  # kept late: re-fire now
+                    w[1] = True
+                    out.append((k, w[0], wm - wend, False, True))
+                continue
+            if not all_:
+                wins, all_ = {k_[0]: list(v) for k_, v in self.win.iterator()} | wins, True
+            if kind == OVER:
+                self.win.clear()
+                wins, dirty = {}, set()
+                continue
+            for k_, w in wins.items():
+                if not w[1]:
                     w[1] = True
-                    out.append((ws, wend, w[0], wm - wend, False, True))
-            prev = pol.wm
-            pol.after(t, ref)
-            if pol.wm > prev:
-                advance(pol.wm)
-        for ws in gone:
-            self.win.removeKey((ws,))
-        for ws in dirty:
-            self.win.updateValue((ws,), tuple(wins[ws]))
-        self.pol.update((pickle.dumps(pol, protocol=pickle.HIGHEST_PROTOCOL),))
+                    dirty.add(k_)
+                    out.append((k_, w[0], None if kind == FLUSH else wm - wend, kind == FLUSH, False))
+        for k in dirty:
+            self.win.updateValue((k,), tuple(wins[k]))
         if out:
-            df = pd.DataFrame(out, columns=["wstart", "wend", "cnt", "lag", "flushed", "late_fire"])
-            for i, c in enumerate(self.stream_cols):
-                df.insert(i, c, key[i])
-            yield df
+            df = pd.DataFrame(out, columns=["wkey", "cnt", "lag", "flushed", "late_fire"])
+            df["lag"] = df["lag"].astype("Int64")
+            df["wstart"], df["wend"] = wend - self.width, wend
+            yield df.assign(skey=key[0])[["skey", "wkey", "wstart", "wend", "cnt", "lag", "flushed", "late_fire"]]
 
     def close(self) -> None:
         pass
@@ -158,7 +392,7 @@ class RunningAverageProcessor(StatefulProcessor):
         total = f"decimal(38,{self.scale})" if self.scale is not None else "double"
         self.acc = handle.getValueState("acc", f"cnt long, total {total}")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["arr", "seq"])
         if self.acc.exists():
             cnt, total = self.acc.get()

@@ -134,7 +134,7 @@ def test_session_blocked_equals_builtin(spark):
         t += rnd.choice([1, 5, 50, 99, 100, 101, 400])
         rows.append((i, t, rnd.choice(["a", "b", "c"])))
     df = spark.createDataFrame(rows, "seq long, t long, k string")
-    a = sorted(tuple(r) for r in session_windows(df, ["k"], 100, block_ms=1000).collect())
+    a = sorted(tuple(r) for r in session_windows(df, ["k"], 100).collect())
     b = sorted(tuple(r) for r in session_windows_builtin(df, ["k"], 100).collect())
     assert a == b
 

@@ -35,6 +35,65 @@ def test_blocked_scan_equals_window(spark):
     assert a == b
 
 
+def _dense_sparse_bursty():
+    """A stream with a row a second, one with a row an hour, one whose rows
+    nearly all come within a millisecond, a small one and one without a key."""
+    rnd, rows = random.Random(3), []
+    rows += [("dense", 1000 * i + rnd.randrange(900), i) for i in range(6000)]
+    rows += [("sparse", 3_600_000 * i * i, i) for i in range(3000)]
+    rows += [("bursty", 10 ** 12 if i % 50 else i, i) for i in range(6000)]
+    rows += [("small", i, i) for i in range(40)] + [(None, None if i < 5 else -7 * i, i) for i in range(2500)]
+    rnd.shuffle(rows)
+    return rows
+
+
+def test_blocks_hold_about_the_target(spark):
+    from driftmark.functions.scan import depth_blocks
+    df = spark.createDataFrame(_dense_sparse_bursty(), "k string, o long, s long").repartition(5)
+    got = depth_blocks(df, ["k"], ["o", "s"], target=250).collect()
+    per, order = {}, {}
+    for r in got:
+        per[r.k, tuple(r["__path"])] = per.get((r.k, tuple(r["__path"])), 0) + 1
+        order.setdefault(r.k, []).append(((r.o is not None, r.o or 0, r.s), r["__path"]))
+    assert len(got) == 17_540 and max(per.values()) <= 500
+    # and not many small ones
+    assert len(per) <= 3 * 17_540 / 250
+    for rows in order.values():
+        paths = [p for _, p in sorted(rows)]
+        assert paths == sorted(paths)
+    assert "__path" not in depth_blocks(df, ["k"], ["o", "s"]).columns  # nothing exceeds the default
+
+
+def test_tasks_hold_at_most_twice_the_default(spark, monkeypatch):
+    """At the defaults: rows a task sorts, for 40 million rows of three kinds
+    of streams (sizes from the block table, the rows themselves not kept)."""
+    from driftmark.functions import scan
+    n = 2_000_000
+    df = spark.range(n).selectExpr(
+        "case when id % 10 < 6 then 'dense' when id % 10 < 9 then 'bursty' else 'sparse' end as k",
+        "case when id % 10 < 6 then id * 10 when id % 10 < 9 then 5 + id div 1000000 else id * 100000 end as o", "id as s")
+    cut = scan.depth_blocks(df, ["k"], ["o", "s"])
+    sizes = {tuple(r)[:2]: r["count"] for r in cut.selectExpr("k", "cast(__path as string) as p").groupBy("k", "p").count().collect()}
+    assert max(sizes.values()) <= 2 * scan.TARGET_ROWS and sum(sizes.values()) == n
+    assert len(sizes) <= 2 + 2 * n / scan.TARGET_ROWS
+
+
+def test_scan_in_found_blocks_equals_window(spark):
+    df = spark.createDataFrame(_dense_sparse_bursty(), "k string, o long, s long").repartition(5)
+    scans = [Scan("n", "one", "sum"), Scan("m", "s", "max", inclusive=False), Scan("b", "s", "min", backward=True, inclusive=False)]
+    x = df.withColumn("one", F.lit(1).cast("long"))
+    got = blocked_scan(x, ["k"], None, ["o", "s"], scans, target=250)
+    one = blocked_scan(x, ["k"], None, ["o", "s"], scans)
+    assert got.columns == one.columns == ["k", "o", "s", "one", "n", "m", "b"]
+    key = lambda r: (str(r[0]), r[2])
+    a, b = (sorted(map(tuple, d.collect()), key=key) for d in (got, one))
+    assert a == b
+    w = Window.partitionBy("k").orderBy("o", "s")
+    want = x.select("*", F.row_number().over(w).cast("long").alias("n"), F.max("s").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("m"),
+                    F.min("s").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("b"))
+    assert a == sorted(map(tuple, want.collect()), key=key)
+
+
 def test_floor_div_negative(spark):
     df = spark.range(-7, 8).select(F.col("id").alias("a"))
     out = [(r.a, r.q) for r in df.select("a", floor_div("a", F.lit(3)).alias("q")).collect()]
