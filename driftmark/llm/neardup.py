@@ -128,28 +128,32 @@ def tokens(s: np.ndarray) -> np.ndarray:
     return np.array([(x * m).min() >> np.uint64(32) for m in mult], dtype="<u4")
 
 
+def _bucketed(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """``df`` as a table bucketed by id: a join by id then moves only the other
+    side.  Also its name, to be dropped."""
+    spark, name = df.sparkSession, f"{what}_{uuid.uuid4().hex}"
+    df.write.bucketBy(partitions(spark), "doc_id").option("path", scratch_dir(spark, what)).saveAsTable(name)
+    return spark.table(name), name
+
+
 def _describe(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """``(doc_id, n, digest, tokens, members)`` of every row, as a table
-    bucketed by id, so that sets are fetched by id without moving the rest;
-    and the table's name, to be dropped."""
+    """``(doc_id, n, digest, tokens, sig, members)`` of every row; ``sig`` is a byte
+    of each token, enough for an estimate."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            ns, digests, sigs, members = [], [], [], []
+            cols: list[list] = [[], [], [], [], []]
             for s in shingle_sets(texts):
-                ns.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(tokens(s).tobytes() if len(s) else None)
-                members.append(pack_ints(np.diff(s, prepend=np.uint64(0))) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ns, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, sigs, members))],
-                names=["doc_id", "n", "digest", "tokens", "members"])
-
-    spark, name = docs.sparkSession, f"sets_{uuid.uuid4().hex}"
-    (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-     .mapInArrow(run, "doc_id long, n long, digest binary, tokens binary, members binary")
-     .write.bucketBy(partitions(spark), "doc_id").option("path", scratch_dir(spark, "sets")).saveAsTable(name))
-    return spark.table(name), name
+                cols[0].append(len(s))
+                t = tokens(s) if len(s) else None
+                for c, v in zip(cols[1:], (hashlib.blake2b(s.tobytes(), digest_size=16).digest(), t.tobytes(), t.astype(np.uint8).tobytes(),
+                                           pack_ints(np.diff(s, prepend=np.uint64(0)))) if len(s) else [None] * 4, strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[1:])],
+                                             names=["doc_id", "n", "digest", "tokens", "sig", "members"])
+
+    return _bucketed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+                     .mapInArrow(run, "doc_id long, n long, digest binary, tokens binary, sig binary, members binary"), "sets")
 
 
 class Union:
@@ -165,12 +169,12 @@ class Union:
         self.root[np.isin(self.root, roots)] = roots[0]
 
 
-def plausible(n: np.ndarray, tokens_: np.ndarray, comp: np.ndarray, percent: int) -> np.ndarray:
+def plausible(n: np.ndarray, sigs: np.ndarray, comp: np.ndarray, percent: int) -> np.ndarray:
     """A label for each document of a group: those that chains of pairs with
     a high enough estimate connect share one.  Pairs of different sizes or
     of one component count as no pair."""
     # one byte of each token: an estimate too high by 1/256 at most, on average
-    sig = np.frombuffer(b"".join(tokens_), dtype="<u4").reshape(-1, TOKENS).astype(np.uint8)
+    sig = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(-1, TOKENS)
     least = int(TOKENS * (percent / 100 - 0.25))
     label = np.arange(len(n))
     for i in range(len(n) - 1):
@@ -227,7 +231,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nd
 
 
 def _candidates(groups: DataFrame, percent: int) -> DataFrame:
-    """Plausible sets of documents within groups ``(path, part, doc_id, n, tokens,
+    """Plausible sets of documents within groups ``(path, part, doc_id, n, sig,
     comp)``: ``(lead, name, doc_id, comp)``, named by their least member and a hash
     of all, so that a set found in several trees has one name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +239,10 @@ def _candidates(groups: DataFrame, percent: int) -> DataFrame:
         flush = (lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
                                                     names=["lead", "name", "doc_id", "comp"]))
         held = 0
-        for _, _, ids, n, tok, comp in _groups(batches, 2):
+        for _, _, ids, n, sig, comp in _groups(batches, 2):
             if (comp == comp[0]).all():
                 continue
-            label = plausible(n, tok, comp, percent)
+            label = plausible(n, sig, comp, percent)
             many = np.bincount(label, minlength=len(label))[label] > 1
             if many.any():
                 label, ids, comp = label[many], ids[many], comp[many]
@@ -256,7 +260,7 @@ def _candidates(groups: DataFrame, percent: int) -> DataFrame:
 
     # a number of partitions of its own: the work goes with pairs, not bytes
     return (groups.repartition(partitions(groups.sparkSession), "path", "part").sortWithinPartitions("path", "part", "doc_id")
-            .select("path", "part", "doc_id", "n", "tokens", "comp")
+            .select("path", "part", "doc_id", "n", "sig", "comp")
             .mapInArrow(run, "lead long, name long, doc_id long, comp long"))
 
 
@@ -316,12 +320,13 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     ready(docs.sparkSession)
     spark = docs.sparkSession
     sets, name = _describe(docs, id_col, text_col)
-    info = cut(sets.drop("members"), "info")  # all but the sets, in few files
+    info = cut(sets.select("doc_id", "n", "digest"), "info")  # all but the sets, in few files
     owner = info.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     same = cut(info.where("doc_id is not null").select("doc_id", "digest").join(owner, "digest")
                .select("doc_id", "rep"), "classes")
-    heads = cut(info.where("digest is not null").join(same.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-                .select("doc_id", "n", "tokens"), "heads")
+    ids = same.where("doc_id = rep").select("doc_id").distinct()
+    heads, name2 = _bucketed(sets.where("digest is not null").join(ids, "doc_id", "left_semi").select("doc_id", "n", "tokens", "sig")
+                             .repartition(partitions(spark), "doc_id"), "heads")
     members = sets.join(heads.select("doc_id").distinct(), "doc_id", "left_semi")
     # rows of one id with different sets, or a class and its members: together from the start
     found = cut(same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "links")
@@ -335,13 +340,13 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             new.append(_branch(late.join(base, "doc_id"), percent))
         if level < len(trees):
             new.append(_roots(base, *trees[level], percent))
-        # only ids travel to the nodes; tokens follow to those that hold something
+        # only ids travel to the nodes; signatures follow to those that hold something
         rows = new[0] if len(new) == 1 else new[0].unionByName(new[1])
         rows = cut(rows.select("path", "doc_id", "n", "comp", "own"), "paths")
         per = (rows.groupBy("path").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                         F.min("doc_id").alias("hub"), F.max("own").alias("any")).where("lo < hi and any"))
         rows = cut(rows.join(per.select("path", "size", "hub"), "path")
-                   .join(heads.select("doc_id", "tokens"), "doc_id"), "nodes")
+                   .join(heads.select("doc_id", "sig"), "doc_id"), "nodes")
         parts = F.ceil(F.col("size") / SMALL)
         own = F.when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(
             F.array(F.pmod(F.xxhash64("doc_id"), parts)))
@@ -350,7 +355,7 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             # every pair of parts of a node, so that all its documents meet
             p, every = F.pmod(F.xxhash64("doc_id"), parts), F.sequence(F.lit(0).cast("long"), parts - 1)
             own = F.transform(every, lambda q: F.least(p, q) * parts + F.greatest(p, q))
-        cols = ["path", "part", "doc_id", "n", "tokens", "comp"]
+        cols = ["path", "part", "doc_id", "n", "sig", "comp"]
         near = cut(_candidates(rows.withColumn("part", F.explode(own)).select(*cols), percent), "near")
         now = cut(_confirmed(near, seen, members, percent), "links")
         seen.append(near)
@@ -364,7 +369,8 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         level += 1
         if level >= len(trees) and (last or late.isEmpty()):
             break
-    spark.sql(f"DROP TABLE {name}")
+    for t in (name, name2):
+        spark.sql(f"DROP TABLE {t}")
     at = same.join(comp.withColumnRenamed("doc_id", "rep"), "rep").groupBy("doc_id").agg(F.min("comp").alias("comp"))
     return (info.select("doc_id", "n").join(at, "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
