@@ -51,3 +51,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         cur = cut(_small(_large(cur)), "stars")
     return (cur.select(F.col("x").alias("node"), F.col("y").alias("component"))
             .union(cur.select("y", "y")).distinct())
+
+
+def merged(edges: DataFrame, a: str, b: str, rounds: int = 2) -> DataFrame:
+    """``(node, component)`` after so many steps, settled or not: nodes with one
+    label are connected, connected nodes may still have different ones.  For
+    use between rounds that add edges; hubs need one or two steps."""
+    cur = cut(edges.where(f"{a} <> {b}")
+              .select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).distinct(), "edges")
+    for _ in range(rounds):
+        cur = cut(_small(_large(cur)), "stars")
+    return (cur.select(F.col("x").alias("node"), F.col("y").alias("component")).union(cur.select("y", "y"))
+            .groupBy("node").agg(F.min("component").alias("component")))

@@ -27,8 +27,8 @@ of nodes that a document is in grows by 1/s a level at most.  A node that has
 branched ``DEPTH`` times and is still large (many texts all about as similar as
 the threshold, and of one size) is compared exhaustively in pairs of groups.
 By the recursion ``q' = 1 - (1 - s * q)**k`` a pair in large nodes all the way down
-is missed by all trees with about 1e-3 at 0.85 and 4e-3 at 0.8, chance meetings
-in a group left aside.
+is missed by all trees with less than 1e-3 at 0.85 and 4e-3 at 0.8, chance
+meetings in a group left aside.
 
 A comparison first estimates the similarity from the tokens (far below the
 threshold: left out, about 1e-7 of true links at 0.85 and 1e-6 at 0.8) and then confirms on the full
@@ -55,14 +55,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.common import cut, free, letters, mix64, pack_ints, partitions, powers, quoted, ready, unpack_ints
-from driftmark.llm.components import components
+from driftmark.llm.components import components, merged
 from driftmark.session import scratch_dir
 
 WIDTH = 5
 TOKENS = 64
 TREES = 10
 SMALL = 512
-DEPTH = 6
+DEPTH = 4
 PIECE = 1 << 20  # bytes of text hashed at once
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -333,6 +333,11 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     comp = cut(heads.select("doc_id", F.col("doc_id").alias("comp")).distinct(), "comp")
     late = None  # nodes to branch further
     level, trees, seen = 0, [(0, 0), (1, TREES - 1)], []
+
+    def label(nodes: DataFrame) -> DataFrame:
+        return cut(heads.select("doc_id").distinct().join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                   .select("doc_id", F.coalesce("component", "doc_id").alias("comp")), "comp")
+
     while True:
         base = heads.join(comp, "doc_id")
         new = []
@@ -359,16 +364,15 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         near = cut(_candidates(rows.withColumn("part", F.explode(own)).select(*cols), percent), "near")
         now = cut(_confirmed(near, seen, members, percent), "links")
         seen.append(near)
-        grown = not now.isEmpty()
-        if grown:
+        if not now.isEmpty():
             found = found.union(now)
-            comp = cut(heads.select("doc_id").distinct().join(
-                cut(components(found, "a", "b"), "components").withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                .select("doc_id", F.coalesce("component", "doc_id").alias("comp")), "comp")
+            if level < len(trees):  # later rounds are for few nodes: not worth it
+                comp = label(cut(merged(found, "a", "b"), "components"))
         late = rows.where(F.col("size") > SMALL).select("path", "doc_id", "own")
         level += 1
         if level >= len(trees) and (last or late.isEmpty()):
             break
+    comp = label(cut(components(found, "a", "b"), "components"))
     for t in (name, name2):
         spark.sql(f"DROP TABLE {t}")
     at = same.join(comp.withColumnRenamed("doc_id", "rep"), "rep").groupBy("doc_id").agg(F.min("comp").alias("comp"))

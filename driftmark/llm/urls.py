@@ -10,9 +10,11 @@ Everything else is allowed.
 
 An address is host + path + query: scheme and fragment play no part.  A NULL
 url, or one without ``://``, has empty host and path, fits no rule and is no
-alias of anything (allow).  NULL or empty html has no links.  Relative links
-are taken against the page's host and folder, dot segments as written.
-Repeated pages each get a row.
+alias of anything (allow).  NULL or empty html has no links.  Link targets are
+whole attribute values (up to their own closing quote) with the usual entities
+decoded; relative ones are taken against the page's host and folder.  Dot
+segments are resolved before addresses are compared.  ``canonical`` may be any
+token of ``rel``.  Repeated pages each get a row.
 """
 
 from __future__ import annotations
@@ -26,10 +28,40 @@ from driftmark.llm.common import cut
 from driftmark.llm.components import components
 
 ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-TAGS = r"(?is)<(?:link|meta)\b[^>]*>"
-IS_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b|<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+TAGS = r"""(?is)<(?:link|meta)\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
+VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+REFRESH = r"""(?is)\burl\s*=\s*(?:"([^"]*)|'([^']*)|([^"'].*))"""
+#: Entities in addresses, the ampersand last.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&#38;", "&"), ("&amp;", "&")]
+
+
+def _first(c: Column, pattern: str) -> Column:
+    """The one of three groups that is there, or an empty text."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(c, pattern, i), F.lit("")) for i in (1, 2, 3)], F.lit(""))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    return _first(tag, rf"""(?is)[\s"'/]{name}\s*=\s*{VALUE}""")
+
+
+def link_target(tag: Column) -> Column:
+    """Where a canonical link or a refresh goes; empty for any other tag."""
+    kind = lower_ascii(F.substring(tag, 2, 4))
+    canonical = (kind == "link") & F.regexp_like(attribute(tag, "rel"), F.lit(r"(?i)(^|\s)canonical(\s|$)"))
+    refresh = (kind == "meta") & (lower_ascii(F.trim(attribute(tag, "http-equiv"))) == "refresh")
+    to = F.when(canonical, attribute(tag, "href")).when(refresh, _first(attribute(tag, "content"), REFRESH)).otherwise("")
+    for entity, char in ENTITIES:
+        to = F.replace(to, F.lit(entity), F.lit(char))
+    return F.trim(to)
+
+
+def resolved(path: Column) -> Column:
+    """A path without dot segments."""
+    parts = F.split(path, "/")
+    step = lambda acc, x: (F.when(x == "..", F.regexp_replace(acc, r"/[^/]*$", "")).when(x == ".", acc)
+                           .otherwise(F.concat(acc, F.lit("/"), x)))
+    folded = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""), step)
+    return F.concat(folded, F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
 
 
 def lower_ascii(c: Column) -> Column:
@@ -61,15 +93,11 @@ def alias_links(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     """``(host, path, query, to_host, to_path, to_query)`` of every redirect
     and canonical link of a page."""
     host, path, query = split_url(F.col("url"))
-    tags = F.filter(F.regexp_extract_all("html", F.lit(TAGS), F.lit(0)),
-                    lambda t: F.regexp_like(t, F.lit(IS_LINK)))
-    href = F.coalesce(F.nullif(F.regexp_extract("tag", HREF, 1), F.lit("")),
-                      F.regexp_extract("tag", REFRESH, 1))
     found = (pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
              .where(F.instr("url", "://") > 0)
              .select(host.alias("host"), path.alias("path"), query.alias("query"),
-                     F.explode(tags).alias("tag"))
-             .select("host", "path", "query", href.alias("href")).where("href <> ''"))
+                     F.explode(F.regexp_extract_all("html", F.lit(TAGS), F.lit(0))).alias("tag"))
+             .select("host", "path", "query", link_target(F.col("tag")).alias("href")).where("href <> ''"))
     h = F.col("href")
     full = (F.when(h.contains("://"), h)
             .when(h.startswith("//"), F.concat(F.lit("x:"), h))
@@ -80,12 +108,12 @@ def alias_links(pages: DataFrame, url_col: str = "url", html_col: str = "html")
                                 F.regexp_replace(F.regexp_replace("path", r"[^/]*$", ""), r"^$", "/"), h)))
     to = split_url(F.col("full"))
     return (found.withColumn("full", full)
-            .select("host", "path", "query", to[0].alias("to_host"), to[1].alias("to_path"),
+            .select("host", "path", "query", to[0].alias("to_host"), resolved(to[1]).alias("to_path"),
                     to[2].alias("to_query")))
 
 
 def _node(host: str, path: str, query: str) -> Column:
-    return F.concat(host, path, query)
+    return F.concat(host, resolved(F.col(path)), query)
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id",

@@ -39,7 +39,7 @@ def corpus(seed, n=90):
     return docs
 
 
-@pytest.mark.parametrize("seed,small,depth", [(0, 512, 6), (1, 8, 6), (2, 8, 0)])
+@pytest.mark.parametrize("seed,small,depth", [(0, 512, 4), (1, 8, 4), (2, 8, 0)])
 def test_components_equal_brute_force(spark, monkeypatch, seed, small, depth):
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "DEPTH", depth)
