@@ -88,8 +88,9 @@ def watermark_sql(src: str, runs: list[dict], warmup: int, adapt_lateness: bool
     for every run (``run, sensitivity, change_rate, threshold``); result ``w1``
     with a row an event and run."""
     values = ", ".join(f"({i}, CAST({r['sensitivity']!r} AS DOUBLE), CAST({r['change_rate']!r} AS DOUBLE), "
-                       f"CAST({r['threshold']!r} AS DOUBLE))" for i, r in enumerate(runs))
-    after = f"CASE WHEN (i - {warmup}) % {clock} = 0 THEN 'C' ELSE 'D' END"
+                       f"CAST({r['threshold']!r} AS DOUBLE), CAST({r.get('max_lateness', 0)} AS BIGINT), "
+                       f"CAST({r.get('clock', clock)} AS BIGINT))" for i, r in enumerate(runs))
+    after = f"CASE WHEN (i - {warmup}) % clk = 0 THEN 'C' ELSE 'D' END"
     new = "e.i IS NOT NULL"
     fed = f"(e.i IS NOT NULL AND e.i > {warmup})"
     dev = "abs(e.arr - e.t)"
@@ -97,21 +98,21 @@ def watermark_sql(src: str, runs: list[dict], warmup: int, adapt_lateness: bool
     span = "(cmax - cmin)"
     accept = f"(wm_raw = 0 OR (wm_raw < cmin - {span} AND {ratio} < thr))"
     found = "(q.st = 'E' AND changed)"
-    return f"""w_run(run, sens0, rate, thr) AS (VALUES {values}),
+    return f"""w_run(run, sens0, rate, thr, allowed0, clk) AS (VALUES {values}),
 w_i AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY arr, seq) AS i FROM {src}),
 w_st AS (
-  SELECT run, rate, thr, event_type, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS t,
+  SELECT run, rate, thr, clk, event_type, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS t,
          CAST(NULL AS BIGINT) AS arr, 'D' AS st, CAST(1 AS BIGINT) AS lvl, CAST([] AS BIGINT[]) AS z,
          CAST([] AS DOUBLE[]) AS u, CAST([] AS DOUBLE[]) AS v, false AS changed,
-         CAST(0 AS BIGINT) AS allowed, CAST(0 AS BIGINT) AS wm_raw, CAST(0 AS BIGINT) AS wm, CAST(0 AS BIGINT) AS wm_before,
+         allowed0 AS allowed, CAST(0 AS BIGINT) AS wm_raw, CAST(0 AS BIGINT) AS wm, CAST(0 AS BIGINT) AS wm_before,
          false AS late, CAST(0 AS BIGINT) AS chunk_total, CAST(0 AS BIGINT) AS chunk_late,
          CAST(NULL AS BIGINT) AS cmax, CAST(NULL AS BIGINT) AS cmin, CAST(NULL AS BIGINT) AS max_dev, sens0 AS sens,
          CAST(0 AS BIGINT) AS accepted_width, CAST(NULL AS BIGINT) AS chunk_span, CAST(NULL AS BIGINT) AS chunk_elements,
          CAST(NULL AS DOUBLE) AS chunk_late_ratio, CAST(NULL AS BOOLEAN) AS accepted, CAST(NULL AS BIGINT) AS proposed_wm
   FROM w_run, (SELECT DISTINCT event_type FROM w_i)
   UNION ALL
-  SELECT run, rate, thr, event_type, i, seq, t, arr,
+  SELECT run, rate, thr, clk, event_type, i, seq, t, arr,
          CASE q.st WHEN 'W' THEN 'D'
                    WHEN 'I' THEN CASE WHEN len(list_filter(z, lambda k: k = 1)) > 5 THEN 'M' ELSE {after} END
                    WHEN 'M' THEN CASE WHEN len(list_filter(z, lambda k: k = lvl)) > 5 THEN 'M' ELSE {after} END
@@ -133,7 +134,7 @@ w_st AS (
          CASE WHEN {found} THEN {accept} END,
          CASE WHEN {found} THEN CASE WHEN {accept} THEN cmax - allowed ELSE cmax - {span} END END
   FROM (
-    SELECT run, rate, thr, d.event_type, coalesce(e.i, d.i) AS i, coalesce(e.seq, d.seq) AS seq, coalesce(e.t, d.t) AS t,
+    SELECT run, rate, thr, clk, d.event_type, coalesce(e.i, d.i) AS i, coalesce(e.seq, d.seq) AS seq, coalesce(e.t, d.t) AS t,
            coalesce(e.arr, d.arr) AS arr,
            CASE WHEN {fed} THEN 'I' WHEN {new} THEN 'W' WHEN st = 'M' THEN 'M' WHEN cut THEN 'X' ELSE 'E' END AS st,
            CASE WHEN {new} THEN 1 WHEN st = 'M' THEN 2 * lvl ELSE lvl END AS lvl,

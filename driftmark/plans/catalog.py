@@ -62,7 +62,25 @@ def q_tumbling_panes(spark, sf_dir):
                          H, H, H, 0)
 
 
-@register("tumbling_panes_allowed", _panes_oracle(3 * H))
+#: T1 with L3 and L4 said per event, without ticks or groups: the watermark an
+#: event met is that of all events of earlier arrival hours; a kept event is
+#: on time or re-fires with its own number among the kept ones.
+_PER_EVENT = f"""WITH {Q.ev_cte()},
+j AS (
+  SELECT event_type, arr, seq, t - t % {H} + {H} AS wend,
+         greatest(coalesce((SELECT max(x.t) FROM ev x WHERE x.event_type = e.event_type AND x.arr // {H} < e.arr // {H}), 0) - {H}, 0) AS wm
+  FROM ev e),
+k AS (
+  SELECT *, row_number() OVER (PARTITION BY event_type, wend ORDER BY arr, seq) AS nth
+  FROM j WHERE wend - 1 + {3 * H} > wm),
+o AS (SELECT event_type, wend, count(*) AS cnt FROM k WHERE wm < wend - 1 GROUP BY ALL),
+f AS (SELECT o.*, (SELECT min(j.wm) FROM j WHERE j.event_type = o.event_type AND j.wm >= o.wend - 1) AS fire FROM o)
+SELECT event_type, wend - {H} AS wstart, wend, cnt, fire - wend AS lag, fire IS NULL AS flushed, false AS late_fire FROM f
+UNION ALL
+SELECT event_type, wend - {H}, wend, nth, wm - wend, false, true FROM k WHERE wm >= wend - 1"""
+
+
+@register("tumbling_panes_allowed", _PER_EVENT)
 def q_tumbling_panes_allowed(spark, sf_dir):
     from driftmark.plans.runs import bounded_panes
     return bounded_panes(_ev(spark, sf_dir, "event_type"), ["event_type"], ["event_type"],
@@ -651,22 +669,113 @@ def q_sweep_adaptive(spark, sf_dir):
         "mean_lag", "not_processed"))
 
 
-@register("pending_runs", "SELECT * FROM (VALUES "
-          "('eventsPeriodicL-100P-10W-100.txt'), ('eventsPeriodicL-100P-10W-1000.txt'), "
-          "('eventsPeriodicL-1000P-10W-100.txt'), ('eventsPeriodicL-1000P-10W-1000.txt')) v(run) "
-          "WHERE EXISTS (SELECT 1 FROM events)")
+@register("pending_runs", _sweep_sql([], """SELECT run, run LIKE '%P-10W-%' AS pending,
+       CASE WHEN run NOT LIKE '%P-10W-%' THEN n END AS panes
+FROM cfg LEFT JOIN (SELECT run, count(*) AS n FROM panes GROUP BY run) USING (run)"""))
 def q_pending_runs(spark, sf_dir):
-    """The runs of the periodic grid still to do, after those with a
-    period of 200 ms have been written."""
-    from driftmark.plans.sweep import pending_configs, sweep_periodic_panes, with_config
+    """The runs of the periodic grid after those with a period of 200 ms
+    are finished: which are still to do, and how many panes the others have
+    by the manifest."""
+    from driftmark.plans.sweep import finish_runs, finished_runs, pending_configs, sweep_periodic_panes, with_config
     from driftmark.session import scratch_dir
-    from driftmark.sources.text import write_panes
     grid = _periodic_grid()
     first = [c for c in grid if c["period"] == 200]
     path = scratch_dir(spark, "runs")
     panes = with_config(sweep_periodic_panes(_ev(spark, sf_dir), first, [], []), first, ["run"])
-    write_panes(panes, path, "text", "run")
-    return spark.createDataFrame([(c["run"],) for c in pending_configs(spark, grid, path)], "run string")
+    finish_runs(panes, first, path)
+    todo = {c["run"] for c in pending_configs(spark, grid, path)}
+    runs = spark.createDataFrame([(c["run"], c["run"] in todo) for c in grid], "run string, pending boolean")
+    return runs.join(finished_runs(spark, path), "run", "left")
+
+
+# --- A4 over both halves of the sweep, wide and NULL keys, presets ----------------
+
+def _all_runs_sql() -> str:
+    from driftmark.plans.sweep import PERIODIC_KEYS
+    S = [*PERIODIC_KEYS, "event_type"]
+    pre = f"{AQ.drifting_ev()},\n{Q.values_cte('cfg', _periodic_grid())},\nx AS (SELECT ev.*, cfg.* FROM ev CROSS JOIN cfg)"
+    periodic = (f"WITH {Q.bounded_panes_sql(S, S, 'max_ooo', 'period', 'width', 'allowed', src='x', pre=pre)},\n"
+                f"{Q.analyze_sql(['event_type', 'run', 'period', 'max_ooo', 'width'], [])}\n"
+                + _REPORT_SQL.replace("'events' AS dataset", "event_type AS dataset"))
+    adaptive = (_sweep_adaptive_sql().replace("GROUP BY ALL),\nsummary", "GROUP BY ALL),\nsummary")
+                .replace(Q.analyze_sql(["run", "width"], ["event_type"]), Q.analyze_sql(["run", "width", "event_type"], []))
+                .replace("SELECT 'events' AS dataset", "SELECT event_type AS dataset")
+                .replace("FROM grid LEFT JOIN summary USING (run, width)", "FROM grid JOIN summary USING (run, width)"))
+    return f"SELECT * FROM ({periodic})\nUNION ALL\nSELECT * FROM ({adaptive})"
+
+
+@register("compare_all_runs", _all_runs_sql())
+def q_compare_all_runs(spark, sf_dir):
+    """A4 over all 26 runs of each event type: both halves of the sweep over
+    the drifting replay go through pane text named by run (K1, P3) and every
+    file is parsed back (K2) and reported in one job."""
+    from driftmark.plans.analysis import compare_runs
+    from driftmark.plans.sweep import adaptive_grid, sweep_adaptive_panes, sweep_periodic_panes, with_config
+    from driftmark.session import scratch_dir
+    from driftmark.sources.text import write_panes
+    ev, key = _ev(spark, sf_dir, "event_type", drifting=True), ["event_type"]
+    periodic = with_config(sweep_periodic_panes(ev, _periodic_grid(), key, key), _periodic_grid(), ["run"])
+    panes, table = sweep_adaptive_panes(ev, "events", key, key, warmup=WARMUP, configs=adaptive_grid("events"))
+    both = periodic.drop("cfg").unionByName(with_config(panes, table, ["run"]).drop("cfg"))
+    # a data set of its own for each stream: its name leads the run's
+    named = both.withColumn("run", F.concat("event_type", F.substring("run", len("events") + 1, 1000)))
+    out = scratch_dir(spark, "all-runs")
+    write_panes(named, out, "text", partition_col="run")
+    return compare_runs(spark, out)
+
+
+def _wide_keys(ev):
+    """A whole-number key beyond 2^53 that is NULL for a fifth of the events."""
+    return ev.withColumn("k", F.when(F.col("seq") % 5 > 0, F.lit(2 ** 60) + F.col("seq") % 3))
+
+
+_WIDE_SQL = "CASE WHEN seq % 5 > 0 THEN 1152921504606846976 + seq % 3 ELSE -1 END"
+
+
+@register("adaptive_watermark_wide_keys", f"""WITH RECURSIVE {AQ.drifting_ev()},
+wide AS (SELECT seq, {_WIDE_SQL} AS event_type, t, arr FROM ev),
+{AQ.watermark_sql('wide', [AQ.PLAIN], WARMUP)}
+SELECT * EXCLUDE (run, event_type), nullif(event_type, -1) AS k FROM w1""")
+def q_adaptive_watermark_wide_keys(spark, sf_dir):
+    """W1 per key, where keys are NULL or numbers that a float cannot hold."""
+    from driftmark.operators.adaptive import adaptive_watermark
+    return adaptive_watermark(_wide_keys(_ev(spark, sf_dir, drifting=True)), ["k"], _adaptive_params())
+
+
+@register("adwin_detect_wide_keys", f"""WITH RECURSIVE {AQ.drifting_ev()},
+src AS (SELECT {_WIDE_SQL} AS stream, seq, arr, CAST(arr - t AS DOUBLE) / 3600000 AS x FROM ev),
+{AQ.detect_sql('src')}
+SELECT * EXCLUDE (event_type), nullif(event_type, -1) AS k FROM ({AQ.DETECT_SELECT})""")
+def q_adwin_detect_wide_keys(spark, sf_dir):
+    """D1-D3 per key, where keys are NULL or numbers that a float cannot hold."""
+    from driftmark.operators.adaptive import adwin_detect
+    ev = _wide_keys(_ev(spark, sf_dir, drifting=True))
+    return _rounded(adwin_detect(ev.withColumn("delay", (F.col("arr") - F.col("t")).cast("double") / 3_600_000), ["k"], "delay"))
+
+
+#: The four forms of the estimator with arguments that matter.
+PRESETS = [("default",), ("sensitivity", 0.5), ("three", 0.5, 0.1, 0.1), ("four", 0.5, 0.1, 0.1)]
+
+
+def _preset_configs() -> list[dict]:
+    from driftmark.operators.adaptive import adaptive_preset
+    return [adaptive_preset(*p) for p in PRESETS]
+
+
+@register("adaptive_presets", f"""WITH RECURSIVE {AQ.drifting_ev()},
+{AQ.watermark_sql('ev', _preset_configs(), WARMUP)}
+SELECT {'CASE run ' + ' '.join(f"WHEN {i} THEN '{p[0]}'" for i, p in enumerate(PRESETS)) + ' END'} AS preset, event_type, seq, arr,
+       wm_after AS wm, wm_after > wm_before AS rose, chunk_span, chunk_elements, chunk_late_ratio, cur_sensitivity, accepted, proposed_wm
+FROM w1 WHERE detected""")
+def q_adaptive_presets(spark, sf_dir):
+    """W1f: the four forms of the estimator in one pass over the streams, a row
+    for each detection."""
+    from driftmark.operators.adaptive import adaptive_steps
+    from driftmark.operators.drift import AdaptiveParams
+    steps = adaptive_steps(_ev(spark, sf_dir, "event_type", drifting=True), ["event_type"],
+                           [AdaptiveParams(warmup=WARMUP, **c) for c in _preset_configs()])
+    names = F.array(*[F.lit(p[0]) for p in PRESETS])
+    return steps.withColumn("preset", F.element_at(names, F.col("config") + 1)).drop("config")
 
 
 # --- streaming (slices in arrival order, availableNow) ---------------------------

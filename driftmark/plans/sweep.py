@@ -163,24 +163,43 @@ def sweep_periodic(events: DataFrame, configs: list[dict], stream_cols: list[str
     return with_config(panes, configs, PERIODIC_KEYS).drop("cfg")
 
 
-def pending_configs(spark: SparkSession, configs: list[dict], done_path: str | None) -> list[dict]:
-    """Drop runs whose output already exists under ``done_path``
-    (pane folders ``run=<name>`` written by ``write_panes``), by a left-anti
-    join of the grid against the finished run names.  Only the grid itself
-    (bounded by its literal size) comes back to the driver."""
+MANIFEST = "_runs"  # below the pane folders; readers of panes pass over it
+
+
+def finish_runs(panes: DataFrame, configs: list[dict], path: str) -> None:
+    """Write the panes of ``configs`` (column ``run``) as text below ``path`` and then
+    record each of these runs as finished, those without panes too."""
+    from driftmark.sources.text import write_panes
+    spark = panes.sparkSession
+    write_panes(panes, path, "text", "run")
+    runs = spark.createDataFrame([(c["run"],) for c in configs], "run string")
+    lines = spark.read.text(path)
+    n = (lines.groupBy("run").agg(F.count(F.lit(1)).alias("panes")) if "run" in lines.columns
+         else runs.where("false").select("run", F.lit(0).cast("long").alias("panes")))
+    (runs.join(n, "run", "left").select("run", F.coalesce("panes", F.lit(0)).alias("panes"))
+     .coalesce(1).write.mode("append").parquet(f"{path}/{MANIFEST}"))
+
+
+def finished_runs(spark: SparkSession, path: str) -> DataFrame:
+    """``(run, panes)`` of the runs recorded below ``path``; no pane is read."""
     from pyspark.errors import AnalysisException
-    if not done_path:
-        return list(configs)
-    grid = spark.createDataFrame([(c["run"],) for c in configs], "run string")
     try:
-        done = spark.read.text(done_path)
+        done = spark.read.schema("run string, panes long").parquet(f"{path}/{MANIFEST}")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
+        return spark.createDataFrame([], "run string, panes long")
+    return done.groupBy("run").agg(F.max("panes").alias("panes"))
+
+
+def pending_configs(spark: SparkSession, configs: list[dict], done_path: str | None) -> list[dict]:
+    """The runs that are not finished, by a left-anti join of the grid
+    against the manifest.  Only the grid itself (bounded by its literal size)
+    comes back to the driver."""
+    if not done_path:
         return list(configs)
-    if "run" not in done.columns:
-        return list(configs)
-    left = {r.run for r in grid.join(done.select("run").distinct(), "run", "left_anti").collect()}
+    grid = spark.createDataFrame([(c["run"],) for c in configs], "run string")
+    left = {r.run for r in grid.join(finished_runs(spark, done_path), "run", "left_anti").collect()}
     return [c for c in configs if c["run"] in left]
 
 

@@ -112,17 +112,21 @@ def test_run_names_round_trip(spark):
                 "Adaptive", c["threshold"], c["sensitivity"], c["change_rate"])
 
 
-def test_skip_existing_runs(spark, tmp_dir):
-    from driftmark.plans.sweep import pending_configs, sweep_periodic
-    from driftmark.sources.text import write_panes
-    grid = periodic_grid("ev")
-    assert len(pending_configs(spark, grid, tmp_dir + "/nothing")) == 8
+def test_skip_finished_runs(spark, tmp_dir):
+    """A run without panes is finished too, and finished runs stay as they are."""
+    from driftmark.plans.sweep import finish_runs, finished_runs, pending_configs, sweep_periodic
+    grid, path = periodic_grid("ev"), tmp_dir + "/runs"
+    assert len(pending_configs(spark, grid, path)) == 8
     rows = [(i, i * 10 + 5, i * 10 + 7) for i in range(50)]
     ev = spark.createDataFrame(rows, "seq long, t long, arr long")
-    panes = sweep_periodic(ev, grid[:2], [], [])
-    write_panes(panes, tmp_dir + "/runs", "text", partition_col="run")
-    left = pending_configs(spark, grid, tmp_dir + "/runs")
-    assert [c["run"] for c in left] == [c["run"] for c in grid[2:]]
+    finish_runs(sweep_periodic(ev, grid[:2], [], []), grid[:2], path)
+    assert [c["run"] for c in pending_configs(spark, grid, path)] == [c["run"] for c in grid[2:]]
+    before = {r.run: r.panes for r in finished_runs(spark, path).collect()}
+    finish_runs(sweep_periodic(ev.where("false"), grid[2:3], [], []), grid[2:3], path)
+    after = {r.run: r.panes for r in finished_runs(spark, path).collect()}
+    assert after == before | {grid[2]["run"]: 0} and min(before.values()) > 0
+    assert [c["run"] for c in pending_configs(spark, grid, path)] == [c["run"] for c in grid[3:]]
+    assert spark.read.text(path).count() == sum(before.values())
 
 
 def test_session_blocked_equals_builtin(spark):
