@@ -8,6 +8,8 @@ input may have any name.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 from collections.abc import Sequence
 
@@ -119,6 +121,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def release() -> None:
+    """Give memory that a finished task no longer needs back to the system:
+    Python workers live on and would hold it beside the executor's heap."""
+    powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack_ints(a: np.ndarray) -> bytes:
     """Whole numbers as byte planes, compressed."""
     return pa.compress(a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)

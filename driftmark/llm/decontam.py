@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import ready
+from driftmark.llm.common import ready, release
 
 RATE = 16
 GROUP_BYTES = 16 << 20
@@ -154,6 +154,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text",
             m = Matcher(group)
             for b in batches:
                 yield b.filter(pa.array([not m.matches(t) for t in b.column(at).to_pylist()], pa.bool_()))
+            release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

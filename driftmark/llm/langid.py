@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from driftmark.llm.common import cut, ready
+from driftmark.llm.common import cut, ready, release
 
 BITS = 16
 SAMPLE_DOCS = 6000
@@ -244,6 +244,7 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str =
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
                 names=names)
+        release()
 
     read = [F.col(f"`{c}`") for c in keep] + ([] if at < n else [F.col(text_col).alias("__text")])
     return docs.select(*read).mapInArrow(run, struct)

@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import cut, free, letters, mix64, pack_ints, partitions, powers, quoted, ready, unpack_ints
+from driftmark.llm.common import cut, free, letters, mix64, pack_ints, partitions, powers, quoted, ready, release, unpack_ints
 from driftmark.llm.components import components, merged
 from driftmark.session import scratch_dir
 
@@ -151,6 +151,7 @@ def _describe(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, s
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[1:])],
                                              names=["doc_id", "n", "digest", "tokens", "sig", "members"])
+        release()
 
     return _bucketed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
                      .mapInArrow(run, "doc_id long, n long, digest binary, tokens binary, sig binary, members binary"), "sets")
@@ -272,6 +273,7 @@ def _confirmed(near: DataFrame, seen: list[DataFrame], sets: DataFrame, percent:
             got = links(ids, n, members, comp, percent)
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=["a", "b"])
+        release()
 
     n = partitions(near.sparkSession)
     once = near.repartition(n, "lead", "name").groupBy("lead", "name", "doc_id").agg(F.min("comp").alias("comp"))
