@@ -359,14 +359,20 @@ def _walked(blocks: DataFrame, rules: list, rounds: list) -> DataFrame:
             out = []
             return b
 
-        def encoded(symbols: bytes) -> list[int]:
-            if symbols not in known:
-                if len(known) > 20_000:
+        def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The batches; the symbols of each are encoded together before it."""
+            for b in batches:
+                if len(known) > 50_000:
                     known.clear()
-                known[symbols] = rewrite(joined([symbols]), rules, 9).tolist()
-            return known[symbols]
-
-        for conv, rows in _by(batches):
+                new = sorted(set(b.column(b.num_columns - 1).to_pylist()).difference(known))
+                if new:
+                    x = rewrite(joined(new), rules, 9)
+                    edge = np.flatnonzero(x == -1).tolist()
+                    known.update((s, x[i:j].tolist()) for s, i, j in
+                                 zip(new, [0, *(e + 1 for e in edge)], [*edge, len(x)], strict=True))
+                yield b
+
+        for conv, rows in _by(encoded(batches)):
             walk, keys, total = Walk(m), [], [0] * 4
             low = high = end = None
             turns, before = 0, ""
@@ -377,7 +383,7 @@ def _walked(blocks: DataFrame, rules: list, rounds: list) -> DataFrame:
                 turns += k - (turn is not None and bool(keys) and turn == end)
                 end, before = last_turn, last
                 keys.append((turn, role, digest))
-                walk.block(encoded(symbols))
+                walk.block(known[symbols])
             cost, pieces, tail = walk.result()
             gaps = high - low + 1 - turns if low is not None else 0
             out.append((conv, 0, None, None, None, None, tail, gaps, *total, cost))
