@@ -1,5 +1,4 @@
-"""Every registered query with an oracle matches DuckDB on sf0.001; the
-rows-only queries run and return a stable schema."""
+"""Every registered query matches DuckDB on sf0.001."""
 
 import pytest
 
@@ -23,11 +22,8 @@ def test_query_matches_oracle(spark, con, name):
     assert r["values"]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_rows_only_query_runs(spark, name):
-    df = QUERIES[name](spark, SF_SMALL)
-    assert df.count() > 0
-    assert df.schema == QUERIES[name](spark, SF_SMALL).schema
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_smoke(spark):
