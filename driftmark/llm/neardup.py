@@ -128,15 +128,14 @@ def tokens(s: np.ndarray) -> np.ndarray:
     return np.array([(x * m).min() >> np.uint64(32) for m in mult], dtype="<u4")
 
 
-def _bucketed(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """``df`` as a table bucketed by id: a join by id then moves only the other
-    side.  Also its name, to be dropped."""
-    spark, name = df.sparkSession, f"{what}_{uuid.uuid4().hex}"
-    df.write.bucketBy(partitions(spark), "doc_id").option("path", scratch_dir(spark, what)).saveAsTable(name)
-    return spark.table(name), name
+def _bucketed(df: DataFrame, place: str, what: str) -> DataFrame:
+    """``df`` as a table of the database ``place``, bucketed by id: a join by id
+    then moves only the other side."""
+    df.write.bucketBy(partitions(df.sparkSession), "doc_id").saveAsTable(f"{place}.{what}")
+    return df.sparkSession.table(f"{place}.{what}")
 
 
-def _describe(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+def _describe(docs: DataFrame, place: str, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, n, digest, tokens, sig, members)`` of every row; ``sig`` is a byte
     of each token, enough for an estimate."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +153,7 @@ def _describe(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, s
         release()
 
     return _bucketed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-                     .mapInArrow(run, "doc_id long, n long, digest binary, tokens binary, sig binary, members binary"), "sets")
+                     .mapInArrow(run, "doc_id long, n long, digest binary, tokens binary, sig binary, members binary"), place, "sets")
 
 
 class Union:
@@ -321,14 +320,17 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """``(doc_id, n_shingles, component_id, kept)`` of every row."""
     ready(docs.sparkSession)
     spark = docs.sparkSession
-    sets, name = _describe(docs, id_col, text_col)
+    # a database below the shared folder: dropping it gives the space back
+    place = f"near_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {place} LOCATION '{scratch_dir(spark, 'near-tables')}'")
+    sets = _describe(docs, place, id_col, text_col)
     info = cut(sets.select("doc_id", "n", "digest"), "info")  # all but the sets, in few files
     owner = info.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     same = cut(info.where("doc_id is not null").select("doc_id", "digest").join(owner, "digest")
                .select("doc_id", "rep"), "classes")
     ids = same.where("doc_id = rep").select("doc_id").distinct()
-    heads, name2 = _bucketed(sets.where("digest is not null").join(ids, "doc_id", "left_semi").select("doc_id", "n", "tokens", "sig")
-                             .repartition(partitions(spark), "doc_id"), "heads")
+    heads = _bucketed(sets.where("digest is not null").join(ids, "doc_id", "left_semi").select("doc_id", "n", "tokens", "sig")
+                      .repartition(partitions(spark), "doc_id"), place, "heads")
     members = sets.join(heads.select("doc_id").distinct(), "doc_id", "left_semi")
     # rows of one id with different sets, or a class and its members: together from the start
     found = cut(same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "links")
@@ -375,8 +377,7 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         if level >= len(trees) and (last or late.isEmpty()):
             break
     comp = label(cut(components(found, "a", "b"), "components"))
-    for t in (name, name2):
-        spark.sql(f"DROP TABLE {t}")
+    spark.sql(f"DROP DATABASE {place} CASCADE")
     at = same.join(comp.withColumnRenamed("doc_id", "rep"), "rep").groupBy("doc_id").agg(F.min("comp").alias("comp"))
     return (info.select("doc_id", "n").join(at, "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
