@@ -140,16 +140,19 @@ def pane_line(wstart="wstart", wend="wend", cnt="cnt", lag="lag") -> Column:
 
 
 def write_panes(panes: DataFrame, path: str, fmt: str = "text",
-                partition_col: str | None = None) -> None:
+                partition_col: str | None = None, compression: str | None = None) -> None:
     """K1: overwrite ``path`` with the panes; ``text`` renders the pane
     lines, one folder per ``partition_col`` value (e.g. the run name).  With
-    ``partition_col`` only the folders that get panes are replaced."""
+    ``partition_col`` only the folders that get panes are replaced.
+    ``compression``: codec of the files (``gzip``), the lines stay the same."""
     w = None
     if fmt == "text":
         cols = [pane_line().alias("value")]
         if partition_col:
             cols.append(F.col(partition_col))
         w = panes.select(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        if compression:
+            w = w.option("compression", compression)
         if partition_col:
             w = w.partitionBy(partition_col)
         w.text(path)
