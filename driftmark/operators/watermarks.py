@@ -16,12 +16,14 @@ The tick holding a stream's last event never fires (end of stream).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmark.functions.scan import Scan, blocked_scan
-from driftmark.functions.time import floor_div
-from driftmark.functions.util import col_of, join_nullsafe
+from driftmark.functions.scan import Scan, blocked_scan, depth_blocks, sized
+from driftmark.functions.time import floor_div, window_start
+from driftmark.functions.util import col_of, join_nullsafe, key_struct
 
 BLOCK_TICKS = 4096
 
@@ -95,6 +97,41 @@ def ticks_from_pre(pre: DataFrame, stream_cols: list[str], max_ooo: int,
                         F.col("first.seq").alias("first_seq"))
 
 
+def maxima_met(df: DataFrame, stream_cols: list[str], key_cols: list[str], periods: list[int],
+               t_slot: int) -> DataFrame:
+    """What decides W2 for several periods at once: ``(key, t, max0, max1, ..., n)``,
+    where ``max<i>`` is the greatest event time of the stream's ticks of
+    ``periods[i]`` before that of the event (NULL: none), ``t`` the start of its slot
+    of ``t_slot`` ms and ``n`` the events that are equal in all that.
+
+    The events move once, to blocks of their stream (``depth_blocks``, which no
+    tick of any period straddles); what earlier blocks hold is one row a block."""
+    arr_slot, whole = math.gcd(*periods), math.lcm(*periods)
+    x = depth_blocks(df.select(*key_cols, "t", "arr", floor_div(F.col("arr"), F.lit(whole).cast("long")).alias("__big")),
+                     stream_cols, ["__big"])
+    pk, hk, path = "__pk", "__hk", "__path"
+    blocks = path in x.columns
+    own = [hk, pk, *([path] if blocks else [])]
+    x = x.withColumn(pk, key_struct(list(stream_cols)))
+    x = x.withColumn(hk, F.xxhash64(pk, *([path] if blocks else [])))
+    y = (x.repartition(*own)
+          .groupBy(*own, *key_cols, window_start("arr", F.lit(arr_slot).cast("long")).alias("arr"),
+                   window_start("t", F.lit(t_slot).cast("long")).alias("t"))
+          .agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("tmax")))
+    for i, p in enumerate(periods):
+        # an event without an arrival time comes first
+        tick = F.coalesce(floor_div(F.col("arr"), F.lit(p).cast("long")), F.lit(-(1 << 62)))
+        w = Window.partitionBy(*own).orderBy("__tick").rangeBetween(Window.unboundedPreceding, -1)
+        y = y.withColumn("__tick", tick).withColumn(f"max{i}", F.max("tmax").over(w)).drop("__tick")
+    if blocks:
+        before = Window.partitionBy(pk).orderBy(path).rowsBetween(Window.unboundedPreceding, -1)
+        carry, _ = sized(x.groupBy(*own).agg(F.max("t").alias("__top")).select(*own, F.max("__top").over(before).alias("__car")))
+        y = y.join(carry, own, "left").withColumns({f"max{i}": F.greatest(f"max{i}", "__car") for i in range(len(periods))})
+    maxima = [f"max{i}" for i in range(len(periods))]
+    return (y.groupBy(*own, *key_cols, "t", *maxima).agg(F.sum("n").cast("long").alias("n"))
+             .select(*key_cols, "t", *maxima, "n"))
+
+
 def bounded_watermark(df: DataFrame, stream_cols: list[str], max_ooo: int,
                       period: int, emit: str = "tick", ticks: DataFrame | None = None) -> DataFrame:
     """W2 / W3.  ``ticks``: the table of ``bounded_ticks`` if there already.  ``emit='next_event'`` adds ``wm_changed``: the event is the
