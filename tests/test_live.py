@@ -3,8 +3,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
-
 from conftest import SF_SMALL
 from driftmark.plans import catalog, replay
 from driftmark.streaming import processors as P
@@ -45,7 +43,7 @@ class _State:
 
 
 class _Handle:
-    getValueState = getMapState = lambda self, name, schema: _State()  # noqa: E731, N815
+    getValueState = getMapState = lambda self, name, *schemas: _State()  # noqa: E731, N815
 
 
 @pytest.mark.parametrize("policy,period", [(lambda: P.BoundedPolicy(H, H), H), (P.MarkerPolicy, None)])
