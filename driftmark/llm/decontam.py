@@ -148,13 +148,14 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text",
           item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no item, all columns as they are."""
     ready(docs.sparkSession)
-    at = docs.columns.index(text_col)
+    at, names, schema = docs.columns.index(text_col), docs.columns, docs.schema
+    plain = [f"c{i}" for i in range(len(names))]  # mapInArrow looks its columns up by name, which a dot would break
     for group in _groups(items, item_id, item_text):
         def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             m = Matcher(group)
             for b in batches:
-                yield b.filter(pa.array([not m.matches(t) for t in b.column(at).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not m.matches(t) for t in b.column(at).to_pylist()], pa.bool_())).rename_columns(names)
             release()
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.toDF(*plain).mapInArrow(run, schema)
     return docs

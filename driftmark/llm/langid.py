@@ -246,7 +246,8 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str =
                 names=names)
         release()
 
-    read = [F.col(f"`{c}`") for c in keep] + ([] if at < n else [F.col(text_col).alias("__text")])
+    # mapInArrow looks its columns up by name, which a dot would break
+    read = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)] + ([] if at < n else [F.col(text_col).alias("__text")])
     return docs.select(*read).mapInArrow(run, struct)
 
 

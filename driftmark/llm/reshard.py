@@ -166,6 +166,6 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     placed = cut(assign(docs, old_shard, old_shards, new_shards), "reshard")
     folder = scratch_dir(docs.sparkSession, "shards")
     write_shards(docs, placed, folder)
-    kept = [f for f in docs.schema.fields if f.name not in ("shard", "slot")]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in ("shard", "slot")]
     schema = StructType([*kept, StructField("slot", LongType()), StructField("shard", IntegerType())])
     return docs.sparkSession.read.schema(schema).parquet(folder)
