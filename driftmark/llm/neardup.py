@@ -54,8 +54,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import cut, free, letters, mix64, pack_ints, partitions, powers, quoted, ready, release, unpack_ints
-from driftmark.llm.components import components, merged
+from driftmark.llm.common import cut, few, free, letters, mix64, pack_ints, partitions, powers, quoted, ready, release, tidy, unpack_ints
+from driftmark.llm.components import components, labels, merged
 from driftmark.session import scratch_dir
 
 WIDTH = 5
@@ -129,15 +129,17 @@ def tokens(s: np.ndarray) -> np.ndarray:
 
 
 def _bucketed(df: DataFrame, place: str, what: str) -> DataFrame:
-    """``df`` as a table of the database ``place``, bucketed by id: a join by id
-    then moves only the other side."""
-    df.write.bucketBy(partitions(df.sparkSession), "doc_id").saveAsTable(f"{place}.{what}")
+    """``df``, dealt out by id, as a table of the database ``place``, bucketed by
+    id: a join by id then moves only the other side."""
+    with tidy(df.sparkSession):
+        df.write.bucketBy(partitions(df.sparkSession), "doc_id").saveAsTable(f"{place}.{what}")
     return df.sparkSession.table(f"{place}.{what}")
 
 
 def _describe(docs: DataFrame, place: str, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, n, digest, tokens, sig, members)`` of every row; ``sig`` is a byte
-    of each token, enough for an estimate."""
+    of each token, enough for an estimate.  Texts are dealt out by id first, so
+    that a bucket is one file and not one of each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
@@ -152,7 +154,9 @@ def _describe(docs: DataFrame, place: str, id_col: str, text_col: str) -> DataFr
                                              names=["doc_id", "n", "digest", "tokens", "sig", "members"])
         release()
 
-    return _bucketed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    by = F.coalesce("doc_id", F.xxhash64("text"))  # rows without an id are not one task's
+    return _bucketed(texts.repartition(partitions(docs.sparkSession), by)
                      .mapInArrow(run, "doc_id long, n long, digest binary, tokens binary, sig binary, members binary"), place, "sets")
 
 
@@ -259,8 +263,8 @@ def _candidates(groups: DataFrame, percent: int) -> DataFrame:
             yield flush()
 
     # a number of partitions of its own: the work goes with pairs, not bytes
-    return (groups.repartition(partitions(groups.sparkSession), "path", "part").sortWithinPartitions("path", "part", "doc_id")
-            .select("path", "part", "doc_id", "n", "sig", "comp")
+    return (few(groups.repartition(partitions(groups.sparkSession), "path", "part").sortWithinPartitions("path", "part", "doc_id")
+                .select("path", "part", "doc_id", "n", "sig", "comp"))
             .mapInArrow(run, "lead long, name long, doc_id long, comp long"))
 
 
@@ -279,9 +283,9 @@ def _confirmed(near: DataFrame, seen: list[DataFrame], sets: DataFrame, percent:
     if seen:
         old = functools.reduce(DataFrame.union, [s.select("lead", "name") for s in seen])
         once = once.join(old, ["lead", "name"], "left_anti")
-    return (once.join(sets.select("doc_id", "n", "members"), "doc_id").repartition(n, "lead", "name")
-            .sortWithinPartitions("lead", "name", "doc_id")
-            .select("lead", "name", "doc_id", "n", "members", "comp").mapInArrow(run, "a long, b long"))
+    return (few(once.join(sets.select("doc_id", "n", "members"), "doc_id").repartition(n, "lead", "name")
+                .sortWithinPartitions("lead", "name", "doc_id")
+                .select("lead", "name", "doc_id", "n", "members", "comp")).mapInArrow(run, "a long, b long"))
 
 
 def _child(path: Column, at: Column) -> Column:
@@ -324,23 +328,23 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     place = f"near_{uuid.uuid4().hex}"
     spark.sql(f"CREATE DATABASE {place} LOCATION '{scratch_dir(spark, 'near-tables')}'")
     sets = _describe(docs, place, id_col, text_col)
-    info = cut(sets.select("doc_id", "n", "digest"), "info")  # all but the sets, in few files
+    info = cut(few(sets.select("doc_id", "n", "digest")), "info")  # all but the sets, in few files
     owner = info.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    same = cut(info.where("doc_id is not null").select("doc_id", "digest").join(owner, "digest")
-               .select("doc_id", "rep"), "classes")
+    same = cut(few(info.where("doc_id is not null").select("doc_id", "digest").join(owner, "digest")
+                   .select("doc_id", "rep")), "classes")
     ids = same.where("doc_id = rep").select("doc_id").distinct()
-    heads = _bucketed(sets.where("digest is not null").join(ids, "doc_id", "left_semi").select("doc_id", "n", "tokens", "sig")
+    sets = sets.where("digest is not null")
+    heads = _bucketed(sets.join(ids, "doc_id", "left_semi").select("doc_id", "n", "tokens", "sig")
                       .repartition(partitions(spark), "doc_id"), place, "heads")
-    members = sets.join(heads.select("doc_id").distinct(), "doc_id", "left_semi")
     # rows of one id with different sets, or a class and its members: together from the start
     found = cut(same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "links")
-    comp = cut(heads.select("doc_id", F.col("doc_id").alias("comp")).distinct(), "comp")
+    comp = cut(few(heads.select("doc_id", F.col("doc_id").alias("comp")).distinct()), "comp")
     late = None  # nodes to branch further
-    level, trees, seen = 0, [(0, 0), (1, TREES - 1)], []
+    level, trees, seen, waiting = 0, [(0, 0), (1, TREES - 1)], [], []
 
     def label(nodes: DataFrame) -> DataFrame:
-        return cut(heads.select("doc_id").distinct().join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                   .select("doc_id", F.coalesce("component", "doc_id").alias("comp")), "comp")
+        return cut(few(heads.select("doc_id").distinct().join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                       .select("doc_id", F.coalesce("component", "doc_id").alias("comp"))), "comp")
 
     while True:
         base = heads.join(comp, "doc_id")
@@ -351,11 +355,10 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             new.append(_roots(base, *trees[level], percent))
         # only ids travel to the nodes; signatures follow to those that hold something
         rows = new[0] if len(new) == 1 else new[0].unionByName(new[1])
-        rows = cut(rows.select("path", "doc_id", "n", "comp", "own"), "paths")
+        rows = cut(few(rows.select("path", "doc_id", "n", "comp", "own")), "paths")
         per = (rows.groupBy("path").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                         F.min("doc_id").alias("hub"), F.max("own").alias("any")).where("lo < hi and any"))
-        rows = cut(rows.join(per.select("path", "size", "hub"), "path")
-                   .join(heads.select("doc_id", "sig"), "doc_id"), "nodes")
+        rows = cut(few(rows.join(per.select("path", "size", "hub"), "path")), "nodes")
         parts = F.ceil(F.col("size") / SMALL)
         own = F.when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(
             F.array(F.pmod(F.xxhash64("doc_id"), parts)))
@@ -364,19 +367,27 @@ def components_of(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             # every pair of parts of a node, so that all its documents meet
             p, every = F.pmod(F.xxhash64("doc_id"), parts), F.sequence(F.lit(0).cast("long"), parts - 1)
             own = F.transform(every, lambda q: F.least(p, q) * parts + F.greatest(p, q))
-        cols = ["path", "part", "doc_id", "n", "sig", "comp"]
-        near = cut(_candidates(rows.withColumn("part", F.explode(own)).select(*cols), percent), "near")
-        now = cut(_confirmed(near, seen, members, percent), "links")
-        seen.append(near)
-        if not now.isEmpty():
-            found = found.union(now)
-            if level < len(trees):  # later rounds are for few nodes: not worth it
-                comp = label(cut(merged(found, "a", "b"), "components"))
+        waiting.append(rows.select("path", own.alias("parts"), "doc_id", "n", "comp"))
         late = rows.where(F.col("size") > SMALL).select("path", "doc_id", "own")
         level += 1
-        if level >= len(trees) and (last or late.isEmpty()):
+        done = level >= len(trees) and (last or late.isEmpty())
+        # labels are for the levels that start trees; those below are few nodes, not
+        # worth new ones, so they need not wait for each other's links
+        if level <= len(trees) or done:
+            groups = (functools.reduce(DataFrame.union, waiting).join(heads.select("doc_id", "sig"), "doc_id")
+                      .withColumn("part", F.explode("parts")))
+            near = cut(_candidates(groups, percent), "near")
+            now = cut(_confirmed(near, seen, sets, percent), "links")
+            seen.append(near)
+            waiting = []
+            if not now.isEmpty():
+                found = found.union(now)
+                if not done:
+                    found = merged(found, "a", "b")
+                    comp = label(labels(found, "a", "b"))
+        if done:
             break
-    comp = label(cut(components(found, "a", "b"), "components"))
+    comp = label(components(found, "a", "b"))
     spark.sql(f"DROP DATABASE {place} CASCADE")
     at = same.join(comp.withColumnRenamed("doc_id", "rep"), "rep").groupBy("doc_id").agg(F.min("comp").alias("comp"))
     return (info.select("doc_id", "n").join(at, "doc_id", "left")

@@ -127,3 +127,24 @@ def test_bands_hold_pairs_at_the_ratio(spark):
         nodes.setdefault(x["path"], {})[x["doc_id"]] = x["own"]
     for i in range(0, len(sizes), 2):
         assert any(i in m and i + 1 in m and (m[i] or m[i + 1]) for m in nodes.values())
+
+
+def test_buckets_are_one_file_each_and_late_levels_share_a_comparison(spark, monkeypatch):
+    """Many tasks do not leave a file each in every bucket, and levels that only
+    branch are compared together."""
+    files, compared, bucketed, candidates = {}, [], neardup._bucketed, neardup._candidates
+
+    def count(df, place, what):
+        out = bucketed(df, place, what)
+        files[what] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(neardup, "_bucketed", count)
+    monkeypatch.setattr(neardup, "_candidates", lambda groups, percent: compared.append(1) or candidates(groups, percent))
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "TREES", 2)
+    r, passage = random.Random(6), " ".join(f"p{i}" for i in range(100))
+    docs = [(i, passage + "".join(f" d{r.random()}" for _ in range(12))) for i in range(24)]
+    got = neardup.components_of(spark.createDataFrame(docs, "doc_id long, text string").repartition(16)).collect()
+    assert len(got) == 24 and all(x["kept"] for x in got)
+    assert max(files.values()) <= 8 and len(compared) == 3
