@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from driftmark.llm.common import attach, cut, text_bytes
+from driftmark.llm.common import attach, cut, text_bytes, tidy
 from driftmark.session import scratch_dir
 
 BLOCK_ROWS = 16_384
@@ -157,7 +157,9 @@ def write_shards(docs: DataFrame, placed: DataFrame, folder: str, only_affected:
     if only_affected:
         placed = placed.join(affected(placed), "shard", "left_semi")
     key = {"doc_id": F.col("doc_id"), "size": text_bytes(text) + 1, "text_crc32": F.crc32(text.cast("binary"))}
-    attach(docs, placed, key, ["shard", "slot"]).write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    out = attach(docs, placed, key, ["shard", "slot"])
+    with tidy(docs.sparkSession):
+        out.write.partitionBy("shard").option("compression", "zstd").parquet(folder)
 
 
 def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int) -> DataFrame:
